@@ -193,11 +193,11 @@ SQL["a1_band_stats"] = sql(
 
 QUERIES["a4_percentiles"] = lambda spark, sf: quantiles(
     v.px_sar(spark, sf), ["scene_id"], "vv", (0.01, 0.02, 0.8, 0.98, 0.99), ("p1", "p2", "p80", "p98", "p99")
-)
+).select("scene_id", *[fixed(p, 9).alias(p) for p in ("p1", "p2", "p80", "p98", "p99")])
 SQL["a4_percentiles"] = sql(
     "px_sar",
     "select scene_id, "
-    + ", ".join(f"quantile_cont(vv, {p}) as {n}" for p, n in [(0.01, "p1"), (0.02, "p2"), (0.8, "p80"), (0.98, "p98"), (0.99, "p99")])
+    + ", ".join(f"{sfixed(f'quantile_cont(vv, {p})', 9)} as {n}" for p, n in [(0.01, "p1"), (0.02, "p2"), (0.8, "p80"), (0.98, "p98"), (0.99, "p99")])
     + " from px_sar group by 1",
 )
 
