@@ -75,12 +75,12 @@ def label_sql(source: str, rounds: int) -> str:
     labelled as (select scene_id, id // 4294967296 as row, id % 4294967296 as col, label from spread where round = {rounds})"""
 
 
-QUERIES["r3_components"] = lambda spark, sf: cc.components(_grid(spark, sf))
+QUERIES["r3_components"] = lambda spark, sf: cc.components(_grid(spark, sf), block=4)
 SQL["r3_components"] = sql("px_grid", f"with recursive {label_sql('px_grid', 40)} select scene_id, row, col, label from labelled")
 
 QUERIES["w5_top_regions"] = lambda spark, sf: (
     rg.rank_within(
-        cc.component_sizes(cc.label_runs(cc.runs(_grid(spark, sf)))), ["scene_id"], -F.col("pixels"), ["label"]
+        cc.component_sizes(cc.label_runs(_grid(spark, sf))), ["scene_id"], -F.col("pixels"), ["label"]
     )
     .filter("rank <= 3")
     .select("scene_id", "label", "rank", "pixels", "row_min", "row_max", "col_min", "col_max")
@@ -100,36 +100,44 @@ def headers24(spark, sf):
     )
 
 
-SCORES = {"trees": ("sum(exg) + 10e0 * count(*)", 25, 0.5, True), "water": ("cast(count(*) as double)", 20, 0.5, False)}
+SCORES = {
+    "trees": ("sum(exg) + 10e0 * count(*)", 25, 0.5, True),
+    "sports": ("count(*) + 25e0 * count(*) filter (where track)", 20, 0.8, True),
+    "water": ("cast(count(*) as double)", 20, 0.5, False),
+}
 
 
 def regions_sql(feature: str, kinds: str, size: int, k: int = 3, rounds: int = 120) -> str:
     score, least, pad, min_side = SCORES[feature]
     low = "greatest(0e0, {0} / 24e0 * 100e0 - %se0)" % pad
     high = "least(100e0, {0} / 24e0 * 100e0 + %se0)" % pad
+    fallback = ""
+    if feature == "sports":
+        fallback = f"u as (select * replace (case when max(pixels) over (partition by scene_id) < {least} then pixels else score end as score) from s qualify pixels >= {least} or max(pixels) over (partition by scene_id) < {least}),"
     seed = f"seed as (select scene_id, row, col, cast(({MASK_SQL[feature]}) as integer) as mask from px_rgb)"
     side = "where ymax - ymin > 1.5e0 and xmax - xmin > 1.5e0" if min_side else ""
+    track = "r > 165 and r > g + 40 and r > b + 70"
     return f"""with recursive {seed}, {steps_sql('seed', kinds, size, 'mask')}, {label_sql('m1', rounds)},
-    j as (select l.*, {EXG} as exg from labelled l join px_rgb p on l.scene_id = p.scene_id and l.row = p.row and l.col = p.col),
+    j as (select l.*, {EXG} as exg, {track} as track from labelled l join px_rgb p on l.scene_id = p.scene_id and l.row = p.row and l.col = p.col),
     s as (select scene_id, label, count(*) as pixels, {score} as score, quantile_cont(row, 0.01) as r0, quantile_cont(row, 0.99) as r1, quantile_cont(col, 0.01) as c0, quantile_cont(col, 0.99) as c1
-      from j group by 1, 2 having count(*) >= {least}),
-    r as (select *, row_number() over (partition by scene_id order by score desc, label) as rank from s qualify rank <= {k}),
+      from j group by 1, 2{f' having count(*) >= {least}' if feature != 'sports' else ''}),
+    {fallback}
+    r as (select *, row_number() over (partition by scene_id order by score desc, label) as rank from {'u' if feature == 'sports' else 's'} qualify rank <= {k}),
     b as (select scene_id, rank, pixels, {low.format('r0')} as ymin, {low.format('c0')} as xmin, {high.format('r1')} as ymax, {high.format('c1')} as xmax from r),
     boxes as (select * from b {side})"""
 
 
 FIELDS = ("ymin", "xmin", "ymax", "xmax")
-for _feature, _kinds in (("trees", "ed"), ("water", "de")):
+for _feature, _kinds, _size in (("trees", "ed", 2), ("sports", "de", 3), ("water", "de", 2)):
     QUERIES[f"r6_regions_{_feature}"] = lambda spark, sf, feature=_feature: rg.target_regions(
         v.px_rgb(spark, sf), headers24(spark, sf), feature, digits=None
     ).select("scene_id", "rank", "pixels", *[fixed(c).alias(c) for c in FIELDS])
     SQL[f"r6_regions_{_feature}"] = sql(
-        "px_rgb", regions_sql(_feature, _kinds, 2) + " select scene_id, rank, pixels, " + ", ".join(f"{sfixed(c)} as {c}" for c in FIELDS) + " from boxes"
+        "px_rgb", regions_sql(_feature, _kinds, _size) + " select scene_id, rank, pixels, " + ", ".join(f"{sfixed(c)} as {c}" for c in FIELDS) + " from boxes"
     )
-for _feature in ("sports", "urban"):
-    QUERIES[f"r6_regions_{_feature}"] = lambda spark, sf, feature=_feature: rg.target_regions(
-        v.px_rgb(spark, sf), headers24(spark, sf), feature
-    ).select("scene_id", "rank", "pixels", *FIELDS)
+QUERIES["r6_regions_urban"] = lambda spark, sf: rg.target_regions(v.px_rgb(spark, sf), headers24(spark, sf), "urban", digits=None).select(
+    "scene_id", "rank", "pixels", *[fixed(c).alias(c) for c in FIELDS]
+)
 
 QUERIES["r6_scene_overview"] = lambda spark, sf: rg.scene_overview(v.px_rgb(spark, sf), headers24(spark, sf)).select("scene_id", "label", *FIELDS)
 

@@ -41,6 +41,21 @@ def persistence(px: DataFrame, holds: Column, date: str, keys: Sequence[str] = (
     )
 
 
+def persistent_cells(
+    px: DataFrame, conditions: dict[str, Column], date: str, min_ratio: float, keys: Sequence[str] = ("scene_id", "row", "col")
+) -> DataFrame:
+    """(target, cell, hits, observations) of the cells that show a target on enough of their dates.
+
+    All targets share one shuffle by cell; only cells that pass become rows.
+    """
+    placed = px.select(*keys, F.col(date).alias("date"), *[c.alias(t) for t, c in conditions.items()]).repartition(*keys)
+    dated = placed.groupBy(*keys, "date").agg(*[F.bool_or(t).alias(t) for t in conditions])
+    cells = dated.groupBy(*keys).agg(F.count("*").alias("observations"), *[F.count_if(t).alias(t) for t in conditions])
+    rows = F.array(*[F.struct(F.lit(t).alias("target"), F.col(t).alias("hits")) for t in conditions])
+    passed = F.filter(rows, lambda r: r["hits"] / F.col("observations") >= min_ratio)
+    return cells.select(*keys, "observations", F.inline(passed))
+
+
 def minimum_area(cand: DataFrame, hectares: float | str | Column = MIN_AREA_HECTARES) -> DataFrame:
     """Candidates of at least a size."""
     size = F.col(hectares) if isinstance(hectares, str) else (hectares if isinstance(hectares, Column) else F.lit(float(hectares)))

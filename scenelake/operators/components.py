@@ -1,18 +1,24 @@
 """Connected regions of pixel masks (4-neighbour).
 
-Set pixels become horizontal runs, runs that touch in the next row become edges, and the
-published large-star / small-star contraction joins them: O(log n) rounds of aggregations
-and equi-joins on (scene, node), checkpointed, with one small count per round for the stop.
+Two levels. Set pixels are shuffled once by block and labelled inside their block with numpy
+(a group is never larger than one block). Blocks that touch then contribute edges between
+their labels, and the published large-star / small-star contraction joins those: O(log n)
+rounds of aggregations and equi-joins on (scene, label) over the few labels that reach a
+block border, checkpointed, with one small count per round for the stop.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from collections.abc import Sequence
+
+import numpy as np
+import pandas as pd
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from scenelake.session import cut_lineage
 
-BUCKET = 64
+BLOCK = 256
 _ROW = 2**32
 
 
@@ -21,93 +27,130 @@ def node_id(row: Column, col: Column) -> Column:
     return row.cast("bigint") * F.lit(_ROW) + col.cast("bigint")
 
 
-def runs(cells: DataFrame, mask: str = "mask", **sums: Column) -> DataFrame:
-    """Maximal horizontal runs of set pixels: scene_id, row, c0, c1, node and sums over their pixels."""
-    on = cells.filter(F.col(mask).cast("int") == 1)
-    place = F.row_number().over(Window.partitionBy("scene_id", "row").orderBy("col"))
-    grouped = on.withColumn("_island", F.col("col") - place).groupBy("scene_id", "row", "_island")
-    found = grouped.agg(F.min("col").alias("c0"), F.max("col").alias("c1"), *[F.sum(c).alias(n) for n, c in sums.items()])
-    return found.drop("_island").withColumn("node", node_id(F.col("row"), F.col("c0")))
-
+def _block_runs(pixels: pd.DataFrame, keys: list[str], sums: list[str]) -> pd.DataFrame:
+    """Labelled horizontal runs of the set pixels of one block."""
+    pixels = pixels.sort_values(["row", "col"])
+    row, col = pixels["row"].to_numpy(), pixels["col"].to_numpy()
+    first = np.r_[True, (row[1:] != row[:-1]) | (col[1:] != col[:-1] + 1)]
+    start = np.flatnonzero(first)
+    r, c0, c1 = row[start], col[start], col[np.r_[start[1:] - 1, len(row) - 1]]
+    # Runs of the next row that share a column: a range in the row-major order of runs.
+    lo = np.searchsorted(r * _ROW + c1, (r + 1) * _ROW + c0, side="left")
+    hi = np.searchsorted(r * _ROW + c0, (r + 1) * _ROW + c1, side="right")
+    n = np.maximum(hi - lo, 0)
+    a = np.repeat(np.arange(len(r)), n)
+    b = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n) + np.repeat(lo, n)
+    label = np.arange(len(r))
+    while True:
+        least = np.minimum(label[a], label[b])
+        spread = label.copy()
+        np.minimum.at(spread, a, least)
+        np.minimum.at(spread, b, least)
+        spread = spread[spread]
+        if np.array_equal(spread, label):
+            break
+        label = spread
+    out = {k: np.repeat(pixels[k].to_numpy()[:1], len(r)) for k in keys}
+    out |= {"row": r, "c0": c0, "c1": c1, "node": r[label] * _ROW + c0[label]}
+    out |= {s: np.add.reduceat(pixels[s].to_numpy(), start) for s in sums}
+    return pd.DataFrame(out)
+
+
+def block_runs(
+    cells: DataFrame, mask: str = "mask", keys: Sequence[str] = ("scene_id",), block: int = BLOCK, **sums: Column
+) -> DataFrame:
+    """Runs of set pixels (row, c0, c1), cut at block borders, with their label inside the block and sums."""
+    on = cells.filter(F.col(mask).cast("int") == 1).select(
+        *keys,
+        F.col("row").cast("bigint").alias("row"),
+        F.col("col").cast("bigint").alias("col"),
+        *[c.cast("double").alias(n) for n, c in sums.items()],
+    )
+    names, carried = list(keys), list(sums)
+    types = dict(on.dtypes)
+    schema = ", ".join(
+        [f"{k} {types[k]}" for k in names] + ["row bigint, c0 bigint, c1 bigint, node bigint"] + [f"{s} double" for s in carried]
+    )
+    blocks = [F.floor(F.col(c) / block).alias(f"_{c}") for c in ("row", "col")]
+    return on.groupBy(*names, *blocks).applyInPandas(lambda pdf: _block_runs(pdf, names, carried), schema)
 
-def touching_runs(found: DataFrame) -> DataFrame:
-    """Pairs (a, b) of runs in neighbouring rows that share a column, a below b.
 
-    Runs are cut into column buckets for an equi-join; a pair counts in the bucket of its
-    first shared column only.
-    """
-    cut = found.select("scene_id", "row", "c0", "c1", "node").withColumn(
-        "_k", F.explode(F.sequence(F.floor(F.col("c0") / BUCKET), F.floor(F.col("c1") / BUCKET)))
+def border_edges(found: DataFrame, keys: Sequence[str] = ("scene_id",), block: int = BLOCK) -> DataFrame:
+    """Pairs (a, b) of block labels that touch across a block border, a above b."""
+    side = found.filter((F.col("c1") + 1) % block == 0).select(*keys, "row", (F.col("c1") + 1).alias("c0"), F.col("node").alias("x"))
+    across = side.join(found.select(*keys, "row", "c0", F.col("node").alias("y")), [*keys, "row", "c0"])
+    slot = F.floor(F.col("c0") / block).alias("_slot")
+    bottom = found.filter((F.col("row") + 1) % block == 0).select(
+        *keys, (F.col("row") + 1).alias("row"), slot, F.col("c0").alias("u0"), F.col("c1").alias("u1"), F.col("node").alias("x")
     )
-    upper = cut.select("scene_id", (F.col("row") + 1).alias("row"), "_k", F.col("c0").alias("u0"), F.col("c1").alias("u1"), F.col("node").alias("b"))
-    met = cut.join(upper, ["scene_id", "row", "_k"])
-    shared = F.greatest("c0", "u0")
-    hit = (shared <= F.least("c1", "u1")) & (F.floor(shared / BUCKET) == F.col("_k"))
-    return met.filter(hit).select("scene_id", F.col("node").alias("a"), "b")
+    top = found.filter(F.col("row") % block == 0).select(*keys, "row", slot, "c0", "c1", F.col("node").alias("y"))
+    down = bottom.join(top, [*keys, "row", "_slot"]).filter("c0 <= u1 and u0 <= c1")
+    pairs = across.select(*keys, "x", "y").unionByName(down.select(*keys, "x", "y")).filter("x <> y")
+    return pairs.select(*keys, F.greatest("x", "y").alias("a"), F.least("x", "y").alias("b")).distinct()
 
 
-def _signature(edges: DataFrame) -> tuple:
-    h = F.xxhash64("scene_id", "a", "b")
+def _signature(edges: DataFrame, keys: Sequence[str]) -> tuple:
+    h = F.xxhash64(*keys, "a", "b")
     row = edges.agg(F.count("*").alias("n"), F.bit_xor(h).alias("x"), F.sum(F.pmod(h, F.lit(1_000_003))).alias("s")).first()
     return row["n"], row["x"], row["s"]
 
 
-def _large_star(edges: DataFrame) -> DataFrame:
+def _large_star(edges: DataFrame, keys: Sequence[str]) -> DataFrame:
     """Hang every larger neighbour of a node on the smallest node around it."""
-    both = edges.select("scene_id", F.col("a").alias("u"), F.col("b").alias("v")).unionByName(
-        edges.select("scene_id", F.col("b").alias("u"), F.col("a").alias("v"))
+    both = edges.select(*keys, F.col("a").alias("u"), F.col("b").alias("v")).unionByName(
+        edges.select(*keys, F.col("b").alias("u"), F.col("a").alias("v"))
     )
-    least = both.groupBy("scene_id", "u").agg(F.min("v").alias("m")).withColumn("m", F.least("u", "m"))
-    hung = both.filter("v > u").join(least, ["scene_id", "u"])
-    return hung.select("scene_id", F.col("v").alias("a"), F.col("m").alias("b")).distinct()
+    least = both.groupBy(*keys, "u").agg(F.min("v").alias("m")).withColumn("m", F.least("u", "m"))
+    return both.filter("v > u").join(least, [*keys, "u"]).select(*keys, F.col("v").alias("a"), F.col("m").alias("b"))
 
 
-def _small_star(edges: DataFrame) -> DataFrame:
+def _small_star(edges: DataFrame, keys: Sequence[str]) -> DataFrame:
     """Hang a node and its smaller neighbours on the smallest of them."""
-    least = edges.groupBy("scene_id", "a").agg(F.min("b").alias("m"))
-    hung = edges.join(least, ["scene_id", "a"]).filter("b <> m").select("scene_id", F.col("b").alias("a"), F.col("m").alias("b"))
-    return hung.unionByName(least.select("scene_id", "a", F.col("m").alias("b"))).distinct()
+    least = edges.groupBy(*keys, "a").agg(F.min("b").alias("m"))
+    hung = edges.join(least, [*keys, "a"]).filter("b <> m").select(*keys, F.col("b").alias("a"), F.col("m").alias("b"))
+    return hung.unionByName(least.select(*keys, "a", F.col("m").alias("b"))).distinct()
 
 
-def contract(edges: DataFrame) -> DataFrame:
-    """(scene_id, a, b): every node of an edge with the smallest node of its component.
+def contract(edges: DataFrame, keys: Sequence[str] = ("scene_id",)) -> DataFrame:
+    """(keys, a, b): every node of an edge with the smallest node of its component.
 
-    Rounds repeat until the edge set stays the same; the number of rounds is logarithmic in
-    the size of the largest component, and there is no cap that could cut it short.
+    Rounds repeat until the edge set stays the same; their number is logarithmic in the size
+    of the largest component, and no cap could cut it short.
     """
     current = cut_lineage(edges)
-    before = _signature(current)
+    before = _signature(current, keys)
     while before[0] > 0:
-        current = cut_lineage(_small_star(_large_star(current)))
-        after = _signature(current)
+        current = cut_lineage(_small_star(_large_star(current, keys), keys))
+        after = _signature(current, keys)
         if after == before:
             break
         before = after
     return current
 
 
-def label_runs(found: DataFrame) -> DataFrame:
-    """Add ``label`` to runs: the first pixel, in row-major order, of their component."""
-    kept = cut_lineage(found)
-    roots = contract(touching_runs(kept)).select("scene_id", F.col("a").alias("node"), F.col("b").alias("label"))
-    labelled = kept.join(roots, ["scene_id", "node"], "left")
-    return labelled.withColumn("label", F.coalesce("label", "node"))
+def label_runs(
+    cells: DataFrame, mask: str = "mask", keys: Sequence[str] = ("scene_id",), block: int = BLOCK, **sums: Column
+) -> DataFrame:
+    """Runs with ``label``: the first pixel, in row-major order, of their component."""
+    found = cut_lineage(block_runs(cells, mask, keys, block, **sums))
+    roots = contract(border_edges(found, keys, block), keys).select(*keys, F.col("a").alias("node"), F.col("b").alias("label"))
+    return found.join(roots, [*keys, "node"], "left").withColumn("label", F.coalesce("label", "node"))
 
 
-def components(cells: DataFrame, mask: str = "mask") -> DataFrame:
-    """scene_id, row, col, label of every set pixel."""
-    labelled = label_runs(runs(cells, mask))
-    return labelled.select("scene_id", "row", F.explode(F.sequence("c0", "c1")).alias("col"), "label")
+def components(cells: DataFrame, mask: str = "mask", keys: Sequence[str] = ("scene_id",), block: int = BLOCK) -> DataFrame:
+    """keys, row, col, label of every set pixel."""
+    labelled = label_runs(cells, mask, keys, block)
+    return labelled.select(*keys, "row", F.explode(F.sequence("c0", "c1")).alias("col"), "label")
 
 
-def component_sizes(labelled: DataFrame, **sums: str) -> DataFrame:
+def component_sizes(labelled: DataFrame, keys: Sequence[str] = ("scene_id",), sums: Sequence[str] = ()) -> DataFrame:
     """Pixels, extent and carried sums per component, from labelled runs."""
     size = F.sum(F.col("c1") - F.col("c0") + 1)
-    return labelled.groupBy("scene_id", "label").agg(
+    return labelled.groupBy(*keys, "label").agg(
         size.alias("pixels"),
         F.min("row").alias("row_min"),
         F.max("row").alias("row_max"),
         F.min("c0").alias("col_min"),
         F.max("c1").alias("col_max"),
-        *[F.sum(c).alias(n) for n, c in sums.items()],
+        *[F.sum(c).alias(c) for c in sums],
     )

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
 from typing import NamedTuple
 
 from pyspark.sql import Column, DataFrame
@@ -13,7 +14,7 @@ from scenelake.functions.crs import to_wgs84
 from scenelake.functions.optical import excess_green, target_mask, track_mask
 from scenelake.functions.radar import grounding_mask
 from scenelake.operators import morphology as mo
-from scenelake.operators.components import component_sizes, label_runs, runs
+from scenelake.operators.components import component_sizes, label_runs
 from scenelake.operators.quantiles import counted_quantiles, quantiles
 from scenelake.operators.ranking import rank_within
 
@@ -110,25 +111,26 @@ def cleaned_mask(px: DataFrame, headers: DataFrame, feature: str) -> DataFrame:
     return _by_window(cells, usable, recipe.share, recipe.least, lambda part, size: step(part, size))
 
 
-def _percent_boxes(labelled: DataFrame, chosen: DataFrame, headers: DataFrame, pad: float) -> DataFrame:
-    """Box from the 1st to the 99th percentile of rows and columns, in percent with a pad."""
-    members = labelled.join(chosen.select("scene_id", "label"), ["scene_id", "label"], "left_semi")
-    rows = members.groupBy("scene_id", "label", "row").agg(F.sum(F.col("c1") - F.col("c0") + 1).alias("n"))
+KEYS = ("feature", "scene_id")
+
+
+def _percent_boxes(labelled: DataFrame, chosen: DataFrame, headers: DataFrame) -> DataFrame:
+    """Box from the 1st to the 99th percentile of rows and columns, in percent with the pad."""
+    keys, probs = [*KEYS, "label"], [0.01, 0.99]
+    members = labelled.join(chosen.select(*keys), keys, "left_semi")
+    rows = members.groupBy(*keys, "row").agg(F.sum(F.col("c1") - F.col("c0") + 1).alias("n"))
     cols = (
-        members.select("scene_id", "label", F.explode(F.sequence("c0", "c1")).alias("col"))
-        .groupBy("scene_id", "label", "col")
-        .agg(F.count("*").alias("n"))
+        members.select(*keys, F.explode(F.sequence("c0", "c1")).alias("col")).groupBy(*keys, "col").agg(F.count("*").alias("n"))
     )
-    keys, probs = ["scene_id", "label"], [0.01, 0.99]
     by_row = counted_quantiles(rows, keys, "row", probs, ["row_lo", "row_hi"])
     by_col = counted_quantiles(cols, keys, "col", probs, ["col_lo", "col_hi"])
     joined = chosen.join(by_row, keys).join(by_col, keys).join(headers.select("scene_id", "height", "width"), "scene_id")
 
     def low(c: str, side: str) -> Column:
-        return F.greatest(F.lit(0.0), F.col(c) / F.col(side) * 100.0 - pad)
+        return F.greatest(F.lit(0.0), F.col(c) / F.col(side) * 100.0 - F.col("pad"))
 
     def high(c: str, side: str) -> Column:
-        return F.least(F.lit(100.0), F.col(c) / F.col(side) * 100.0 + pad)
+        return F.least(F.lit(100.0), F.col(c) / F.col(side) * 100.0 + F.col("pad"))
 
     return joined.select(
         *chosen.columns,
@@ -139,65 +141,76 @@ def _percent_boxes(labelled: DataFrame, chosen: DataFrame, headers: DataFrame, p
     )
 
 
-def scored_components(labelled: DataFrame, feature: str) -> DataFrame:
-    """Components worth boxing with their score."""
-    recipe = RECIPES[feature]
-    sums = {"trees": {"exg": "exg"}, "sports": {"track": "track"}}.get(feature, {})
-    sized = component_sizes(labelled, **sums)
-    if feature == "trees":
-        score = F.col("pixels") * (F.col("exg") / F.col("pixels") + 10.0)
-    elif feature == "sports":
-        score = F.col("pixels") + F.col("track") * 25.0
-    else:
-        score = F.col("pixels").cast("double")
-    large = F.col("pixels") >= recipe.min_pixels
-    if feature != "sports":
-        return sized.filter(large).withColumn("score", score.cast("double"))
-    # Scenes without a large enough ground fall back to plain area.
-    any_large = sized.groupBy("scene_id").agg(F.bool_or(large).alias("any_large"))
-    kept = sized.join(any_large, "scene_id").filter(large | ~F.col("any_large"))
-    return kept.withColumn("score", F.when(F.col("any_large"), score).otherwise(F.col("pixels")).cast("double")).drop("any_large")
-
-
-def target_regions(px: DataFrame, headers: DataFrame, feature: str, k: int = 3, digits: int | None = 2) -> DataFrame:
-    """Up to k boxes of a target per scene, best first.
-
-    ``px``: scene_id, row, col, r, g, b (0..255); ``headers``: scene_id, height, width.
+def _per_feature(values: dict) -> Column:
+    """A recipe value picked by the feature column."""
+    return F.element_at(F.create_map(*[F.lit(x) for pair in values.items() for x in pair]), F.col("feature"))
+
+
+def scored_components(labelled: DataFrame) -> DataFrame:
+    """Components worth boxing, with their score, from labelled runs that carry exg and track."""
+    sized = component_sizes(labelled, KEYS, ("exg", "track"))
+    area = F.col("pixels").cast("double")
+    score = (
+        F.when(F.col("feature") == "trees", area * (F.col("exg") / area + 10.0))
+        .when(F.col("feature") == "sports", area + F.col("track") * 25.0)
+        .otherwise(area)
+    )
+    sized = sized.withColumn("_large", F.col("pixels") >= _per_feature({f: r.min_pixels for f, r in RECIPES.items()}))
+    # Sports scenes without a large enough ground fall back to plain area.
+    grounds = sized.filter("feature = 'sports'").groupBy(*KEYS).agg(F.bool_or("_large").alias("_any"))
+    joined = sized.join(grounds, list(KEYS), "left")
+    fallback = (F.col("feature") == "sports") & ~F.col("_any")
+    kept = joined.filter(F.col("_large") | fallback)
+    return kept.withColumn("score", F.when(fallback, area).otherwise(score)).drop("_large", "_any")
+
+
+def target_regions(
+    px: DataFrame, headers: DataFrame, features: str | Sequence[str], k: int = 3, digits: int | None = 2
+) -> DataFrame:
+    """Up to k boxes of each target per scene, best first.
+
+    ``px``: scene_id, row, col, r, g, b (0..255); ``headers``: scene_id, height, width. All
+    targets share one labelling.
     """
-    recipe = RECIPES[feature]
-    mask = cleaned_mask(px, headers, feature)
-    sums = {"trees": {"exg": excess_green()}, "sports": {"track": track_mask().cast("int")}}.get(feature, {})
-    labelled = label_runs(runs(mask, **sums))
-    return _boxed(labelled, scored_components(labelled, feature), headers, feature, recipe.pad, recipe.min_side, k, digits)
+    masks = None
+    for feature in [features] if isinstance(features, str) else features:
+        mask = cleaned_mask(px, headers, feature).filter("mask = 1").withColumn("feature", F.lit(feature))
+        masks = mask if masks is None else masks.unionByName(mask)
+    labelled = label_runs(masks, keys=KEYS, exg=excess_green(), track=track_mask().cast("int"))
+    scored = scored_components(labelled).withColumn("pad", _per_feature({f: r.pad for f, r in RECIPES.items()}))
+    boxes = _boxed(labelled, scored, headers, k)
+    needs_side = F.col("feature").isin(*[f for f, r in RECIPES.items() if r.min_side])
+    return _rounded(boxes.filter(~needs_side | is_large_enough()), digits)
+
+
+def _boxed(labelled: DataFrame, scored: DataFrame, headers: DataFrame, k: int) -> DataFrame:
+    ranked = rank_within(scored, KEYS, -F.col("score"), ["label"]).filter(F.col("rank") <= k)
+    chosen = ranked.select(*KEYS, "label", "rank", "pixels", "score", "pad")
+    return _percent_boxes(labelled, chosen, headers).drop("pad")
 
 
-def _boxed(labelled, scored, headers, feature, pad, min_side, k, digits) -> DataFrame:
-    ranked = rank_within(scored, ["scene_id"], -F.col("score"), ["label"]).filter(F.col("rank") <= k)
-    chosen = ranked.select("scene_id", "label", "rank", "pixels", "score")
-    boxes = _percent_boxes(labelled, chosen, headers, pad)
-    if min_side:
-        boxes = boxes.filter(is_large_enough())
-    if digits is not None:
-        boxes = boxes.withColumns({c: F.round(c, digits) for c in ("ymin", "xmin", "ymax", "xmax")})
-    return boxes.withColumn("feature", F.lit(feature))
+def _rounded(boxes: DataFrame, digits: int | None) -> DataFrame:
+    if digits is None:
+        return boxes
+    return boxes.withColumns({c: F.round(c, digits) for c in ("ymin", "xmin", "ymax", "xmax")})
 
 
 def radar_regions(px_db: DataFrame, headers: DataFrame, intent: str, k: int = 3, digits: int | None = 2) -> DataFrame:
     """Up to k boxes of a radar target (strong, water, rough, other) per scene, largest first."""
     usable = headers.filter((F.col("height") >= MIN_SIDE) & (F.col("width") >= MIN_SIDE))
-    cells = px_db.join(usable.select("scene_id"), "scene_id", "left_semi").withColumn("mask", grounding_mask(intent).cast("int"))
-    labelled = label_runs(runs(cells))
-    scored = component_sizes(labelled).filter(F.col("pixels") >= RADAR_MIN_PIXELS).withColumn("score", F.col("pixels").cast("double"))
-    return _boxed(labelled, scored, headers, f"radar_{intent}", 0.5, False, k, digits)
+    cells = px_db.join(usable.select("scene_id"), "scene_id", "left_semi").withColumns(
+        {"mask": grounding_mask(intent).cast("int"), "feature": F.lit(f"radar_{intent}")}
+    )
+    labelled = label_runs(cells, keys=KEYS)
+    scored = component_sizes(labelled, KEYS).filter(F.col("pixels") >= RADAR_MIN_PIXELS)
+    scored = scored.withColumn("score", F.col("pixels").cast("double")).withColumn("pad", F.lit(0.5))
+    return _rounded(_boxed(labelled, scored, headers, k), digits)
 
 
 def scene_overview(px: DataFrame, headers: DataFrame, digits: int | None = 2) -> DataFrame:
     """Best box of each target per scene."""
-    out = None
-    for feature, label in OVERVIEW.items():
-        best = target_regions(px, headers, feature, 1, digits).withColumn("label", F.lit(label))
-        out = best if out is None else out.unionByName(best)
-    return out.withColumn("confidence", F.lit(0.93))
+    best = target_regions(px, headers, list(OVERVIEW), 1, digits)
+    return best.withColumn("label", _per_feature(OVERVIEW)).withColumn("confidence", F.lit(0.93))
 
 
 def ground(boxes: DataFrame, headers: DataFrame, feature: str) -> DataFrame:
