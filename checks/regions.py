@@ -79,11 +79,8 @@ QUERIES["r3_components"] = lambda spark, sf: cc.components(_grid(spark, sf), blo
 SQL["r3_components"] = sql("px_grid", f"with recursive {label_sql('px_grid', 40)} select scene_id, row, col, label from labelled")
 
 QUERIES["w5_top_regions"] = lambda spark, sf: (
-    rg.rank_within(
-        cc.component_sizes(cc.label_runs(_grid(spark, sf))), ["scene_id"], -F.col("pixels"), ["label"]
-    )
-    .filter("rank <= 3")
-    .select("scene_id", "label", "rank", "pixels", "row_min", "row_max", "col_min", "col_max")
+    rg.top_k(cc.component_sizes(cc.label_runs(_grid(spark, sf))), ["scene_id"], [F.col("pixels").desc(), F.col("label")], 3)
+    .select("scene_id", "label", F.col("rank").cast("bigint").alias("rank"), "pixels", "row_min", "row_max", "col_min", "col_max")
 )
 SQL["w5_top_regions"] = sql(
     "px_grid",

@@ -12,11 +12,11 @@ from __future__ import annotations
 from collections.abc import Sequence
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from scenelake.session import cut_lineage
+from scenelake.session import cut_lineage, spread
 
 BLOCK = 256
 _ROW = 2**32
@@ -27,10 +27,11 @@ def node_id(row: Column, col: Column) -> Column:
     return row.cast("bigint") * F.lit(_ROW) + col.cast("bigint")
 
 
-def _block_runs(pixels: pd.DataFrame, keys: list[str], sums: list[str]) -> pd.DataFrame:
+def _block_runs(pixels: pa.Table, keys: list[str], sums: list[str]) -> pa.Table:
     """Labelled horizontal runs of the set pixels of one block."""
-    pixels = pixels.sort_values(["row", "col"])
     row, col = pixels["row"].to_numpy(), pixels["col"].to_numpy()
+    order = np.lexsort((col, row))
+    row, col = row[order], col[order]
     first = np.r_[True, (row[1:] != row[:-1]) | (col[1:] != col[:-1] + 1)]
     start = np.flatnonzero(first)
     r, c0, c1 = row[start], col[start], col[np.r_[start[1:] - 1, len(row) - 1]]
@@ -43,17 +44,18 @@ def _block_runs(pixels: pd.DataFrame, keys: list[str], sums: list[str]) -> pd.Da
     label = np.arange(len(r))
     while True:
         least = np.minimum(label[a], label[b])
-        spread = label.copy()
-        np.minimum.at(spread, a, least)
-        np.minimum.at(spread, b, least)
-        spread = spread[spread]
-        if np.array_equal(spread, label):
+        wider = label.copy()
+        np.minimum.at(wider, a, least)
+        np.minimum.at(wider, b, least)
+        wider = wider[wider]
+        if np.array_equal(wider, label):
             break
-        label = spread
-    out = {k: np.repeat(pixels[k].to_numpy()[:1], len(r)) for k in keys}
+        label = wider
+    same = pa.array(np.zeros(len(r), dtype=np.int64))
+    out = {k: pixels[k].take(same) for k in keys}
     out |= {"row": r, "c0": c0, "c1": c1, "node": r[label] * _ROW + c0[label]}
-    out |= {s: np.add.reduceat(pixels[s].to_numpy(), start) for s in sums}
-    return pd.DataFrame(out)
+    out |= {s: np.add.reduceat(pixels[s].to_numpy()[order], start) for s in sums}
+    return pa.table(out)
 
 
 def block_runs(
@@ -71,8 +73,9 @@ def block_runs(
     schema = ", ".join(
         [f"{k} {types[k]}" for k in names] + ["row bigint, c0 bigint, c1 bigint, node bigint"] + [f"{s} double" for s in carried]
     )
-    blocks = [F.floor(F.col(c) / block).alias(f"_{c}") for c in ("row", "col")]
-    return on.groupBy(*names, *blocks).applyInPandas(lambda pdf: _block_runs(pdf, names, carried), schema)
+    placed = on.withColumns({f"_{c}": F.floor(F.col(c) / block) for c in ("row", "col")})
+    grouped = spread(placed, *names, "_row", "_col").groupBy(*names, "_row", "_col")
+    return grouped.applyInArrow(lambda table: _block_runs(table, names, carried), schema)
 
 
 def border_edges(found: DataFrame, keys: Sequence[str] = ("scene_id",), block: int = BLOCK) -> DataFrame:

@@ -10,6 +10,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from scenelake.session import spread
+
 BLOCK = 256
 
 
@@ -22,7 +24,7 @@ def _blocks(axis: str, halo: int, block: int) -> Column:
 def with_halo(cells: DataFrame, halo: int, block: int = BLOCK) -> DataFrame:
     """Copy each cell into every block whose halo holds it, and shuffle by block."""
     copies = cells.withColumn("_br", F.explode(_blocks("row", halo, block))).withColumn("_bc", F.explode(_blocks("col", halo, block)))
-    return copies.repartition("scene_id", "_br", "_bc")
+    return spread(copies, "scene_id", "_br", "_bc")
 
 
 def without_halo(blocked: DataFrame, block: int = BLOCK) -> DataFrame:

@@ -53,6 +53,16 @@ def rank_within(
     return numbered.withColumn(out, F.col("_before") + F.col("_local")).select(*df.columns, out)
 
 
+def top_k(df: DataFrame, keys: Sequence[str], order: Sequence[Column], k: int, out: str = "rank") -> DataFrame:
+    """The first k rows of each group by ``order``, numbered 1..k.
+
+    A row_number with a bound lets Spark keep k rows per group on the map side already, so
+    a large group never reaches one task whole.
+    """
+    number = F.row_number().over(Window.partitionBy(*keys).orderBy(*order))
+    return df.withColumn(out, number).filter(F.col(out) <= k)
+
+
 def top_one(df: DataFrame, keys: Sequence[str], order: Sequence[Column]) -> DataFrame:
     """The row with the greatest ``order`` per group, by a map-side combined aggregation."""
     rest = [c for c in df.columns if c not in keys]

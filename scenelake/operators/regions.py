@@ -16,7 +16,8 @@ from scenelake.functions.radar import grounding_mask
 from scenelake.operators import morphology as mo
 from scenelake.operators.components import component_sizes, label_runs
 from scenelake.operators.quantiles import counted_quantiles, quantiles
-from scenelake.operators.ranking import rank_within
+from scenelake.operators.ranking import top_k
+from scenelake.session import cut_lineage
 
 MIN_SIDE = 10
 
@@ -184,8 +185,8 @@ def target_regions(
 
 
 def _boxed(labelled: DataFrame, scored: DataFrame, headers: DataFrame, k: int) -> DataFrame:
-    ranked = rank_within(scored, KEYS, -F.col("score"), ["label"]).filter(F.col("rank") <= k)
-    chosen = ranked.select(*KEYS, "label", "rank", "pixels", "score", "pad")
+    best = top_k(scored, KEYS, [F.col("score").desc(), F.col("label")], k)
+    chosen = cut_lineage(best.select(*KEYS, "label", F.col("rank").cast("bigint").alias("rank"), "pixels", "score", "pad"))
     return _percent_boxes(labelled, chosen, headers).drop("pad")
 
 

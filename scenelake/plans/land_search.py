@@ -14,6 +14,7 @@ from scenelake.operators import candidates as cd
 from scenelake.operators.components import component_sizes, label_runs
 from scenelake.operators.overlap import overlap_join
 from scenelake.operators.query_text import parse_land_queries
+from scenelake.session import cut_lineage
 
 
 class LandSearch(NamedTuple):
@@ -122,7 +123,7 @@ def land_search(
     cand = kept.withColumn("distance_km", geo.distance_km("lat", "lon", "lat0", "lon0")).withColumn(
         "cand_id", F.concat_ws("-", "scene_id", "label")
     )
-    ranked = _rank_by_request(cand)
+    ranked = _rank_by_request(cut_lineage(cand))
     return LandSearch(parsed, ranked, _answers(parsed, ranked))
 
 

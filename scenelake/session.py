@@ -49,3 +49,12 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     """Write ``df`` to the checkpoint folder and go on from there."""
     ensure_checkpoint_dir(df.sparkSession)
     return df.checkpoint(eager=True)
+
+
+def spread(df: DataFrame, *keys) -> DataFrame:
+    """Shuffle by keys into the session's number of shuffle partitions.
+
+    For steps that cost much more per byte than a scan (window passes, Python groups): the
+    fixed number keeps small inputs from being merged into one task.
+    """
+    return df.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), *keys)
