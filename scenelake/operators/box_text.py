@@ -33,23 +33,23 @@ def _entry(label: Column, score: Column, box: Column) -> Column:
     return F.struct(label.alias("label"), score.alias("confidence"), box.alias("box"))
 
 
-def _numbers(match: Column, pattern: str, groups: int) -> Column:
-    """Groups of one match as an array of doubles, so that later steps do not parse again."""
-    return F.array(*[_part(match, pattern, k).cast("double") for k in range(1, groups + 1)])
+def _numbers(match: Column, pattern: str) -> Column:
+    """All numbers of one match as doubles, so that later steps do not parse again."""
+    return F.transform(F.regexp_extract_all(match, F.lit(pattern), F.lit(0)), lambda n: n.cast("double"))
 
 
 def _token_boxes(text: Column, default_label: str, digits: int | None) -> Column:
     def named(c: Column) -> Column:
         label = F.coalesce(_part(c, CLUSTER, 1), _part(c, CLUSTER, 2), F.lit(default_label))
         clean = F.initcap(_strip(F.regexp_replace(_strip(label), LABEL_LEAD, "")))
-        tokens = F.transform(F.regexp_extract_all(c, F.lit(TOKEN), F.lit(0)), lambda t: _numbers(t, TOKEN, 5))
+        tokens = F.transform(F.regexp_extract_all(c, F.lit(TOKEN), F.lit(0)), lambda t: _numbers(t, r"\d+"))
         return F.struct(clean.alias("label"), tokens.alias("tokens"))
 
     def boxes(c: Column) -> Column:
         label = F.when(F.length(c["label"]) < 2, default_label).otherwise(c["label"])
 
         def token(n: Column) -> Column:
-            score = F.coalesce(n[4] / 100.0, F.lit(DEFAULT_SCORE))
+            score = F.coalesce(F.get(n, F.lit(4)) / 100.0, F.lit(DEFAULT_SCORE))
             return _entry(label, F.round(score, 2), normalize_box(n[0], n[1], n[2], n[3], fmt="token", digits=digits))
 
         return F.transform(c["tokens"], token)
@@ -61,7 +61,7 @@ def _token_boxes(text: Column, default_label: str, digits: int | None) -> Column
 def _bracket_boxes(text: Column, default_label: str, width, height, digits: int | None) -> Column:
     def parsed(m: Column) -> Column:
         words = _strip(F.regexp_extract(m, r"^[A-Za-z\s]*", 0))
-        return F.struct(words.alias("words"), _numbers(m, BRACKET, 4).alias("n"))
+        return F.struct(words.alias("words"), _numbers(m, r"\d+(?:\.\d+)?").alias("n"))
 
     def bracket(p: Column) -> Column:
         label = F.when(F.length(p["words"]) > 2, p["words"]).otherwise(default_label)
@@ -69,7 +69,8 @@ def _bracket_boxes(text: Column, default_label: str, width, height, digits: int
         box = normalize_box(n[0], n[1], n[2], n[3], width=width, height=height, digits=digits)
         return _entry(label, F.lit(DEFAULT_SCORE), box)
 
-    return F.transform(F.transform(F.regexp_extract_all(text, F.lit(LABELLED_BRACKET), F.lit(0)), parsed), bracket)
+    boxes = F.transform(F.transform(F.regexp_extract_all(text, F.lit(LABELLED_BRACKET), F.lit(0)), parsed), bracket)
+    return F.when(text.contains("["), boxes).otherwise(F.array().cast(f"ARRAY<{_BOX}>"))
 
 
 def extract_boxes(

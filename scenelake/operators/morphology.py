@@ -7,6 +7,8 @@ Outside the raster, and where a cell is missing, the mask counts as 0.
 
 from __future__ import annotations
 
+from typing import NamedTuple
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -91,6 +93,34 @@ def closing(cells: DataFrame, size: int, mask: str = "mask", block: int = BLOCK)
     return _run(cells, size, mask, [_dilate, _erode], block)
 
 
+class MaskFilter(NamedTuple):
+    """Opening or closing of one mask column."""
+
+    size: int
+    closing: bool
+
+
+def filter_masks(cells: DataFrame, filters: dict[str, MaskFilter], block: int = BLOCK) -> DataFrame:
+    """Open or close several mask columns of one table together.
+
+    All masks share the shuffle and, pass by pass, the two sorts.
+    """
+    reach = max(f.size // 2 + 1 for f in filters.values()) * 2
+    work = with_halo(cells.withColumns({m: F.col(m).cast("int") for m in filters}), reach, block)
+    for second in (False, True):
+        across, down, done = {}, {}, {}
+        for mask, (size, closing_first) in filters.items():
+            back = size // 2
+            dilate = closing_first != second
+            low, high = (-(size - 1 - back), back) if dilate else (-back, size - 1 - back)
+            fold = F.max if dilate else F.sum
+            across[f"_s_{mask}"] = fold(mask).over(_frame("col", low, high))
+            down[f"_t_{mask}"] = fold(f"_s_{mask}").over(_frame("row", low, high))
+            done[mask] = F.col(f"_t_{mask}") if dilate else (F.col(f"_t_{mask}") == size * size).cast("int")
+        work = work.withColumns(across).withColumns(down).withColumns(done).drop(*across, *down)
+    return without_halo(work, block)
+
+
 def density(cells: DataFrame, headers: DataFrame, size: int, mask: str = "mask", block: int = BLOCK) -> DataFrame:
     """Share of set cells in a size x size window, borders mirrored (d c b a | a b c d | d c b a).
 

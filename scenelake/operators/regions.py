@@ -68,29 +68,33 @@ def _window(share: float, least: int) -> Column:
     return F.greatest(F.lit(least), F.floor(side * share)).cast("int")
 
 
-def _by_window(cells: DataFrame, headers: DataFrame, share: float, least: int, apply) -> DataFrame:
-    """Run a filter once per distinct window size.
+def _by_window(cells: DataFrame, headers: DataFrame, windows: dict[str, Column], apply) -> DataFrame:
+    """Run a filter once per distinct set of window sizes.
 
-    Only the distinct sizes come to the driver: they are bounded by the largest raster side
-    times the share, and are one or two for scenes of one product.
+    Only the distinct sizes come to the driver: they follow from the raster side alone, are
+    one or two for scenes of one product and can never be more than the largest side.
     """
-    sized = headers.withColumn("_size", _window(share, least))
-    sizes = sorted(r["_size"] for r in sized.select("_size").distinct().collect())
+    names = list(windows)
+    sized = headers.select("scene_id", *[c.alias(f"_w_{n}") for n, c in windows.items()])
+    sizes = sorted(tuple(r) for r in sized.drop("scene_id").distinct().collect())
     out = None
     for size in sizes:
-        part = cells if len(sizes) == 1 else cells.join(sized.filter(F.col("_size") == size).select("scene_id"), "scene_id", "left_semi")
-        done = apply(part, size)
+        part = cells
+        if len(sizes) > 1:
+            match = sized
+            for n, value in zip(names, size):
+                match = match.filter(F.col(f"_w_{n}") == value)
+            part = cells.join(match.select("scene_id"), "scene_id", "left_semi")
+        done = apply(part, dict(zip(names, size)))
         out = done if out is None else out.unionByName(done)
     return out if out is not None else cells
 
 
 def _urban_seed(cells: DataFrame, headers: DataFrame) -> DataFrame:
     """Cells whose density of bright roofs is in the top fifth of the scene's positive densities."""
-    dense = _by_window(
-        cells, headers, DENSITY_SHARE, DENSITY_LEAST, lambda part, size: mo.density(part, headers, size)
-    )
-    positive = dense.filter("hits > 0")
-    counts = positive.groupBy("scene_id", "density").agg(F.count("*").alias("n"))
+    windows = {"density": _window(DENSITY_SHARE, DENSITY_LEAST)}
+    dense = _by_window(cells, headers, windows, lambda part, w: mo.density(part, headers, w["density"], "urban"))
+    counts = dense.filter("hits > 0").groupBy("scene_id", "density").agg(F.count("*").alias("n"))
     limits = counted_quantiles(counts, ["scene_id"], "density", [DENSITY_QUANTILE], ["limit"])
     totals = counts.groupBy("scene_id").agg(F.sum("n").alias("cells"))
     chosen = totals.join(limits, "scene_id").select(
@@ -98,18 +102,22 @@ def _urban_seed(cells: DataFrame, headers: DataFrame) -> DataFrame:
     )
     joined = dense.join(chosen, "scene_id", "left")
     enough = F.col("density") >= F.coalesce("limit", F.lit(DENSITY_FALLBACK))
-    return joined.withColumn("mask", enough.cast("int")).drop("hits", "density", "limit")
+    return joined.withColumn("urban", enough.cast("int")).drop("hits", "density", "limit")
 
 
-def cleaned_mask(px: DataFrame, headers: DataFrame, feature: str) -> DataFrame:
-    """r, g, b pixels with the cleaned target mask."""
-    recipe = RECIPES[feature]
+def cleaned_masks(px: DataFrame, headers: DataFrame, features: Sequence[str]) -> DataFrame:
+    """r, g, b pixels with one cleaned 0/1 mask column per target; all masks share their passes."""
     usable = headers.filter((F.col("height") >= MIN_SIDE) & (F.col("width") >= MIN_SIDE))
-    cells = px.join(usable.select("scene_id"), "scene_id", "left_semi").withColumn("mask", target_mask(feature).cast("int"))
-    if feature == "urban":
+    seeds = {f: target_mask(f).cast("int") for f in features}
+    cells = px.join(usable.select("scene_id"), "scene_id", "left_semi").withColumns(seeds)
+    if "urban" in features:
         cells = _urban_seed(cells, usable)
-    step = mo.closing if recipe.closing else mo.opening
-    return _by_window(cells, usable, recipe.share, recipe.least, lambda part, size: step(part, size))
+    windows = {f: _window(RECIPES[f].share, RECIPES[f].least) for f in features}
+
+    def clean(part: DataFrame, sizes: dict[str, int]) -> DataFrame:
+        return mo.filter_masks(part, {f: mo.MaskFilter(sizes[f], RECIPES[f].closing) for f in features})
+
+    return _by_window(cells, usable, windows, clean)
 
 
 KEYS = ("feature", "scene_id")
@@ -173,10 +181,10 @@ def target_regions(
     ``px``: scene_id, row, col, r, g, b (0..255); ``headers``: scene_id, height, width. All
     targets share one labelling.
     """
-    masks = None
-    for feature in [features] if isinstance(features, str) else features:
-        mask = cleaned_mask(px, headers, feature).filter("mask = 1").withColumn("feature", F.lit(feature))
-        masks = mask if masks is None else masks.unionByName(mask)
+    names = [features] if isinstance(features, str) else list(features)
+    cleaned = cleaned_masks(px, headers, names)
+    rows = F.filter(F.array(*[F.struct(F.lit(f).alias("feature"), F.col(f).alias("mask")) for f in names]), lambda m: m["mask"] == 1)
+    masks = cleaned.select("scene_id", "row", "col", "r", "g", "b", F.inline(rows))
     labelled = label_runs(masks, keys=KEYS, exg=excess_green(), track=track_mask().cast("int"))
     scored = scored_components(labelled).withColumn("pad", _per_feature({f: r.pad for f, r in RECIPES.items()}))
     boxes = _boxed(labelled, scored, headers, k)

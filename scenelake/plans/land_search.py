@@ -38,6 +38,7 @@ def target_condition(target: str) -> Column:
     return conditions[target]
 
 
+BOX = ("x0", "y0", "x1", "y1")
 TARGETS = ("potentially_vacant_land", "low_vegetation_health", "healthy_vegetation", "water_bodies", "built_up_infrastructure")
 
 
@@ -95,40 +96,47 @@ def land_search(
     ``areas`` (query_id, x0, y0, x1, y1) replaces the box around the named place. Requests
     for change between years belong to the change jobs and get no candidates here. Pixels
     are grouped into regions once; only regions meet requests, by the scenes
-    whose footprint overlaps the requested box.
+    whose footprint overlaps the requested box. Equal requests are answered once and handed
+    to every query that made them.
     """
     parsed = parse_land_queries(queries, gaz, row_id="query_id")
     box = geo.radius_bbox("lat", "lon", "radius_km")
     placed = parsed.filter("is_supported and lat is not null").select(
         "query_id", "target", "ranking_criteria", "minimum_area_hectares", "lat", "lon",
-        *[c.alias(n) for n, c in zip(("x0", "y0", "x1", "y1"), box.values())],
+        *[c.alias(n) for n, c in zip(BOX, box.values())],
     )
     if areas is not None:
-        own = areas.select("query_id", *[F.col(c).alias(f"own_{c}") for c in ("x0", "y0", "x1", "y1")])
-        placed = placed.join(own, "query_id", "left").withColumns(
-            {c: F.coalesce(f"own_{c}", c) for c in ("x0", "y0", "x1", "y1")}
-        ).drop(*[f"own_{c}" for c in ("x0", "y0", "x1", "y1")])
+        own = areas.select("query_id", *[F.col(c).alias(f"own_{c}") for c in BOX])
+        placed = placed.join(own, "query_id", "left").withColumns({c: F.coalesce(f"own_{c}", c) for c in BOX})
+        placed = placed.drop(*own.columns[1:])
+    placed = placed.withColumn("minimum_area_hectares", F.coalesce("minimum_area_hectares", F.lit(cd.MIN_AREA_HECTARES)))
+    fields = ["target", "ranking_criteria", "minimum_area_hectares", "lat", "lon", *BOX]
+    # Parsing is the dear part of the request side and four branches need it: written once.
+    asked = cut_lineage(placed.withColumn("spec", F.concat_ws("|", *fields)).withColumn("place", F.concat_ws("|", *BOX)))
+    specs = asked.select("spec", "place", *fields).distinct()
     right, low = F.col("c") + F.col("a") * F.col("width"), F.col("f") + F.col("e") * F.col("height")
     footprints = headers.select(
         "scene_id", F.least("c", right).alias("x0"), F.least("f", low).alias("y0"), F.greatest("c", right).alias("x1"), F.greatest("f", low).alias("y1")
     )
-    met = overlap_join(footprints, placed.select("query_id", "x0", "y0", "x1", "y1"), "scene_id", "query_id", cell).select(
-        F.col("id_a").alias("scene_id"), F.col("id_b").alias("query_id")
+    places = specs.select("place", *BOX).distinct()
+    met = overlap_join(footprints, places, "scene_id", "place", cell).select(
+        F.col("id_a").alias("scene_id"), F.col("id_b").alias("place")
     )
     wanted_px = px.join(met.select("scene_id").distinct(), "scene_id", "left_semi")
     found = region_table(wanted_px, headers, date, targets, min_ratio)
-    hits = found.join(met, "scene_id").join(placed.withColumnsRenamed({"lat": "lat0", "lon": "lon0"}), ["query_id", "target"])
+    hits = found.join(met, "scene_id").join(specs.withColumnsRenamed({"lat": "lat0", "lon": "lon0"}), ["place", "target"])
     inside = hits.filter("lon >= x0 and lon <= x1 and lat >= y0 and lat <= y1")
-    kept = cd.minimum_area(inside, F.coalesce("minimum_area_hectares", F.lit(cd.MIN_AREA_HECTARES)))
+    kept = cd.minimum_area(inside, "minimum_area_hectares")
     cand = kept.withColumn("distance_km", geo.distance_km("lat", "lon", "lat0", "lon0")).withColumn(
         "cand_id", F.concat_ws("-", "scene_id", "label")
     )
-    ranked = _rank_by_request(cut_lineage(cand))
-    return LandSearch(parsed, ranked, _answers(parsed, ranked))
+    ranked = cut_lineage(_rank_by_request(cut_lineage(cand.drop(*BOX, "lat0", "lon0", "place"))))
+    by_query = asked.select("query_id", "spec")
+    return LandSearch(parsed, by_query.join(ranked, "spec").drop("spec"), _answers(parsed, by_query, ranked))
 
 
 def _rank_by_request(cand: DataFrame) -> DataFrame:
-    """Rank each request's candidates by its own criteria, in one pass."""
+    """Rank the candidates of each distinct request by its own criteria, in one pass."""
     by = F.col("ranking_criteria")
     first = (
         F.when(by == "distance_asc", F.col("distance_km"))
@@ -136,18 +144,18 @@ def _rank_by_request(cand: DataFrame) -> DataFrame:
         .otherwise(-F.col("area_hectares"))
     )
     tied = cand.withColumn("_area", -F.col("area_hectares"))
-    return cd.rank_within(tied, ["query_id"], first, ["_area", "scene_id", "label"]).drop("_area", "x0", "y0", "x1", "y1", "lat0", "lon0")
+    return cd.rank_within(tied, ["spec"], first, ["_area", "scene_id", "label"]).drop("_area")
 
 
-def _answers(parsed: DataFrame, ranked: DataFrame) -> DataFrame:
-    folded = ranked.groupBy("query_id").agg(
+def _answers(parsed: DataFrame, by_query: DataFrame, ranked: DataFrame) -> DataFrame:
+    folded = ranked.groupBy("spec").agg(
         F.count("*").alias("candidates"),
         F.sum("area_hectares").alias("total_hectares"),
         F.count_if(F.col("area_hectares") >= cd.LARGE_HECTARES).alias("large_candidates"),
         F.min_by(F.struct("area_hectares", "distance_km", "temporal_persistence"), "rank").alias("top"),
     )
     joined = parsed.select("query_id", "intent", "location", "radius_km", "minimum_area_hectares", "is_supported", "unsupported_reason", "lat").join(
-        folded, "query_id", "left"
+        by_query.join(folded, "spec").drop("spec"), "query_id", "left"
     )
     status = (
         F.when(~F.col("is_supported"), "UNSUPPORTED_QUERY")

@@ -10,6 +10,7 @@ from scenelake.operators.catalog import days_apart, scene_score
 from scenelake.operators.overlap import scene_aoi_overlap
 from scenelake.operators.query_text import parse_retrieval_queries
 from scenelake.operators.ranking import top_one
+from scenelake.session import cut_lineage
 
 AOI_HALF_DEGREES = 0.06
 
@@ -26,38 +27,49 @@ def retrieve_pairs(
     """Best scene before and after per request (query_id, text).
 
     ``scenes``: product_id, product_type, sensor, collection, acquired_at, cloud, ord and the
-    box x0, y0, x1, y1. Coverage is measured, not assumed. Scenes meet requests by the
-    footprint join and are folded to the best one per date by aggregation.
+    box x0, y0, x1, y1. Coverage is measured, not assumed. Scenes meet distinct places by the
+    footprint join and are folded to the best one per place, sensor and date by aggregation;
+    requests only look that up, so equal requests cost nothing extra.
     """
     parsed = parse_retrieval_queries(queries, gaz, row_id="query_id").filter("lat is not null")
-    asked = parsed.select(
-        "query_id", "sensor", "task",
+    spec = ["lat", "lon", "sensor", "task", "date_a", "date_b"]
+    asked = cut_lineage(parsed.select("query_id", *spec).withColumn("spec", F.concat_ws("|", *spec)))
+    wanted = asked.drop("query_id").distinct().select(
+        "spec", "sensor", "task",
         *[F.col(d).cast("timestamp_ntz").alias(d) for d in ("date_a", "date_b")],
         (F.col("lon") - half_side).alias("x0"), (F.col("lat") - half_side).alias("y0"),
         (F.col("lon") + half_side).alias("x1"), (F.col("lat") + half_side).alias("y1"),
     )
     fit = scenes.filter((F.col("collection") != "SENTINEL-2") | (F.col("cloud") <= max_cloud))
-    met = scene_aoi_overlap(fit, asked, "product_id", "query_id", cell).select(
-        F.col("scene_id").alias("product_id"), F.col("aoi_id").alias("query_id"), F.col("overlap_pct").alias("overlap")
+    # Areas meet scenes once per place; sensor and dates are compared after that.
+    places = wanted.select("x0", "y0", "x1", "y1").distinct().withColumn("place", F.concat_ws("|", "x0", "y0", "x1", "y1"))
+    met = scene_aoi_overlap(fit, places, "product_id", "place", cell).select(
+        F.col("scene_id").alias("product_id"), F.col("aoi_id").alias("place"), F.col("overlap_pct").alias("overlap")
     )
-    scene = fit.select("product_id", "product_type", F.col("sensor").alias("scene_sensor"), "acquired_at", "cloud", "ord")
-    joined = met.join(scene, "product_id").join(asked.select("query_id", "sensor", "task", "date_a", "date_b"), "query_id")
-    same = joined.filter("scene_sensor = sensor")
+    scene = fit.select("product_id", "product_type", "sensor", "acquired_at", "cloud", "ord")
     sides = F.array(
         F.struct(F.lit("before").alias("side"), F.col("date_a").alias("target_date")),
         F.struct(F.lit("after").alias("side"), F.col("date_b").alias("target_date")),
     )
-    dated = same.select("*", F.inline(sides)).filter(days_apart("acquired_at", "target_date") <= window_days)
-    scored = dated.withColumn("score", scene_score("target_date"))
-    best = top_one(scored.select("query_id", "side", "task", "product_id", "acquired_at", "score", "ord"), ["query_id", "side"], [F.col("score"), -F.col("ord")])
+    dated = wanted.select("spec", "sensor", "task", F.concat_ws("|", "x0", "y0", "x1", "y1").alias("place"), F.inline(sides))
+    # A target date is needed by many requests of a place: scenes are scored once for it.
+    goals = dated.select("place", "sensor", "target_date").distinct()
+    near = days_apart("acquired_at", "target_date") <= window_days
+    scored = met.join(scene, "product_id").join(goals, ["place", "sensor"]).filter(near).withColumn("score", scene_score("target_date"))
+    best = top_one(
+        scored.select("place", "sensor", "target_date", "product_id", "acquired_at", "score", "ord"),
+        ["place", "sensor", "target_date"],
+        [F.col("score"), -F.col("ord")],
+    )
+    chosen = dated.join(best, ["place", "sensor", "target_date"])
 
     def pick(side: str, name: str) -> Column:
         return F.max(F.when(F.col("side") == side, F.col(name))).alias(f"{side}_{name}")
 
-    paired = best.groupBy("query_id", "task").agg(*[pick(s, n) for s in ("before", "after") for n in ("product_id", "acquired_at", "score")])
+    paired = chosen.groupBy("spec").agg(*[pick(s, n) for s in ("before", "after") for n in ("product_id", "acquired_at", "score")])
+    out = asked.select("query_id", "task", "spec").join(paired, "spec").drop("spec")
     single = F.col("task") != "Bi-Temporal Change Analysis"
-    hidden = {f"after_{n}": F.when(~single, F.col(f"after_{n}")) for n in ("product_id", "acquired_at", "score")}
-    return paired.withColumns(hidden)
+    return out.withColumns({f"after_{n}": F.when(~single, F.col(f"after_{n}")) for n in ("product_id", "acquired_at", "score")})
 
 
 def request_boxes(parsed: DataFrame, half_side: float = AOI_HALF_DEGREES) -> DataFrame:
