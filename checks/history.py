@@ -221,8 +221,7 @@ TARGET_SQL = {
     "water_bodies": "ndwi > 0",
     "built_up_infrastructure": "ndbi > 0.1e0",
 }
-SQL["r12_land_search"] = sql(
-    "px_time queries gaz",
+LAND_CTES = (
     f"""with recursive i as (select scene_id, row, col, yr, {NDVI} as ndvi, {NDWI} as ndwi, {NDBI} as ndbi from px_time),
     o as ("""
     + " union all ".join(f"select '{t}' as target, scene_id, row, col, yr, {c} as hit from i" for t, c in TARGET_SQL.items())
@@ -241,11 +240,24 @@ SQL["r12_land_search"] = sql(
       case when {has(qt.NEAREST_WORDS)} then 1 when {has(qt.LARGEST_WORDS)} then 0 when {has(qt.PERSISTENT_WORDS)} then 2 else 0 end as crit
       from q join place on q.query_id = place.query_id join gaz g on place.key = g.key where not {has(qt.UNSUPPORTED_WORDS)}),
     c as (select query_id, scene_id, label, pixels, ha, ratio, crit, sqrt(((lat - lat0) * 111e0) ** 2 + ((lon - lon0) * (cos(lat0 * pi() / 180e0) * 111e0)) ** 2) as dist
-      from f join geo on f.target = geo.target and abs(lat - lat0) <= km / 111e0 and abs(lon - lon0) <= km / (cos(lat0 * pi() / 180e0) * 111e0) and ha >= least_ha)
-    select query_id, scene_id, label, pixels, {sfixed('ha', 3)} as ha, {sfixed('dist', 3)} as km, {sfixed('ratio')} as ratio,
+      from f join geo on f.target = geo.target and abs(lat - lat0) <= km / 111e0 and abs(lon - lon0) <= km / (cos(lat0 * pi() / 180e0) * 111e0) and ha >= least_ha)"""
+)
+SQL["r12_land_search"] = sql(
+    "px_time queries gaz",
+    LAND_CTES
+    + f"""select query_id, scene_id, label, pixels, {sfixed('ha', 3)} as ha, {sfixed('dist', 3)} as km, {sfixed('ratio')} as ratio,
       row_number() over (partition by query_id order by case crit when 1 then dist when 2 then -ratio else -ha end, -ha, scene_id, label) as rank from c""",
 )
 QUERIES["r12_land_search_answers"] = lambda spark, sf: _land(spark, sf).answers.select("query_id", "status", "candidates", fixed("total_hectares", 3).alias("ha"))
+SQL["r12_land_search_answers"] = sql(
+    "px_time queries gaz",
+    LAND_CTES
+    + f""" , n as (select query_id, count(*) as k, sum(ha) as ha from c group by 1)
+    select q.query_id, case when {has(qt.UNSUPPORTED_WORDS)} then 'UNSUPPORTED_QUERY' when key is null then 'UNKNOWN_LOCATION'
+      when {has(qt.SEARCH_CHANGE_WORDS)} or regexp_matches(q, '{qt.YEAR_PATTERN}') then 'CHANGE_JOB' else 'COMPLETED' end as status,
+      coalesce(k, 0) as candidates, {sfixed('n.ha', 3)} as ha from q left join place on q.query_id = place.query_id left join n on q.query_id = n.query_id""",
+)
+
 
 
 def _retrieval(spark, sf):

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from checks import views as v
 from checks.pixels import EXG, MASK_SQL
 from checks.views import fixed, sfixed, sql
+from scenelake.functions import crs
 from scenelake.operators import components as cc
 from scenelake.operators import morphology as mo
 from scenelake.operators import regions as rg
@@ -101,7 +102,14 @@ SCORES = {
     "trees": ("sum(exg) + 10e0 * count(*)", 25, 0.5, True),
     "sports": ("count(*) + 25e0 * count(*) filter (where track)", 20, 0.8, True),
     "water": ("cast(count(*) as double)", 20, 0.5, False),
+    "urban": ("cast(count(*) as double)", 40, 0.5, False),
 }
+REFLECT24 = "(case when {0} < 0 then -1 - ({0}) when {0} > 23 then 47 - ({0}) else {0} end)"
+URBAN_SEED = f"""roofs as (select scene_id, row, col, cast(({MASK_SQL['urban']}) as integer) as roof from px_rgb),
+ around as (select scene_id, row, col, {REFLECT24.format('row + dy')} as r, {REFLECT24.format('col + dx')} as c from roofs, generate_series(-2, 2) a(dy), generate_series(-2, 2) b(dx)),
+ dens as (select o.scene_id, o.row, o.col, cast(sum(p.roof) as bigint) / 25e0 as density from around o join roofs p on p.scene_id = o.scene_id and p.row = o.r and p.col = o.c group by 1, 2, 3),
+ thr as (select scene_id, case when count(*) > 50 then quantile_cont(density, 0.8) else 0.05e0 end as t from dens where density > 0 group by 1),
+ seed as (select d.scene_id, row, col, cast(density >= coalesce(t, 0.05e0) as integer) as mask from dens d left join thr on d.scene_id = thr.scene_id)"""
 
 
 def regions_sql(feature: str, kinds: str, size: int, k: int = 3, rounds: int = 120) -> str:
@@ -112,6 +120,8 @@ def regions_sql(feature: str, kinds: str, size: int, k: int = 3, rounds: int = 1
     if feature == "sports":
         fallback = f"u as (select * replace (case when max(pixels) over (partition by scene_id) < {least} then pixels else score end as score) from s qualify pixels >= {least} or max(pixels) over (partition by scene_id) < {least}),"
     seed = f"seed as (select scene_id, row, col, cast(({MASK_SQL[feature]}) as integer) as mask from px_rgb)"
+    if feature == "urban":
+        seed = URBAN_SEED
     side = "where ymax - ymin > 1.5e0 and xmax - xmin > 1.5e0" if min_side else ""
     track = "r > 165 and r > g + 40 and r > b + 70"
     return f"""with recursive {seed}, {steps_sql('seed', kinds, size, 'mask')}, {label_sql('m1', rounds)},
@@ -125,17 +135,13 @@ def regions_sql(feature: str, kinds: str, size: int, k: int = 3, rounds: int = 1
 
 
 FIELDS = ("ymin", "xmin", "ymax", "xmax")
-for _feature, _kinds, _size in (("trees", "ed", 2), ("sports", "de", 3), ("water", "de", 2)):
+for _feature, _kinds, _size in (("trees", "ed", 2), ("sports", "de", 3), ("water", "de", 2), ("urban", "ed", 2)):
     QUERIES[f"r6_regions_{_feature}"] = lambda spark, sf, feature=_feature: rg.target_regions(
         v.px_rgb(spark, sf), headers24(spark, sf), feature, digits=None
     ).select("scene_id", "rank", "pixels", *[fixed(c).alias(c) for c in FIELDS])
     SQL[f"r6_regions_{_feature}"] = sql(
         "px_rgb", regions_sql(_feature, _kinds, _size) + " select scene_id, rank, pixels, " + ", ".join(f"{sfixed(c)} as {c}" for c in FIELDS) + " from boxes"
     )
-QUERIES["r6_regions_urban"] = lambda spark, sf: rg.target_regions(v.px_rgb(spark, sf), headers24(spark, sf), "urban", digits=None).select(
-    "scene_id", "rank", "pixels", *[fixed(c).alias(c) for c in FIELDS]
-)
-
 QUERIES["r6_scene_overview"] = lambda spark, sf: rg.scene_overview(v.px_rgb(spark, sf), headers24(spark, sf)).select("scene_id", "label", *FIELDS)
 
 
@@ -150,6 +156,28 @@ def _grounded(spark, sf):
 QUERIES["r7_grounding"] = _grounded
 
 
+def inverse_utm_sql(x: str, y: str, zone_meridian: float) -> tuple[str, str]:
+    """lon, lat of northern UTM metres, written out from the published series."""
+    xi, eta = f"(({y}) / {0.9996 * crs._RADIUS!r})", f"((({x}) - 500000e0) / {0.9996 * crs._RADIUS!r})"
+    xi0 = xi + "".join(f" - {b!r} * sin({2 * j}e0 * {xi}) * cosh({2 * j}e0 * {eta})" for j, b in enumerate(crs._BETA, 1))
+    eta0 = eta + "".join(f" - {b!r} * cos({2 * j}e0 * {xi}) * sinh({2 * j}e0 * {eta})" for j, b in enumerate(crs._BETA, 1))
+    chi = f"asin(sin({xi0}) / cosh({eta0}))"
+    lat = chi + "".join(f" + {d!r} * sin({2 * j}e0 * {chi})" for j, d in enumerate(crs._DELTA, 1))
+    return f"({zone_meridian}e0 + degrees(atan2(sinh({eta0}), cos({xi0}))))", f"degrees({lat})"
+
+
+_LON, _LAT = inverse_utm_sql("x", "y", 81.0)
+SQL["r7_grounding"] = sql(
+    "px_rgb",
+    regions_sql("water", "de", 2, 2)
+    + f""", px as (select *, floor(ymin / 100e0 * 24) as y0, floor(xmin / 100e0 * 24) as x0, floor(ymax / 100e0 * 24) as y1, floor(xmax / 100e0 * 24) as x1 from boxes),
+    corner as (select scene_id, rank, greatest(1, (y1 - y0) * (x1 - x0)) * 100e0 / 1e4 as ha, unnest([x0, x1, x1, x0]) as cx, unnest([y0, y0, y1, y1]) as cy from px),
+    at as materialized (select scene_id, rank, ha, 10e0 * (cx + 0.5e0) + scene_id * 100e0 + 400000e0 as x, -10e0 * (cy + 0.5e0) + scene_id * 50e0 + 1200000e0 as y from corner)
+    select scene_id, rank, 'Water Body / Hydrological Basin #' || rank as label, {sfixed('0.93e0 - rank * 0.02e0', 4)} as confidence, {sfixed('any_value(ha)', 4)} as area_ha,
+      {sfixed(f'min({_LON})', 2)} as min_lon, {sfixed(f'max({_LAT})', 2)} as max_lat from at group by 1, 2""".replace("at as materialized", "spot as materialized").replace("from at group", "from spot group"),
+)
+
+
 def _radar_grounding(spark, sf):
     from scenelake.operators.display import radar_to_db
 

@@ -160,7 +160,8 @@ def scored_components(labelled: DataFrame) -> DataFrame:
     sized = component_sizes(labelled, KEYS, ("exg", "track"))
     area = F.col("pixels").cast("double")
     score = (
-        F.when(F.col("feature") == "trees", area * (F.col("exg") / area + 10.0))
+        # area x (mean excess green + 10), without the division so that equal scores stay equal
+        F.when(F.col("feature") == "trees", F.col("exg") + area * 10.0)
         .when(F.col("feature") == "sports", area + F.col("track") * 25.0)
         .otherwise(area)
     )

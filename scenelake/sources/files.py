@@ -70,6 +70,7 @@ def audit_files(spark: SparkSession, path: str, signature: bool = False) -> Data
     """Audit all files under a path.
 
     Without ``signature`` only names and sizes are listed; with it file contents are read.
+    Spark's file sources leave out files of length zero, so those do not appear.
     """
     files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(path)
     return audit_rows(files.select("path", "length", *(["content"] if signature else [])), signature)
