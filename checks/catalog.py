@@ -12,7 +12,7 @@ from scenelake.functions import geometry as geo
 from scenelake.functions import indices as ix
 from scenelake.operators import candidates as cd
 from scenelake.operators import catalog as cat
-from scenelake.sources import files, geojson, store
+from scenelake.sources import files, geojson, stac, store
 
 QUERIES: dict = {}
 SQL: dict[str, str] = {}
@@ -223,3 +223,31 @@ def _features(spark, sf):
 QUERIES["s6_geojson"] = _features
 SQL["s6_geojson"] = sql("footprints", f"select id, grp, 'Polygon' as kind, {sfixed('x0', 5)} as lon0, {sfixed('y0 + w', 5)} as lat2, true as closed from footprints")
 QUERIES["s2_audit_files"] = lambda spark, sf: files.audit_files(spark, sf).select("filename", "extension", "status", "is_valid", "modality")
+
+
+def _stac(spark, sf):
+    """Feature collections as JSON text made of the catalog, one per request and day, read back as scenes."""
+    c = boxed_catalog(spark, sf)
+    props = F.struct(
+        F.when(F.col("ord") % 3 == 0, F.col("product_id")).alias("id"),
+        F.when(F.col("ord") % 2 == 0, F.date_format("acquired_at", "yyyy-MM-dd'T'HH:mm:ss'Z'")).alias("datetime"),
+        F.date_format("acquired_at", "yyyy-MM-dd'T'HH:mm:ss'Z'").alias("start_datetime"),
+        F.when(F.col("ord") % 5 != 0, F.col("cloud")).alias("eo:cloud_cover"),
+        (F.col("cloud") / 2.0).alias("cloudCoverage"),
+        F.when(F.col("ord") % 4 == 0, F.lit("T43")).alias("mgrs"),
+    )
+    item = F.struct(F.when(F.col("ord") % 3 != 0, F.col("product_id")).alias("id"), F.array("x0", "y0", "x1", "y1").alias("bbox"), props.alias("properties"))
+    text = c.select(F.to_json(F.struct(F.array(item).alias("features"))).alias("text"))
+    scenes = stac.stac_rows(text.select(F.from_json("text", stac.STAC_SCHEMA).alias("t")).select("t.*"), "SENTINEL-2")
+    return scenes.select(
+        "product_id", fixed("cloud", 1).alias("cloud"), "platform", "tile_id", "x0", "y1", F.array_join("bands", ",").alias("bands"),
+        F.date_format("acquired_at", "yyyy-MM-dd").alias("day"),
+    )
+
+
+QUERIES["s3_stac_items"] = _stac
+SQL["s3_stac_items"] = sql(
+    "catalog",
+    f"""select product_id, {sfixed('case when ord % 5 <> 0 and cloud <> 0 then cloud else cloud / 2e0 end', 1)} as cloud, 'Sentinel-2B' as platform, case when ord % 4 = 0 then 'T43' else 'T44N' end as tile_id,
+    x0, y0 + w as y1, 'B02,B03,B04,B08,B11,B12' as bands, strftime(acquired_at, '%Y-%m-%d') as day from catalog""",
+)

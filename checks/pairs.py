@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from checks import views as v
 from checks.pixels import nd
+from checks.regions import label_sql
 from checks.views import fixed, sfixed, sql
 from scenelake.functions import indices as ix
 from scenelake.functions.geometry import area_units
@@ -75,6 +76,16 @@ SQL["a7_class_regions"] = sql(
     pixels, {sfixed('row_min * 100e0 / height', 1)} as ymin, {sfixed('col_max * 100e0 / width', 1)} as xmax, pixels * 100e0 as area_m2,
     {sfixed('density')} as density, {sfixed('least(greatest(density * 0.18e0 + 0.8e0, 0.82e0), 0.98e0)')} as confidence from k""",
 )
+QUERIES["a7_class_components"] = lambda spark, sf: ch.class_components(
+    ch.change_class(v.px_pair(spark, sf)), _headers(spark, sf), min_pixels=4
+).select("scene_id", "cls", "component", "pixels", "area_m2", fixed("density").alias("density"), fixed(F.col("ymax"), 1).alias("ymax"))
+SQL["a7_class_components"] = sql(
+    "px_obs px_pair",
+    f"""with recursive {CLASSED}, {HDR}, seed as (select scene_id * 10 + cls as scene_id, row, col, 1 as mask from classed where cls > 0), {label_sql('seed', 150)},
+    s as (select scene_id // 10 as sid, cast(scene_id % 10 as integer) as cls, label, count(*) as pixels, min(row) as r0, max(row) as r1, min(col) as c0, max(col) as c1 from labelled group by 1, 2, 3 having count(*) >= 4)
+    select sid as scene_id, cls, label as component, pixels, pixels * 100e0 as area_m2, {sfixed('pixels / cast((r1 - r0 + 1) * (c1 - c0 + 1) as double)')} as density,
+      {sfixed('r1 * 100e0 / height', 1)} as ymax from s join hdr on sid = hdr.scene_id""",
+)
 QUERIES["p17_region_noise_filter"] = lambda spark, sf: _regions(spark, sf, min_pixels=25).select("scene_id", "cls", "pixels")
 SQL["p17_region_noise_filter"] = sql("px_pair", f"with {EXT} select scene_id, cls, pixels from ext where cls > 0 and pixels >= 25")
 

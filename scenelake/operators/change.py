@@ -105,6 +105,7 @@ def class_regions(
     min_pixels: int = 15,
     class_map: dict[int, tuple[str, str, str]] | None = None,
     keys: Sequence[str] = ("scene_id",),
+    extra: Sequence[str] = (),
 ) -> DataFrame:
     """One region per (scene, class) of at least ``min_pixels``: box in percent, area, confidence."""
     names = class_map or CHANGE_CLASSES
@@ -124,6 +125,7 @@ def class_regions(
 
     return kept.select(
         *keys,
+        *extra,
         "cls",
         pick(0).alias("label"),
         pick(1).alias("change_type"),
@@ -221,3 +223,19 @@ def change_summary(
         F.col("mean_change"),
     )
     return out.withColumn("summary", sentence)
+
+
+def class_components(
+    classed: DataFrame,
+    headers: DataFrame,
+    gsd: float = DEFAULT_GSD_M,
+    min_pixels: int = 15,
+    keys: Sequence[str] = ("scene_id",),
+) -> DataFrame:
+    """One region per connected group of changed pixels of a class: ``class_regions`` plus ``component``, its first pixel."""
+    from scenelake.operators.components import component_sizes, label_runs
+
+    by = ("cls", *keys)
+    cells = classed.filter("cls > 0").select(*keys, "cls", "row", "col", F.lit(1).alias("mask"))
+    sized = component_sizes(label_runs(cells, keys=by), by).withColumnRenamed("label", "component")
+    return class_regions(sized, headers, gsd, min_pixels, keys=keys, extra=("component",))

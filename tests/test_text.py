@@ -69,6 +69,15 @@ def test_large_gazetteer_gives_the_same_places(spark, gaz, monkeypatch):
         assert (small[1] is None) == (mode == "word")
 
 
+def test_built_in_places(spark):
+    from scenelake.sources import gazetteer as source
+
+    assert source.places(spark).count() == 6 and source.areas(spark).count() == 18
+    row = gazetteer.geocode(texts(spark, "Show me Chennai Port today"), source.areas(spark), mode="contains").first()
+    # The first entry that is named wins, and its own box is used.
+    assert row["place_name"].startswith("Chennai Harbor") and (row["min_lon"], row["max_lat"]) == (80.18, 13.25)
+
+
 def test_coordinates_in_text(spark, gaz):
     row = gazetteer.geocode(texts(spark, "land at 11.5, 77.25"), gaz).first()
     assert (row["lat"], row["lon"], row["resolved_by"], row["min_lon"]) == (11.5, 77.25, "coordinates", 77.21)
