@@ -35,7 +35,8 @@ def stac_rows(features: DataFrame, collection: str, default_date: str | None = N
     date = F.coalesce(prop["datetime"], prop["start_datetime"], F.lit(default_date).cast("string"))
     return item.select(
         F.coalesce("id", prop["id"]).alias("product_id"),
-        F.try_to_timestamp(date).alias("acquired_at"),
+        # UTC wall clock, whatever the session's time zone
+        F.to_utc_timestamp(F.try_to_timestamp(date), F.current_timezone()).cast("timestamp_ntz").alias("acquired_at"),
         F.lit(collection).alias("collection"),
         F.round(cloud, 1).alias("cloud"),
         F.coalesce(prop["platform"], F.lit(DEFAULT_PLATFORM)).alias("platform"),
