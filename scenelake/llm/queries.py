@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from scenelake.llm import packing
+from scenelake.llm import decontaminate, packing
 from scenelake.llm.common import read
 
 QUERIES: dict = {}
@@ -18,6 +18,14 @@ def tokenizer() -> tuple[str, str]:
     return public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN
 
 
+# --- 2 benchmark decontamination
+def op2_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    documents, benchmark = read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark")
+    return decontaminate.digest(decontaminate.find_items(documents, benchmark))
+
+
+QUERIES["op2_benchmark_decontamination"] = op2_benchmark_decontamination
+
 # --- 6 best-fit packing
 def op6_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(read(spark, sf_dir, "documents"), tokenizer())
