@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from scenelake.llm import decontaminate, packing
+from scenelake.llm import decontaminate, lm_score, packing
 from scenelake.llm.common import read
 
 QUERIES: dict = {}
@@ -26,6 +26,13 @@ def op2_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame
 
 QUERIES["op2_benchmark_decontamination"] = op2_benchmark_decontamination
 
+# --- 4 language-model scoring
+def op4_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lm_score.score_corpus(read(spark, sf_dir, "documents"))
+
+
+QUERIES["op4_lm_scoring"] = op4_lm_scoring
+
 # --- 6 best-fit packing
 def op6_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(read(spark, sf_dir, "documents"), tokenizer())
