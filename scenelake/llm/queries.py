@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from scenelake.llm import decontaminate, lm_score, packing
+from scenelake.llm import decontaminate, lm_score, ngram_join, packing
 from scenelake.llm.common import read
 
 QUERIES: dict = {}
@@ -18,6 +18,13 @@ def tokenizer() -> tuple[str, str]:
     return public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN
 
 
+# --- 1 n-gram Jaccard join
+def op1_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram_join.link_components(read(spark, sf_dir, "documents"))
+
+
+QUERIES["op1_ngram_jaccard_join"] = op1_ngram_jaccard_join
+
 # --- 2 benchmark decontamination
 def op2_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     documents, benchmark = read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark")
