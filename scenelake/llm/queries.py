@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from scenelake.llm import decontaminate, lm_score, ngram_join, packing, suffix_levels
+from scenelake.llm import adaptive_rules, decontaminate, lm_score, ngram_join, packing, suffix_levels
 from scenelake.llm.common import read
 
 QUERIES: dict = {}
@@ -47,6 +47,13 @@ def op6_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES["op6_best_fit_packing"] = op6_best_fit_packing
 
+# --- 7 quality rules
+def op7_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return adaptive_rules.judge(read(spark, sf_dir, "documents"))
+
+
+QUERIES["op7_quality_rules"] = op7_quality_rules
+
 # --- 9 suffix-array dedup
 def op9_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffix_levels.digest(suffix_levels.repeated_bytes(read(spark, sf_dir, "documents")))
