@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from scenelake.llm import adaptive_rules, decontaminate, lm_score, ngram_join, packing, suffix_levels
+from scenelake.llm import adaptive_rules, decontaminate, lm_score, ngram_join, packing, quality_pu, suffix_levels
 from scenelake.llm.common import read
 
 QUERIES: dict = {}
@@ -40,6 +40,13 @@ def op4_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES["op4_lm_scoring"] = op4_lm_scoring
 
+# --- 5 quality classifier
+def op5_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality_pu.score(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"))
+
+
+QUERIES["op5_quality_classifier"] = op5_quality_classifier
+
 # --- 6 best-fit packing
 def op6_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(read(spark, sf_dir, "documents"), tokenizer())
