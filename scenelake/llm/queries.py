@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from scenelake.llm import adaptive_rules, decontaminate, lm_score, ngram_join, packing, quality_pu, suffix_levels
+from scenelake.llm import adaptive_rules, decontaminate, lm_score, ngram_join, packing, pii_weak, quality_pu, suffix_levels
 from scenelake.llm.common import read
 
 QUERIES: dict = {}
@@ -67,3 +67,10 @@ def op9_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES["op9_suffix_array_dedup"] = op9_suffix_array_dedup
+
+# --- 10 personal data
+def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii_weak.find(read(spark, sf_dir, "documents"))
+
+
+QUERIES["op10_pii"] = op10_pii
