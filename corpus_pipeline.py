@@ -6,18 +6,44 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
-from scenelake.llm import packing
+from scenelake.llm import decontaminate, ngram_join, packing, pii_weak, quality_pu
 from scenelake.llm.common import read
 from scenelake.llm.queries import tokenizer
 from scenelake.session import ensure_checkpoint_dir
 
 
+def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the quality classifier does not reject."""
+    return quality_pu.keep_good(docs, read(spark, sf_dir, "labels"))
+
+
+def ngram_jaccard_join(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document, that of the smallest doc_id, of each group of near copies."""
+    return ngram_join.keep_one(docs)
+
+
+def benchmark_decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents without any passage of a benchmark item."""
+    return decontaminate.without_contaminated(docs, read(spark, sf_dir, "benchmark"))
+
+
+def pii(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """All documents, personal data replaced by its kind."""
+    return pii_weak.masked(docs)
+
+
 def best_fit_packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Token pieces of all documents, packed into sequences."""
     return packing.pack_documents(docs, tokenizer())
 
 
-STAGES = [("best_fit_packing", best_fit_packing)]
+STAGES = [
+    ("quality_classifier", quality_classifier),
+    ("ngram_jaccard_join", ngram_jaccard_join),
+    ("benchmark_decontamination", benchmark_decontamination),
+    ("pii", pii),
+    ("best_fit_packing", best_fit_packing),
+]
 
 #: Tokens, similarity components and trained classifiers have no SQL form; tests use brute force instead.
 ORACLE_SQL = None

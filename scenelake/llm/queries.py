@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from scenelake.llm import adaptive_rules, decontaminate, lm_score, ngram_join, packing, pii_weak, quality_pu, suffix_levels
+from scenelake.llm import adaptive_rules, decontaminate, lm_score, ngram_join, packing, pii_weak, quality_pu, span_dedup, suffix_levels
 from scenelake.llm.common import read
 
 QUERIES: dict = {}
@@ -33,6 +33,13 @@ def op2_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame
 
 QUERIES["op2_benchmark_decontamination"] = op2_benchmark_decontamination
 
+# --- 3 substring dedup
+def op3_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return span_dedup.dedup(read(spark, sf_dir, "documents"))
+
+
+QUERIES["op3_substring_dedup"] = op3_substring_dedup
+
 # --- 4 language-model scoring
 def op4_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lm_score.score_corpus(read(spark, sf_dir, "documents"))
