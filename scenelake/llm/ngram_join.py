@@ -121,16 +121,18 @@ def prefix_table(docs: DataFrame, k: int = SHINGLE, percent: int = PERCENT, most
 
 
 def _tokens(groups: DataFrame) -> DataFrame:
-    """(token, gid): one row per prefix shingle of each group."""
+    """(token, gid, pos): one row per prefix shingle of each group, with its place in the global order."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             lists = [np.frombuffer(p, "<i8") for p in batch.column("prefix").to_pylist()]
             if lists:
                 gid = np.repeat(batch.column("gid").to_numpy(), [len(x) for x in lists])
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(lists).astype(np.int64)), pa.array(gid)], ["token", "gid"])
+                pos = np.concatenate([np.arange(len(x), dtype=np.int32) for x in lists])
+                columns = [pa.array(np.concatenate(lists).astype(np.int64)), pa.array(gid), pa.array(pos)]
+                yield pa.RecordBatch.from_arrays(columns, ["token", "gid", "pos"])
 
-    return groups.select("gid", "prefix").mapInArrow(run, "token long, gid long")
+    return groups.select("gid", "prefix").mapInArrow(run, "token long, gid long, pos int")
 
 
 def _may_link(a: str, b: str, percent: int) -> Column:
@@ -151,6 +153,38 @@ def _enough_shared(a: str, b: str, percent: int) -> Column:
     return F.col("shared") >= need - rest
 
 
+def _size_class(n: Column) -> Column:
+    """Sizes in classes of about three per cent."""
+    return F.floor(F.log(n.cast("double")) * 33).cast("int")
+
+
+def _meeting(spots: DataFrame, percent: int) -> DataFrame:
+    """(ggid, hgid): pairs of groups from different components that can still reach the threshold.
+
+    With their first common shingle at ``pos``, sets share at most ``n - pos``, so both places must leave room for the
+    overlap needed at the two sizes. The smaller set of a pair can only use the front of its prefix, and a place of the
+    larger one reaches sizes up to a bound: postings meet by shingle and size class, and sets that have too much of
+    their own in front never meet.
+    """
+    need = lambda n: F.ceil(n * percent / (100 + percent))
+    front = spots.filter(F.col("pos") <= F.col("n") - need(2 * F.col("n")))
+    left = front.select("token", _size_class(F.col("n")).alias("size"), *[F.col(c).alias(f"g{c}") for c in ("gid", "n", "lo", "hi", "pos")])
+    reach = F.floor((F.col("n") - F.col("pos")) * (100 + percent) / percent) - F.col("n")
+    low, high = F.ceil(F.col("n") * percent / 100), F.least(F.col("n"), reach)
+    classes = F.sequence(_size_class(low), _size_class(F.greatest(low, high)))
+    right = spots.filter(low <= high).select("token", F.explode(classes).alias("size"), *[F.col(c).alias(f"h{c}") for c in ("gid", "n", "lo", "hi", "pos")])
+    both = need(F.col("gn") + F.col("hn"))
+    return (
+        left.join(right, ["token", "size"])
+        .filter("gn < hn or (gn = hn and ggid < hgid)")
+        .filter("not (glo = ghi and hlo = hhi and glo = hlo)")
+        .filter(_may_link("g", "h", percent))
+        .filter((F.col("gpos") <= F.col("gn") - both) & (F.col("hpos") <= F.col("hn") - both))
+        .select("ggid", "hgid")
+        .distinct()
+    )
+
+
 def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """The (a, b) of ``pairs`` whose whole sets reach the threshold."""
 
@@ -250,17 +284,7 @@ def link_components(docs: DataFrame, k: int = SHINGLE, percent: int = PERCENT, m
     mixed_groups = place.groupBy("gid").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"))
     mixed = posted.join(mixed_groups, "gid").groupBy("token").agg(F.min("lo").alias("lo"), F.max("hi").alias("hi")).filter("lo <> hi").select("token")
     spots = posted.join(mixed, "token").join(mixed_groups, "gid").join(facts.select("gid", "n"), "gid")
-    left, right = (spots.select("token", *[F.col(c).alias(f"{p}{c}") for c in ("gid", "n", "lo", "hi")]) for p in "gh")
-    group_pairs = (
-        left.join(right, "token")
-        .filter("ggid < hgid")
-        .filter(_may_link("g", "h", percent))
-        .filter("not (glo = ghi and hlo = hhi and glo = hlo)")
-        .groupBy("ggid", "hgid", "gn", "hn")
-        .agg(F.count("*").alias("shared"))
-        .filter(_enough_shared("g", "h", percent))
-        .select("ggid", "hgid")
-    )
+    group_pairs = _meeting(spots, percent)
     same_group = mixed_groups.filter("lo <> hi").select(F.col("gid").alias("ggid"), F.col("gid").alias("hgid"))
     one = place.select(F.col("gid").alias("ggid"), F.col("cid").alias("a"), F.col("comp").alias("ca"))
     two = place.select(F.col("gid").alias("hgid"), F.col("cid").alias("b"), F.col("comp").alias("cb"))
