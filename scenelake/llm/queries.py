@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from scenelake.llm import adaptive_rules, decontaminate, lm_score, ngram_join, packing, pii_weak, quality_pu, span_dedup, suffix_levels
+from scenelake.llm import adaptive_rules, decontaminate, license_scan, lm_score, ngram_join, packing, pii_weak, quality_pu, span_dedup, suffix_levels
 from scenelake.llm.common import read
 
 QUERIES: dict = {}
@@ -68,6 +68,13 @@ def op7_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES["op7_quality_rules"] = op7_quality_rules
 
+# --- 8 license scans
+def op8_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return license_scan.scan(read(spark, sf_dir, "documents"))
+
+
+QUERIES["op8_license_scan"] = op8_license_scan
+
 # --- 9 suffix-array dedup
 def op9_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffix_levels.digest(suffix_levels.repeated_bytes(read(spark, sf_dir, "documents")))
