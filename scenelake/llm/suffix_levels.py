@@ -32,7 +32,7 @@ from scenelake.llm.common import BUFFER_BYTES, RollingHash, joined, shuffle_part
 WIDTH = 100
 #: Length of the strings from which a window's anchor is taken.
 SEED = 40
-BLOCK_BYTES = 6 << 20
+BLOCK_BYTES = 4 << 20
 #: Id ranges counted per block when the blocks are laid out.
 RANGES_PER_BLOCK = 32
 
