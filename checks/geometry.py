@@ -100,6 +100,42 @@ SQL["p5_crop_polygon"] = sql(
       from pt join vert on pt.scene_id = vert.scene_id group by 1, 2, 3, 4)
     select scene_id, row, col, v from hits where n % 2 = 1""",
 )
+
+
+def _geojson_areas(spark, sf, kind: str, boxes):
+    """Areas written as GeoJSON: one ring per box, as parts or as an outer ring with a hole."""
+    i = F.col("vec_id")
+    x, y = (i % 7 + 2.2), (i % 5 * 3 + 3.3)
+
+    def ring(x0, y0, x1, y1):
+        corners = [(x0, y0), (x1, y0), (x1, y1), (x0, y1), (x0, y0)]
+        return F.concat(F.lit("["), F.concat_ws(",", *[F.concat(F.lit("["), x + a, F.lit(","), y + b, F.lit("]")) for a, b in corners]), F.lit("]"))
+
+    rings = [ring(*b) for b in boxes]
+    parts = [F.concat(F.lit("["), r, F.lit("]")) for r in rings] if kind == "MultiPolygon" else rings
+    text = F.concat(F.lit(f'{{"type":"{kind}","coordinates":['), F.concat_ws(",", *parts), F.lit("]}"))
+    return v.table(spark, sf, "embeddings").select(i.alias("scene_id"), raster.geojson_rings(text).alias("rings"))
+
+
+def _in_boxes(boxes, join: str) -> str:
+    def inside(b):
+        return f"(x > ox + {b[0]}e0 and x < ox + {b[2]}e0 and y > oy + {b[1]}e0 and y < oy + {b[3]}e0)"
+
+    return f" {join} ".join(inside(b) for b in boxes)
+
+
+PART_BOXES = [(0.1, 0.1, 5.2, 5.3), (8.1, 1.2, 11.3, 9.4)]
+HOLE_BOXES = [(0.1, 0.1, 12.2, 11.3), (3.1, 3.2, 7.3, 8.4)]
+for _name, _kind, _boxes, _join in (("multi", "MultiPolygon", PART_BOXES, "or"), ("hole", "Polygon", HOLE_BOXES, "and not")):
+    QUERIES[f"p5_crop_{_name}"] = lambda spark, sf, kind=_kind, boxes=_boxes: raster.crop(
+        v.px_grid(spark, sf).drop("mask"), grid_headers(spark, sf), _geojson_areas(spark, sf, kind, boxes), envelope=False
+    ).pixels
+    SQL[f"p5_crop_{_name}"] = sql(
+        "px_grid",
+        f"""with {HDR}, pt as (select p.*, a * (col + 0.5e0) + c as x, e * (row + 0.5e0) + f as y, hdr.scene_id % 7 + 2.2e0 as ox, hdr.scene_id % 5 * 3 + 3.3e0 as oy
+          from px_grid p join hdr on p.scene_id = hdr.scene_id)
+        select scene_id, row, col, v from pt where {_in_boxes(_boxes, _join)}""",
+    )
 QUERIES["p5_crop_box"] = lambda spark, sf: raster.crop(
     v.px_grid(spark, sf).drop("mask"), grid_headers(spark, sf), [3.3, 4.2, 12.4, 17.6]
 ).pixels

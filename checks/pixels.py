@@ -201,13 +201,13 @@ SQL["a4_percentiles"] = sql(
     + " from px_sar group by 1",
 )
 
-QUERIES["a9_missing_share"] = lambda spark, sf: stats.missing_share(v.px_sar(spark, sf), "vh", window=32).select(
+QUERIES["a9_missing_share"] = lambda spark, sf: stats.missing_share(v.px_sar(spark, sf), "vh").select(
     "scene_id", "pixels", fixed("nodata_percentage").alias("pct")
 )
 SQL["a9_missing_share"] = sql(
     "px_sar",
     f"""select scene_id, count(*) as pixels, {sfixed('avg(case when vh is null then 100e0 else 0e0 end)')} as pct
-    from px_sar where row < 32 and col < 32 group by 1""",
+    from px_sar group by 1""",
 )
 
 

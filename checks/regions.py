@@ -56,8 +56,8 @@ SQL["r2_density"] = sql(
     f"""with o as (select scene_id, row, col, {REFLECT.format('row + dy')} as r, {REFLECT.format('col + dx')} as c from px_grid, generate_series(-2, 2) a(dy), generate_series(-2, 2) b(dx))
     select o.scene_id, o.row, o.col, cast(sum(p.mask) as bigint) as hits, cast(sum(p.mask) as bigint) / 25e0 as density from o join px_grid p on p.scene_id = o.scene_id and p.row = o.r and p.col = o.c group by 1, 2, 3""",
 )
-QUERIES["w10_window_frames"] = lambda spark, sf: mo.without_halo(
-    mo.window_max(mo.window_sum(mo.with_halo(v.px_grid(spark, sf), 2, 4), "mask", -1, 2, "total"), "v", -2, 0, "peak"), 4
+QUERIES["w10_window_frames"] = lambda spark, sf: mo.window_fold(
+    mo.window_fold(v.px_grid(spark, sf), "mask", -1, 2, "total", "sum", 4), "v", -2, 0, "peak", "max", 4
 ).select(*CELL, "total", "peak")
 SQL["w10_window_frames"] = sql(
     "px_grid",
@@ -108,7 +108,7 @@ REFLECT24 = "(case when {0} < 0 then -1 - ({0}) when {0} > 23 then 47 - ({0}) el
 URBAN_SEED = f"""roofs as (select scene_id, row, col, cast(({MASK_SQL['urban']}) as integer) as roof from px_rgb),
  around as (select scene_id, row, col, {REFLECT24.format('row + dy')} as r, {REFLECT24.format('col + dx')} as c from roofs, generate_series(-2, 2) a(dy), generate_series(-2, 2) b(dx)),
  dens as (select o.scene_id, o.row, o.col, cast(sum(p.roof) as bigint) / 25e0 as density from around o join roofs p on p.scene_id = o.scene_id and p.row = o.r and p.col = o.c group by 1, 2, 3),
- thr as (select scene_id, case when count(*) > 50 then quantile_cont(density, 0.8) else 0.05e0 end as t from dens where density > 0 group by 1),
+ thr as (select scene_id, quantile_cont(density, 0.8) as t from dens where density > 0 group by 1),
  seed as (select d.scene_id, row, col, cast(density >= coalesce(t, 0.05e0) as integer) as mask from dens d left join thr on d.scene_id = thr.scene_id)"""
 
 
@@ -142,7 +142,29 @@ for _feature, _kinds, _size in (("trees", "ed", 2), ("sports", "de", 3), ("water
     SQL[f"r6_regions_{_feature}"] = sql(
         "px_rgb", regions_sql(_feature, _kinds, _size) + " select scene_id, rank, pixels, " + ", ".join(f"{sfixed(c)} as {c}" for c in FIELDS) + " from boxes"
     )
-QUERIES["r6_scene_overview"] = lambda spark, sf: rg.scene_overview(v.px_rgb(spark, sf), headers24(spark, sf)).select("scene_id", "label", *FIELDS)
+QUERIES["r6_scene_overview"] = lambda spark, sf: rg.scene_overview(v.px_rgb(spark, sf), headers24(spark, sf), digits=None).select(
+    "scene_id", "label", *[fixed(c).alias(c) for c in FIELDS]
+)
+
+
+def _overview_sql() -> str:
+    """The four region twins with one box each; every CTE gets the name of its target."""
+    import re
+
+    parts, labels = [], {"trees": "Dense Tree Canopy", "urban": "Built-Up Structures", "sports": "Open Ground / Facility", "water": "Hydrological Surface"}
+    for feature, kinds, size in (("trees", "ed", 2), ("sports", "de", 3), ("water", "de", 2), ("urban", "ed", 2)):
+        text = regions_sql(feature, kinds, size, 1).removeprefix("with recursive ")
+        for cte in ("roofs", "around", "dens", "thr", "seed", "m0", "m1", "cells", "nb", "spread", "labelled", "boxes"):
+            text = re.sub(rf"\b{cte}\b", f"{feature}_{cte}", text)
+        for cte in ("j", "s", "u", "r", "b"):
+            text = re.sub(rf"(?<![\w.'])({cte}) as \(", rf"{feature}_\1 as (", text)
+            text = re.sub(rf"\b(from|join) {cte}\b(?!\w)(?! on)", rf"\1 {feature}_{cte}", text)
+        parts.append((feature, text))
+    picks = [f"select scene_id, '{labels[f]}' as label, {', '.join(f'{sfixed(c)} as {c}' for c in FIELDS)} from {f}_boxes" for f, _ in parts]
+    return "with recursive " + ", ".join(t for _, t in parts) + " " + " union all ".join(picks)
+
+
+SQL["r6_scene_overview"] = sql("px_rgb", _overview_sql())
 
 
 def _grounded(spark, sf):
@@ -191,7 +213,7 @@ SQL["r7_radar_grounding"] = sql(
     f"""with recursive db as (select scene_id, row, col, log10(greatest(vv, 1e-7)) * 10e0 as vv from px_sar), seed as (select scene_id, row, col, cast(vv >= -14e0 and vv < -7e0 as integer) as mask from db),
     {label_sql('seed', 400)}, h as (select scene_id, max(row) + 1 as h, max(col) + 1 as w from px_sar group by 1),
     s as (select scene_id, label, count(*) as pixels, quantile_cont(row, 0.01) as r0, quantile_cont(row, 0.99) as r1, quantile_cont(col, 0.01) as c0, quantile_cont(col, 0.99) as c1 from labelled group by 1, 2 having count(*) >= 20),
-    r as (select s.*, h, w, row_number() over (partition by s.scene_id order by pixels desc, label) as rank from s join h on s.scene_id = h.scene_id where h >= 10 and w >= 10 qualify rank <= 3)
+    r as (select s.*, h, w, row_number() over (partition by s.scene_id order by pixels desc, label) as rank from s join h on s.scene_id = h.scene_id qualify rank <= 3)
     select scene_id, rank, pixels, {sfixed('greatest(0e0, r0 / h * 100e0 - 0.5e0)')} as ymin, {sfixed('greatest(0e0, c0 / w * 100e0 - 0.5e0)')} as xmin,
       {sfixed('least(100e0, r1 / h * 100e0 + 0.5e0)')} as ymax, {sfixed('least(100e0, c1 / w * 100e0 + 0.5e0)')} as xmax from r""",
 )

@@ -282,7 +282,7 @@ SQL["j11_merge_boxes"] = sql(
     walk(image_id, rn, ys, xs, ids) as (select image_id, rn, [ymin], [xmin], [text_id] from o where rn = 1 and image_id % 3 <> 0
       union all select image_id, nrn, case when f then list_append(ys, y) else ys end, case when f then list_append(xs, x) else xs end, case when f then list_append(ids, t) else ids end
       from (select w.image_id, w.ys, w.xs, w.ids, o.rn as nrn, o.ymin as y, o.xmin as x, o.text_id as t,
-          len(ys) < 4 and not list_bool_or(list_transform(list_zip(ys, xs), lambda p: abs(p[1] - o.ymin) < 8 and abs(p[2] - o.xmin) < 8)) as f
+          not list_bool_or(list_transform(list_zip(ys, xs), lambda p: abs(p[1] - o.ymin) < 8 and abs(p[2] - o.xmin) < 8)) as f
         from walk w join o on w.image_id = o.image_id and o.rn = w.rn + 1)),
     fin as (select image_id, arg_max(ids, rn) as ids from walk group by 1)
     select image_id, text_id as ord, {sfixed('ymin')} as ymin, {sfixed('xmin')} as xmin from kept join (select image_id as i, unnest(ids) as t from fin) on image_id = i and text_id = t

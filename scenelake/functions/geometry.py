@@ -157,6 +157,12 @@ def ring_bbox(ring: str | Column) -> dict[str, Column]:
     }
 
 
+def point_in_rings(x: str | Column, y: str | Column, rings: str | Column) -> Column:
+    """Even-odd rule over all rings of an area: parts add, holes take away."""
+    px, py = _c(x), _c(y)
+    return F.aggregate(_c(rings), F.lit(False), lambda acc, r: acc != point_in_ring(px, py, r))
+
+
 def point_in_ring(x: str | Column, y: str | Column, ring: str | Column) -> Column:
     """Ray casting: an odd number of edges lies to the right of the point."""
     px, py = _c(x), _c(y)

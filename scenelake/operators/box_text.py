@@ -6,14 +6,11 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from scenelake.functions.boxes import is_degenerate, is_unreliable, normalize_box
-from scenelake.session import cut_lineage
 
 # Patterns of boxes in text, label lead words, palette, default score.
 TOKEN = r"\{\s*<(\d+)>\s*<(\d+)>\s*<(\d+)>\s*<(\d+)>(?:\s*\|\s*<?(\d+)>?)?\s*\}"
 CLUSTER = r"(?:<p>(.*?)</p>|([A-Za-z\s\-]{2,35}))?\s*((?:" + TOKEN + r"\s*(?:<delim>)?\s*)+)"
-NUMBER = r"\s*(\d+(?:\.\d+)?)\s*"
-BRACKET = r"\[" + ",".join([NUMBER] * 4) + r"\]"
-LABELLED_BRACKET = r"[A-Za-z\s]{0,40}:?\s*" + BRACKET
+LABELLED_BRACKET = r"[A-Za-z\s]{0,40}:?\s*\[\s*(\d+(?:\.\d+)?)\s*,\s*(\d+(?:\.\d+)?)\s*,\s*(\d+(?:\.\d+)?)\s*,\s*(\d+(?:\.\d+)?)\s*\]"
 LABEL_LEAD = r"(?i)^(there are|there is|in the|here are|some|all|the|a|an)\s+"
 PALETTE = ["#10b981", "#06b6d4", "#38bdf8", "#f59e0b", "#ec4899", "#8b5cf6", "#14b8a6"]
 DEFAULT_SCORE = 0.92
@@ -114,36 +111,24 @@ def reliable_boxes(boxes: DataFrame) -> DataFrame:
 
 
 def merge_boxes(
-    anchors: DataFrame, parsed: DataFrame, gap: float = 8.0, cap: int = 4, image: str = "image_id", order: str = "ord"
+    anchors: DataFrame, parsed: DataFrame, gap: float = 8.0, cap: int | None = None, image: str = "image_id", order: str = "ord"
 ) -> DataFrame:
-    """Anchor boxes of an image plus parsed boxes that are not near a kept one, up to ``cap``.
+    """Anchor boxes of an image plus parsed boxes that are not near a kept one, in their order.
 
-    Images without an anchor keep all their parsed boxes. Each round takes the first parsed
-    box of an image that no kept box is near, so a round is one map-side combined
-    aggregation and the state per image is at most ``cap`` boxes. The state is checkpointed
-    between rounds.
+    Images without an anchor keep all their parsed boxes. The boxes of one image, which one model output names, meet in
+    one row and are walked once. ``cap``: at most so many boxes for an image with anchors.
     """
     fields = ["ymin", "xmin", "ymax", "xmax", "label"]
     entry = F.struct(F.col(order).alias("ord"), *fields)
     kept = anchors.groupBy(image).agg(F.sort_array(F.collect_list(entry)).alias("kept"))
-    waiting = cut_lineage(parsed.select(image, entry.alias("p")))
-    for _ in range(cap):
-        near = F.exists(
-            "kept",
-            lambda k: (F.abs(k["ymin"] - F.col("p.ymin")) < gap) & (F.abs(k["xmin"] - F.col("p.xmin")) < gap),
-        )
-        first = (
-            waiting.join(kept.filter(F.size("kept") < cap), image)
-            .filter(~near)
-            .groupBy(image)
-            .agg(F.min_by("p", F.col("p.ord")).alias("p"))
-        )
-        kept = (
-            kept.join(first, image, "left")
-            .withColumn("kept", F.when(F.col("p").isNotNull(), F.concat("kept", F.array("p"))).otherwise(F.col("kept")))
-            .drop("p")
-        )
-        kept = cut_lineage(kept)
-    merged = kept.select(image, F.posexplode("kept").alias("position", "k")).select(image, "position", "k.*")
-    alone = waiting.join(kept, image, "left_anti").select(image, "p.*")
-    return merged.select(image, "ord", *fields).unionByName(alone.select(image, "ord", *fields))
+    waiting = parsed.groupBy(image).agg(F.sort_array(F.collect_list(entry)).alias("waiting"))
+
+    def step(acc: Column, p: Column) -> Column:
+        near = F.exists(acc, lambda k: (F.abs(k["ymin"] - p["ymin"]) < gap) & (F.abs(k["xmin"] - p["xmin"]) < gap))
+        full = F.size(acc) >= cap if cap is not None else F.lit(False)
+        return F.when(near | full, acc).otherwise(F.concat(acc, F.array(p)))
+
+    both = kept.join(waiting, image, "full")
+    walked = F.aggregate(F.coalesce("waiting", F.expr("slice(kept, 1, 0)")), F.col("kept"), step)
+    merged = both.withColumn("k", F.when(F.col("kept").isNull(), F.col("waiting")).otherwise(walked))
+    return merged.select(image, F.explode("k").alias("k")).select(image, "k.ord", *[f"k.{f}" for f in fields])

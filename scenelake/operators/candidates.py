@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from scenelake.functions.text import any_word
-from scenelake.operators.ranking import rank_within, top_one
+from scenelake.operators.ranking import rank_within
 
 MIN_AREA_HECTARES = 0.5
 LARGE_HECTARES = 3.0
@@ -84,7 +84,9 @@ def rank_candidates(
 
 def nearest(cand: DataFrame, keys: Sequence[str] = ("search_id",), order: str = "cand_id") -> DataFrame:
     """Closest candidate of each search."""
-    return top_one(cand, keys, [-F.col("distance_km"), -F.col(order)])
+    rest = [c for c in cand.columns if c not in keys]
+    far = F.coalesce("distance_km", F.lit(float("inf")))
+    return cand.groupBy(*keys).agg(F.min_by(F.struct(*rest), F.struct(far, order)).alias("_best")).select(*keys, "_best.*")
 
 
 def rollup(cand: DataFrame, keys: Sequence[str] = ("search_id",), order: str = "cand_id") -> DataFrame:
@@ -93,7 +95,7 @@ def rollup(cand: DataFrame, keys: Sequence[str] = ("search_id",), order: str = "
         F.count("*").alias("candidates"),
         F.sum("area_hectares").alias("total_hectares"),
         F.count_if(F.col("area_hectares") >= LARGE_HECTARES).alias("large_candidates"),
-        F.max_by(order, F.struct("area_hectares", -F.col(order))).alias("largest"),
+        F.min_by(order, F.struct(-F.coalesce("area_hectares", F.lit(float("-inf"))), order)).alias("largest"),
     )
 
 

@@ -26,12 +26,12 @@ def filter_scenes(
     """Scenes that meet a box, a closed range of days, a cloud limit (optical only), a collection.
 
     All predicates are plain comparisons on columns, so they reach the file scan. With a
-    ``limit`` (1..50) the clearest, then earliest scenes are kept.
+    ``limit`` the clearest, then earliest scenes are kept.
     """
     if start and end and start > end:
         raise ValueError(f"start {start} is after end {end}")
-    if limit is not None and not 1 <= limit <= 50:
-        raise ValueError("limit must be between 1 and 50")
+    if limit is not None and limit < 1:
+        raise ValueError("limit must be positive")
     out = scenes
     if collection is not None:
         out = out.filter(F.col("collection") == collection)

@@ -5,47 +5,29 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-SMALL_GAZETTEER = 2000
 COORDINATES = r"(-?\d+(?:\.\d+)?)\s*,\s*(-?\d+(?:\.\d+)?)"
 
 
-def _hit(text: Column, key: Column, mode: str) -> Column:
-    if mode == "contains":
-        return text.contains(key)
-    if mode != "word":
-        raise ValueError(f"mode must be 'word' or 'contains', not {mode!r}")
-    # A key counts as a word when no letter, digit or underscore touches it.
-    return F.regexp_count(text, F.concat(F.lit(r"\b\Q"), key, F.lit(r"\E\b"))) > 0
-
-
-def match_places(df: DataFrame, gaz: DataFrame, text: str = "text", mode: str = "word", row_id: str | None = None) -> DataFrame:
+def match_places(df: DataFrame, gaz: DataFrame, text: str = "text", mode: str = "word") -> DataFrame:
     """Add ``place`` (STRUCT of the gazetteer row): the first entry by ``ord`` named in the text.
 
-    A gazetteer of up to ``SMALL_GAZETTEER`` rows (checked) becomes one sorted array that
-    every task reads, so texts are not shuffled. A larger one is matched by an equi-join of
-    its keys with the substrings of each text that have the length of a key; that way needs
-    ``row_id``.
+    Each distinct text is cut into the pieces that have the length of a key, and pieces meet keys in an equi-join, so
+    the work per text does not grow with the gazetteer. With ``mode="word"`` a key counts when no letter, digit or
+    underscore touches it, with ``"contains"`` anywhere. Of keys with equal ``ord`` the smaller key comes first.
     """
-    fields = [F.col(c) for c in gaz.columns]
-    if gaz.limit(SMALL_GAZETTEER + 1).count() <= SMALL_GAZETTEER:
-        entries = F.sort_array(F.collect_list(F.struct(F.col("ord").alias("_o"), F.struct(*fields).alias("place"))))
-        lowered = F.lower(F.col(text))
-        listed = df.withColumn("_gaz", gaz.agg(entries).scalar())
-        hits = F.filter("_gaz", lambda g: _hit(lowered, g["place"]["key"], mode))
-        return listed.withColumn("place", F.get(hits, F.lit(0))["place"]).drop("_gaz")
-    if row_id is None:
-        raise ValueError("a large gazetteer needs row_id")
+    if mode not in ("word", "contains"):
+        raise ValueError(f"mode must be 'word' or 'contains', not {mode!r}")
     lengths = gaz.select(F.length("key").alias("n")).distinct().agg(F.collect_set("n")).scalar()
-    texts = df.select(row_id, F.lower(F.col(text)).alias("_t")).withColumn("_n", F.explode(lengths))
-    starts = texts.filter(F.length("_t") >= F.col("_n")).withColumn(
-        "_s", F.explode(F.sequence(F.lit(1), F.length("_t") - F.col("_n") + 1))
-    )
-    pieces = starts.withColumn("key", F.expr("substring(_t, _s, _n)"))
+    texts = df.select(F.col(text).alias("_text")).filter("_text is not null").distinct()
+    sized = texts.withColumn("_t", F.lower("_text")).withColumn("_n", F.explode(lengths)).filter(F.length("_t") >= F.col("_n"))
+    starts = sized.withColumn("_s", F.explode(F.sequence(F.lit(1), F.length("_t") - F.col("_n") + 1)))
+    pieces = starts.withColumn("_key", F.expr("substring(_t, _s, _n)"))
     if mode == "word":
-        pieces = pieces.filter(_hit(F.col("_t"), F.col("key"), "word"))
-    met = pieces.select(row_id, "key").distinct().join(gaz.withColumn("place", F.struct(*fields)).select("key", "ord", "place"), "key")
-    first = met.groupBy(row_id).agg(F.min_by("place", "ord").alias("place"))
-    return df.join(first, row_id, "left")
+        around = F.expr("concat(if(_s > 1, substring(_t, _s - 1, 1), ' '), substring(_t, _s + _n, 1))")
+        pieces = pieces.filter(~around.rlike(r"(?U)\w"))
+    named = gaz.select(F.col("key").alias("_key"), F.struct("ord", "key").alias("_o"), F.struct(*gaz.columns).alias("place"))
+    first = pieces.select("_text", "_key").join(named, "_key").groupBy("_text").agg(F.min_by("place", "_o").alias("place"))
+    return df.join(first, F.col(text) == F.col("_text"), "left").drop("_text")
 
 
 def coordinates(text: str | Column) -> Column:
@@ -62,14 +44,13 @@ def geocode(
     text: str = "text",
     half_side: float = 0.04,
     mode: str = "word",
-    row_id: str | None = None,
 ) -> DataFrame:
     """Add lat, lon, place_name, resolved_by (gazetteer, coordinates or NULL) and a box.
 
     ``gaz``: key, ord, name, lat, lon and optionally min_lon, min_lat, max_lon, max_lat. A
     text that names no known place keeps NULL.
     """
-    found = match_places(df, gaz, text, mode, row_id).withColumn("_pair", coordinates(text))
+    found = match_places(df, gaz, text, mode).withColumn("_pair", coordinates(text))
     lat = F.coalesce("place.lat", "_pair.lat")
     lon = F.coalesce("place.lon", "_pair.lon")
     own = {"min_lon", "min_lat", "max_lon", "max_lat"} <= set(gaz.columns)

@@ -129,9 +129,9 @@ def auto_task(text: str | Column) -> Column:
     )
 
 
-def parse_land_queries(df: DataFrame, gaz: DataFrame, text: str = "text", row_id: str | None = None) -> DataFrame:
+def parse_land_queries(df: DataFrame, gaz: DataFrame, text: str = "text") -> DataFrame:
     """Add the fields of a land search: intent, target, location, radius, area, years, ranking."""
-    placed = match_places(df, gaz, text, "word", row_id)
+    placed = match_places(df, gaz, text, "word")
     raw, q = F.trim(F.col(text)), F.lower(F.trim(F.col(text)))
     word = F.nullif(F.regexp_extract(raw, LOCATION_PATTERN, 1), F.lit(""))
     named = F.when(~F.lower(word).isin(*NOT_A_LOCATION), F.initcap(word))
@@ -190,9 +190,9 @@ def parse_land_queries(df: DataFrame, gaz: DataFrame, text: str = "text", row_id
     )
 
 
-def parse_retrieval_queries(df: DataFrame, gaz: DataFrame, text: str = "text", row_id: str | None = None) -> DataFrame:
+def parse_retrieval_queries(df: DataFrame, gaz: DataFrame, text: str = "text") -> DataFrame:
     """Add location, the two wanted dates, sensor and task of a scene retrieval."""
-    placed = match_places(df, gaz, text, "word", row_id)
+    placed = match_places(df, gaz, text, "word")
     raw, q = F.trim(F.col(text)), F.lower(F.trim(F.col(text)))
     phrase = F.nullif(F.trim(F.regexp_extract(raw, RETRIEVAL_LOCATION, 1)), F.lit(""))
     titled = F.nullif(F.array_join(F.regexp_extract_all(raw, F.lit(r"\b([A-Z][a-z]+)\b"), F.lit(1)), " "), F.lit(""))

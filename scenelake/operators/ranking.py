@@ -6,11 +6,20 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 LARGE_GROUP = 200_000
 CUTS = 64
 
 
+def _ordered_number(df: DataFrame, name: str) -> Column:
+    """A number that never falls where the column rises: for texts, that of their first six bytes."""
+    if not isinstance(df.schema[name].dataType, T.StringType):
+        return F.col(name).cast("double")
+    head = F.rpad(F.hex(F.substring(F.col(name).cast("binary"), 1, 6)), 12, "0")
+    return F.conv(head, 16, 10).cast("double")
+
+
 def rank_within(
     df: DataFrame,
     keys: Sequence[str],
@@ -21,12 +30,12 @@ def rank_within(
 ) -> DataFrame:
     """Number the rows of each group 1..n by ``first`` ascending, then the ``ties`` columns ascending.
 
-    ``first`` and the first tie must be numeric. Groups above ``large_group`` rows are cut at
+    ``first`` must be numeric; ties may be of any ordered type. Groups above ``large_group`` rows are cut at
     sketched quantiles of ``first``; rows that share a cut value are cut again by the first
     tie. Each piece is numbered on its own and shifted by the rows before it, so no task
     sorts a whole large group and the numbers stay exact whatever the cuts are.
     """
-    keyed = df.withColumn("_first", first.cast("double")).withColumn("_tie", F.col(ties[0]).cast("double"))
+    keyed = df.withColumn("_first", first.cast("double")).withColumn("_tie", _ordered_number(df, ties[0]))
     marks = [k / CUTS for k in range(1, CUTS)]
     cuts = (
         keyed.groupBy(*keys)

@@ -38,6 +38,23 @@ def geojson_ring(text: str | Column) -> Column:
     return F.transform(F.get(parsed["coordinates"], F.lit(0)), lambda p: geo.point(p[0], p[1]))
 
 
+def geojson_rings(text: str | Column) -> Column:
+    """All rings of a GeoJSON Polygon or MultiPolygon text, parts and holes alike.
+
+    Any other text is an error when the row is read: an area that cannot be read must not look like an empty one.
+    """
+    c = F.col(text) if isinstance(text, str) else text
+    kind = F.get_json_object(c, "$.type")
+    ring = "ARRAY<ARRAY<DOUBLE>>"
+    one = F.from_json(c, f"coordinates ARRAY<{ring}>")["coordinates"]
+    many = F.flatten(F.from_json(c, f"coordinates ARRAY<ARRAY<{ring}>>")["coordinates"])
+    rings = F.when(kind == "Polygon", one).when(kind == "MultiPolygon", many)
+    whole = F.size(rings) > 0
+    points = F.transform(rings, lambda r: F.transform(r, lambda p: geo.point(p[0], p[1])))
+    unread = F.raise_error(F.concat(F.lit("not a polygon: "), F.coalesce(F.substring(c, 1, 200), F.lit("NULL"))))
+    return F.when(whole, points).otherwise(unread.cast("ARRAY<ARRAY<STRUCT<lon: DOUBLE, lat: DOUBLE>>>"))
+
+
 def _native_ring(ring: Column, epsg: Column) -> Column:
     """Ring in the raster's system: degrees are projected when the raster is not in degrees."""
     box = geo.ring_bbox(ring)
@@ -56,15 +73,21 @@ def crop(px: DataFrame, headers: DataFrame, aoi: DataFrame | Sequence, envelope:
     """Keep the pixels whose centre lies inside the area of their scene.
 
     ``headers``: scene_id, a, b, c, d, e, f, width, height, epsg. ``aoi`` is one area for all
-    scenes (box or points) or a table (scene_id, ring). The window comes from header
-    arithmetic; pixels meet the ring test only after the row and column range.
+    scenes (box or points) or a table (scene_id, ring) or (scene_id, rings), the latter with
+    all rings of areas of several parts or with holes. The window comes from header
+    arithmetic; pixels meet the ring test only after the row and column range. A raster that
+    is turned against its axes (affine terms b, d) is an error.
     """
     if isinstance(aoi, DataFrame):
-        areas = headers.join(aoi.select("scene_id", "ring"), "scene_id")
+        rings = F.col("rings") if "rings" in aoi.columns else F.array("ring")
+        areas = headers.join(aoi.select("scene_id", rings.alias("rings")), "scene_id")
     else:
-        areas = headers.withColumn("ring", literal_ring(aoi))
-    areas = areas.withColumn("ring", _native_ring(geo.closed_ring("ring"), F.col("epsg")))
-    box = geo.ring_bbox("ring")
+        areas = headers.withColumn("rings", F.array(literal_ring(aoi)))
+    turned = F.raise_error("a raster turned against its axes cannot be cropped").cast("double")
+    straight = F.when((F.col("b") == 0) & (F.col("d") == 0), F.col("a")).otherwise(turned) if {"b", "d"} <= set(headers.columns) else F.col("a")
+    native = F.transform("rings", lambda r: _native_ring(geo.closed_ring(r), F.col("epsg")))
+    areas = areas.withColumn("a", straight).withColumn("rings", native)
+    box = geo.ring_bbox(F.flatten("rings"))
     row_a, col_a = geo.geo_to_pixel(box["min_lon"], box["max_lat"])
     row_b, col_b = geo.geo_to_pixel(box["max_lon"], box["min_lat"])
 
@@ -81,9 +104,9 @@ def crop(px: DataFrame, headers: DataFrame, aoi: DataFrame | Sequence, envelope:
     ).filter("row1 > row0 and col1 > col0")
     x, y = geo.pixel_to_geo("row", "col")
     inside = (
-        px.join(windows.select("scene_id", "a", "c", "e", "f", "ring", "row0", "row1", "col0", "col1"), "scene_id")
+        px.join(windows.select("scene_id", "a", "c", "e", "f", "rings", "row0", "row1", "col0", "col1"), "scene_id")
         .filter("row >= row0 and row < row1 and col >= col0 and col < col1")
-        .filter(geo.point_in_ring(x, y, "ring"))
+        .filter(geo.point_in_rings(x, y, "rings"))
     )
     if envelope:
         moved = {"row": F.col("row") - F.col("row0"), "col": F.col("col") - F.col("col0")}

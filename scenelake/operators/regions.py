@@ -19,8 +19,6 @@ from scenelake.operators.quantiles import counted_quantiles, quantiles
 from scenelake.operators.ranking import top_k
 from scenelake.session import cut_lineage
 
-MIN_SIDE = 10
-
 
 class Recipe(NamedTuple):
     """How a target is cleaned, scored and boxed."""
@@ -41,7 +39,7 @@ RECIPES = {
     "urban": Recipe(0.015, 2, False, 40, 0.5, False),
 }
 DENSITY_SHARE, DENSITY_LEAST = 0.06, 5
-DENSITY_QUANTILE, DENSITY_MIN_CELLS, DENSITY_FALLBACK = 0.80, 50, 0.05
+DENSITY_QUANTILE, DENSITY_FALLBACK = 0.80, 0.05
 
 # Label, colour and base confidence of grounded targets.
 GROUNDED = {
@@ -68,56 +66,34 @@ def _window(share: float, least: int) -> Column:
     return F.greatest(F.lit(least), F.floor(side * share)).cast("int")
 
 
-def _by_window(cells: DataFrame, headers: DataFrame, windows: dict[str, Column], apply) -> DataFrame:
-    """Run a filter once per distinct set of window sizes.
-
-    Only the distinct sizes come to the driver: they follow from the raster side alone, are
-    one or two for scenes of one product and can never be more than the largest side.
-    """
-    names = list(windows)
-    sized = headers.select("scene_id", *[c.alias(f"_w_{n}") for n, c in windows.items()])
-    sizes = sorted(tuple(r) for r in sized.drop("scene_id").distinct().collect())
-    out = None
-    for size in sizes:
-        part = cells
-        if len(sizes) > 1:
-            match = sized
-            for n, value in zip(names, size):
-                match = match.filter(F.col(f"_w_{n}") == value)
-            part = cells.join(match.select("scene_id"), "scene_id", "left_semi")
-        done = apply(part, dict(zip(names, size)))
-        out = done if out is None else out.unionByName(done)
-    return out if out is not None else cells
-
-
 def _urban_seed(cells: DataFrame, headers: DataFrame) -> DataFrame:
     """Cells whose density of bright roofs is in the top fifth of the scene's positive densities."""
-    windows = {"density": _window(DENSITY_SHARE, DENSITY_LEAST)}
-    dense = _by_window(cells, headers, windows, lambda part, w: mo.density(part, headers, w["density"], "urban"))
+    dense = mo.density(cells, headers, _window(DENSITY_SHARE, DENSITY_LEAST), "urban")
     counts = dense.filter("hits > 0").groupBy("scene_id", "density").agg(F.count("*").alias("n"))
     limits = counted_quantiles(counts, ["scene_id"], "density", [DENSITY_QUANTILE], ["limit"])
-    totals = counts.groupBy("scene_id").agg(F.sum("n").alias("cells"))
-    chosen = totals.join(limits, "scene_id").select(
-        "scene_id", F.when(F.col("cells") > DENSITY_MIN_CELLS, F.col("limit")).otherwise(DENSITY_FALLBACK).alias("limit")
-    )
-    joined = dense.join(chosen, "scene_id", "left")
+    joined = dense.join(limits.select("scene_id", "limit"), "scene_id", "left")
     enough = F.col("density") >= F.coalesce("limit", F.lit(DENSITY_FALLBACK))
     return joined.withColumn("urban", enough.cast("int")).drop("hits", "density", "limit")
 
 
-def cleaned_masks(px: DataFrame, headers: DataFrame, features: Sequence[str]) -> DataFrame:
-    """r, g, b pixels with one cleaned 0/1 mask column per target; all masks share their passes."""
-    usable = headers.filter((F.col("height") >= MIN_SIDE) & (F.col("width") >= MIN_SIDE))
+def _of_side(headers: DataFrame, min_side: int) -> DataFrame:
+    return headers.filter((F.col("height") >= min_side) & (F.col("width") >= min_side)) if min_side else headers
+
+
+def cleaned_masks(px: DataFrame, headers: DataFrame, features: Sequence[str], min_side: int = 0) -> DataFrame:
+    """r, g, b pixels with one cleaned 0/1 mask column per target; all masks share their passes.
+
+    Window sizes follow each scene's own side. ``min_side`` leaves out smaller scenes.
+    """
+    usable = _of_side(headers, min_side)
     seeds = {f: target_mask(f).cast("int") for f in features}
     cells = px.join(usable.select("scene_id"), "scene_id", "left_semi").withColumns(seeds)
     if "urban" in features:
         cells = _urban_seed(cells, usable)
-    windows = {f: _window(RECIPES[f].share, RECIPES[f].least) for f in features}
-
-    def clean(part: DataFrame, sizes: dict[str, int]) -> DataFrame:
-        return mo.filter_masks(part, {f: mo.MaskFilter(sizes[f], RECIPES[f].closing) for f in features})
-
-    return _by_window(cells, usable, windows, clean)
+    columns = cells.columns
+    sizes = usable.select("scene_id", *[_window(RECIPES[f].share, RECIPES[f].least).alias(f"_size_{f}") for f in features])
+    filters = {f: mo.MaskFilter(F.col(f"_size_{f}"), RECIPES[f].closing) for f in features}
+    return mo.filter_masks(cells.join(sizes, "scene_id"), filters).select(*columns)
 
 
 KEYS = ("feature", "scene_id")
@@ -175,15 +151,15 @@ def scored_components(labelled: DataFrame) -> DataFrame:
 
 
 def target_regions(
-    px: DataFrame, headers: DataFrame, features: str | Sequence[str], k: int = 3, digits: int | None = 2
+    px: DataFrame, headers: DataFrame, features: str | Sequence[str], k: int = 3, digits: int | None = 2, min_side: int = 0
 ) -> DataFrame:
     """Up to k boxes of each target per scene, best first.
 
     ``px``: scene_id, row, col, r, g, b (0..255); ``headers``: scene_id, height, width. All
-    targets share one labelling.
+    targets share one labelling. ``min_side`` leaves out scenes with a shorter side.
     """
     names = [features] if isinstance(features, str) else list(features)
-    cleaned = cleaned_masks(px, headers, names)
+    cleaned = cleaned_masks(px, headers, names, min_side)
     rows = F.filter(F.array(*[F.struct(F.lit(f).alias("feature"), F.col(f).alias("mask")) for f in names]), lambda m: m["mask"] == 1)
     masks = cleaned.select("scene_id", "row", "col", "r", "g", "b", F.inline(rows))
     labelled = label_runs(masks, keys=KEYS, exg=excess_green(), track=track_mask().cast("int"))
@@ -205,9 +181,11 @@ def _rounded(boxes: DataFrame, digits: int | None) -> DataFrame:
     return boxes.withColumns({c: F.round(c, digits) for c in ("ymin", "xmin", "ymax", "xmax")})
 
 
-def radar_regions(px_db: DataFrame, headers: DataFrame, intent: str, k: int = 3, digits: int | None = 2) -> DataFrame:
+def radar_regions(
+    px_db: DataFrame, headers: DataFrame, intent: str, k: int = 3, digits: int | None = 2, min_side: int = 0
+) -> DataFrame:
     """Up to k boxes of a radar target (strong, water, rough, other) per scene, largest first."""
-    usable = headers.filter((F.col("height") >= MIN_SIDE) & (F.col("width") >= MIN_SIDE))
+    usable = _of_side(headers, min_side)
     cells = px_db.join(usable.select("scene_id"), "scene_id", "left_semi").withColumns(
         {"mask": grounding_mask(intent).cast("int"), "feature": F.lit(f"radar_{intent}")}
     )

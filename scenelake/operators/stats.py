@@ -98,13 +98,10 @@ def class_breakdown(df: DataFrame, class_col: str, keys: Sequence[str] = ("scene
     return folded.select(*keys, "pixels", F.map_from_entries(percent).alias("class_breakdown"))
 
 
-def missing_share(px: DataFrame, band: str, window: int = 256, keys: Sequence[str] = ("scene_id",)) -> DataFrame:
-    """Percent of missing values of a band in the first window x window pixels."""
-    return (
-        px.filter((F.col("row") < window) & (F.col("col") < window))
-        .groupBy(*keys)
-        .agg(F.count("*").alias("pixels"), _percent(F.col(band).isNull() | F.isnan(F.col(band))).alias("nodata_percentage"))
-    )
+def missing_share(px: DataFrame, band: str, keys: Sequence[str] = ("scene_id",)) -> DataFrame:
+    """Percent of missing values of a band over all pixels of a scene."""
+    missing = F.col(band).isNull() | F.isnan(F.col(band))
+    return px.groupBy(*keys).agg(F.count("*").alias("pixels"), _percent(missing).alias("nodata_percentage"))
 
 
 def scene_caption(stats: DataFrame, keys: Sequence[str] = ("scene_id",)) -> DataFrame:

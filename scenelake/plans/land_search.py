@@ -99,7 +99,7 @@ def land_search(
     whose footprint overlaps the requested box. Equal requests are answered once and handed
     to every query that made them.
     """
-    parsed = parse_land_queries(queries, gaz, row_id="query_id")
+    parsed = parse_land_queries(queries, gaz)
     box = geo.radius_bbox("lat", "lon", "radius_km")
     placed = parsed.filter("is_supported and lat is not null").select(
         "query_id", "target", "ranking_criteria", "minimum_area_hectares", "lat", "lon",

@@ -31,7 +31,7 @@ def retrieve_pairs(
     footprint join and are folded to the best one per place, sensor and date by aggregation;
     requests only look that up, so equal requests cost nothing extra.
     """
-    parsed = parse_retrieval_queries(queries, gaz, row_id="query_id").filter("lat is not null")
+    parsed = parse_retrieval_queries(queries, gaz).filter("lat is not null")
     spec = ["lat", "lon", "sensor", "task", "date_a", "date_b"]
     asked = cut_lineage(parsed.select("query_id", *spec).withColumn("spec", F.concat_ws("|", *spec)))
     wanted = asked.drop("query_id").distinct().select(

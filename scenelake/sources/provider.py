@@ -1,16 +1,12 @@
-"""Scene providers: catalog folders, also as a Spark data source named ``scenelake_stac``."""
+"""Scene providers: catalog folders read by the STAC source."""
 
 from __future__ import annotations
 
-import json
-from collections.abc import Iterator
-from pathlib import Path
-
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
+from pyspark.sql import functions as F
 
 from scenelake.operators.catalog import filter_scenes
-from scenelake.sources.stac import COLLECTION_BANDS, DEFAULT_PLATFORM, DEFAULT_TILE, read_stac
+from scenelake.sources.stac import read_stac
 
 
 class FolderProvider:
@@ -23,62 +19,9 @@ class FolderProvider:
         return filter_scenes(read_stac(spark, self.catalog_path, self.collection), **filters)
 
     def get_product(self, spark: SparkSession, product_id: str) -> DataFrame:
-        return read_stac(spark, self.catalog_path, self.collection).filter(f"product_id = '{product_id}'")
+        return read_stac(spark, self.catalog_path, self.collection).filter(F.col("product_id") == product_id)
 
     def pixels(self, spark: SparkSession, product_ids: DataFrame) -> DataFrame:
         if self.pixel_path is None:
             raise ValueError("this provider has no pixel table")
         return spark.read.parquet(self.pixel_path).join(product_ids.select("product_id"), "product_id", "left_semi")
-
-
-class _File(InputPartition):
-    def __init__(self, path: str) -> None:
-        super().__init__(path)
-        self.path = path
-
-
-class _StacReader(DataSourceReader):
-    def __init__(self, options: dict) -> None:
-        self.path = options["path"]
-        self.collection = options.get("collection", "SENTINEL-2")
-
-    def partitions(self):
-        root = Path(self.path)
-        files = sorted(root.rglob("*.json")) if root.is_dir() else [root]
-        return [_File(str(f)) for f in files]
-
-    def read(self, partition: _File) -> Iterator[tuple]:
-        document = json.loads(Path(partition.path).read_text())
-        for item in document.get("features", []):
-            p = item.get("properties", {})
-            cloud = p.get("eo:cloud_cover") or p.get("cloudCoverage") or 0.0
-            yield (
-                item.get("id") or p.get("id"),
-                p.get("datetime") or p.get("start_datetime"),
-                self.collection,
-                round(float(cloud), 1),
-                p.get("platform") or DEFAULT_PLATFORM,
-                p.get("grid:code") or p.get("mgrs") or DEFAULT_TILE,
-                [float(v) for v in item["bbox"]] if item.get("bbox") else None,
-                COLLECTION_BANDS.get(self.collection, []),
-            )
-
-
-class StacDataSource(DataSource):
-    """``spark.read.format("scenelake_stac").load(folder)``, one task per catalog file.
-
-    The folder must be one that every executor can open.
-    """
-
-    @classmethod
-    def name(cls) -> str:
-        return "scenelake_stac"
-
-    def schema(self) -> str:
-        return (
-            "product_id STRING, acquired_at STRING, collection STRING, cloud DOUBLE, platform STRING, "
-            "tile_id STRING, bbox ARRAY<DOUBLE>, bands ARRAY<STRING>"
-        )
-
-    def reader(self, schema) -> DataSourceReader:
-        return _StacReader(self.options)

@@ -32,7 +32,7 @@ def cached_products(products: DataFrame, store: DataFrame) -> DataFrame:
 
 
 def put_products(products: DataFrame, path: str, spark: SparkSession, force_refresh: bool = False) -> None:
-    """Append the new products to the store folder."""
+    """Append the new products to the store folder, stamped with ``written_at``; a refresh appends all of them."""
     store = None
     if not force_refresh:
         try:
@@ -40,10 +40,18 @@ def put_products(products: DataFrame, path: str, spark: SparkSession, force_refr
         except Exception as error:  # the folder does not exist before the first write
             if "PATH_NOT_FOUND" not in str(error):
                 raise
-    new_products(products, store, force_refresh).write.mode("append").parquet(path)
+    fresh = new_products(products, store, force_refresh)
+    fresh.withColumn("written_at", F.current_timestamp()).write.mode("append").parquet(path)
 
 
-def latest(store: DataFrame) -> DataFrame:
-    """One row per key of a store that was also written with refreshes."""
+def clear_store(path: str, spark: SparkSession) -> None:
+    """Empty the store; its columns stay."""
+    schema = spark.read.parquet(path).schema
+    spark.createDataFrame([], schema).write.mode("overwrite").parquet(path)
+
+
+def latest(store: DataFrame, version: str = "written_at") -> DataFrame:
+    """The newest row of each key of a store that was also written with refreshes."""
     rest = [c for c in store.columns if c != "key"]
-    return store.groupBy("key").agg(F.max(F.struct(*rest)).alias("p")).select("key", "p.*")
+    newest = F.max_by(F.struct(*rest), F.struct(version, *[c for c in rest if c != version]))
+    return store.groupBy("key").agg(newest.alias("p")).select("key", "p.*")

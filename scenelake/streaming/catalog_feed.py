@@ -3,14 +3,10 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
-from scenelake.operators.catalog import cache_key
 from scenelake.sources.stac import STAC_SCHEMA, stac_rows
-
-DEDUPE_WINDOW = "30 days"
-
+from scenelake.sources.store import put_products, with_key
 
 def read_feed(spark: SparkSession, path: str, collection: str = "SENTINEL-2", files_per_batch: int = 100) -> DataFrame:
     """Scenes of the feature-collection files that arrive under a path."""
@@ -23,15 +19,15 @@ def read_feed(spark: SparkSession, path: str, collection: str = "SENTINEL-2", fi
     return stac_rows(files, collection)
 
 
-def deduplicated(scenes: DataFrame, window: str = DEDUPE_WINDOW) -> DataFrame:
-    """One row per product key; state older than the watermark is dropped."""
-    keyed = scenes.withColumn("key", cache_key("product_id")).withColumn("acquired_at", F.col("acquired_at").cast("timestamp"))
-    return keyed.withWatermark("acquired_at", window).dropDuplicatesWithinWatermark(["key"])
+def start_feed(scenes: DataFrame, store_path: str, checkpoint_path: str, available_now: bool = False) -> StreamingQuery:
+    """Append the scenes that the store does not have yet, whenever they were acquired.
+
+    Each batch is anti-joined with the stored keys, so a batch that is run again adds nothing, an old scene that
+    arrives late is kept, and no state grows with the stream.
+    """
 
+    def put(batch: DataFrame, _: int) -> None:
+        put_products(with_key(batch), store_path, batch.sparkSession)
 
-def start_feed(scenes: DataFrame, store_path: str, checkpoint_path: str, available_now: bool = False) -> StreamingQuery:
-    """Append the deduplicated scenes to the store with exactly-once file output."""
-    writer = (
-        deduplicated(scenes).writeStream.format("parquet").outputMode("append").option("path", store_path).option("checkpointLocation", checkpoint_path)
-    )
+    writer = scenes.writeStream.foreachBatch(put).option("checkpointLocation", checkpoint_path)
     return (writer.trigger(availableNow=True) if available_now else writer).start()

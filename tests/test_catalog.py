@@ -12,7 +12,7 @@ from scenelake.operators import catalog as cat
 from scenelake.operators.ranking import rank_within, top_k
 from scenelake.registry import Tool, Toolbox, default_toolbox
 from scenelake.sources import files, geojson, stac, store
-from scenelake.sources.provider import FolderProvider, StacDataSource
+from scenelake.sources.provider import FolderProvider
 from scenelake.streaming.catalog_feed import read_feed, start_feed
 
 
@@ -41,7 +41,7 @@ def test_filters_reject_bad_input(spark):
     with pytest.raises(ValueError):
         cat.filter_scenes(scenes(spark), start="2024-02-01", end="2024-01-01")
     with pytest.raises(ValueError):
-        cat.filter_scenes(scenes(spark), limit=51)
+        cat.filter_scenes(scenes(spark), limit=0)
     kept = cat.filter_scenes(scenes(spark), start="2024-01-15", end="2024-01-15", max_cloud=2.4, limit=1)
     assert [r["product_id"] for r in kept.collect()] == ["c"]
 
@@ -68,7 +68,10 @@ def test_rank_of_a_large_group_is_exact(spark, values):
     pick = {"spread": lambda: rng.random(), "ties": lambda: float(rng.randint(0, 3)), "one": lambda: 1.0}[values]
     rows = [(1, pick(), i) for i in range(4000)] + [(2, pick(), i) for i in range(5)]
     df = spark.createDataFrame(rows, "k int, v double, id int")
+    named = df.withColumn("id", F.format_string("%d-%05d", "k", "id"))
+    by_name = {(r["k"], int(r["id"][2:])): r["rank"] for r in rank_within(named, ["k"], F.col("v"), ["id"], large_group=50).collect()}
     got = {(r["k"], r["id"]): r["rank"] for r in rank_within(df, ["k"], F.col("v"), ["id"], large_group=50).collect()}
+    assert got == by_name
     for k in (1, 2):
         order = sorted([r for r in rows if r[0] == k], key=lambda r: (r[1], r[2]))
         assert [got[(k, r[2])] for r in order] == list(range(1, len(order) + 1))
@@ -88,9 +91,12 @@ def test_store_keeps_one_row_per_key(spark, tmp_path):
     assert spark.read.parquet(path).count() == 2
     store.put_products(store.with_key(spark.createDataFrame([("p2", 9), ("p3", 4)], "product_id string, n int")), path, spark)
     assert sorted(r["product_id"] for r in spark.read.parquet(path).collect()) == ["p1", "p2", "p3"]
-    store.put_products(store.with_key(spark.createDataFrame([("p3", 7)], "product_id string, n int")), path, spark, force_refresh=True)
-    assert store.latest(spark.read.parquet(path)).filter("product_id = 'p3'").first()["n"] == 7
+    for n in (7, 2):
+        store.put_products(store.with_key(spark.createDataFrame([("p3", n)], "product_id string, n int")), path, spark, force_refresh=True)
+        assert store.latest(spark.read.parquet(path)).filter("product_id = 'p3'").first()["n"] == n
     assert store.cached_products(first, spark.read.parquet(path)).count() == 3
+    store.clear_store(path, spark)
+    assert store.latest(spark.read.parquet(path)).count() == 0
 
 
 def test_cache_key_is_the_hash_prefix(spark):
@@ -135,16 +141,18 @@ def test_feed_deduplicates_across_batches(spark, tmp_path):
         assert query.exception() is None
         (tmp_path / "stac" / "b.json").write_text(json.dumps(FEATURES))
     assert sorted(r["product_id"] for r in spark.read.parquet(out).collect()) == ["one", "two"]
+    old = {"features": [{"id": "old", "properties": {"datetime": "2019-01-01T00:00:00Z"}}]}
+    (tmp_path / "stac" / "c.json").write_text(json.dumps(old))
+    start_feed(read_feed(spark, folder), out, ckpt, available_now=True).awaitTermination(120)
+    assert sorted(r["product_id"] for r in spark.read.parquet(out).collect()) == ["old", "one", "two"]
 
 
-def test_provider_and_data_source(spark, tmp_path):
+def test_provider(spark, tmp_path):
     folder = catalog_folder(tmp_path)
     provider = FolderProvider(folder)
     assert provider.search(spark, max_cloud=5.0).count() == 2
     assert provider.get_product(spark, "two").count() == 1
-    spark.dataSource.register(StacDataSource)
-    rows = spark.read.format("scenelake_stac").load(folder).collect()
-    assert len(rows) == 3 and rows[0]["bbox"] == [1.0, 2.0, 3.0, 4.0]
+    assert provider.get_product(spark, "it's").count() == 0
 
 
 def test_file_audit(spark, tmp_path):

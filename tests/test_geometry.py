@@ -39,6 +39,19 @@ def test_area_inputs(spark):
     assert df.select(F.size(raster.geojson_ring("t"))).first()[0] == 4
     with pytest.raises(ValueError):
         raster.literal_ring([(0, 0), (1, 1)])
+    many = '{"type":"MultiPolygon","coordinates":[[[[0,0],[4,0],[4,4],[0,0]],[[1,1],[2,1],[2,2],[1,1]]],[[[9,9],[10,9],[10,10],[9,9]]]]}'
+    df = spark.createDataFrame([(text,), (many,)], "t string")
+    assert [r[0] for r in df.select(F.size(raster.geojson_rings("t"))).collect()] == [1, 3]
+    for bad in ('{"type":"Point","coordinates":[1,2]}', "nonsense", None):
+        with pytest.raises(Exception, match="not a polygon"):
+            spark.createDataFrame([(bad,)], "t string").select(raster.geojson_rings("t")).collect()
+
+
+def test_turned_raster_is_refused(spark):
+    header = spark.createDataFrame([(1, 1.0, 0.5, 0.0, 0.0, -1.0, 0.0, 9, 9, 4326)], HEADER)
+    px = spark.range(9).selectExpr("1 as scene_id", "id as row", "id as col")
+    with pytest.raises(Exception, match="turned against its axes"):
+        raster.crop(px, header, [0.0, -5.0, 5.0, 0.0]).pixels.collect()
 
 
 def test_crop_projects_degrees_onto_a_projected_raster(spark):

@@ -57,15 +57,14 @@ def test_routing(spark):
     assert tasks == ["SINGLE_VQA", "SINGLE_CAPTION", "GROUNDING", "TEMPORAL_CHANGE", "OPTICAL_SAR"]
 
 
-def test_large_gazetteer_gives_the_same_places(spark, gaz, monkeypatch):
-    df = texts(spark, "erode east and perundurai", "eroded soil", "Erode", "nothing")
+def test_large_gazetteer_gives_the_same_places(spark, gaz):
+    df = texts(spark, "erode east and perundurai", "eroded soil", "Erode", "nothing", None, "Erode")
+    filler = spark.range(3000).selectExpr("concat('nowhere', id) as key", "cast(1000 + id as int) as ord", *[f"cast(null as {t}) as {c}" for c, t in gaz.dtypes if c not in ("key", "ord")])
     for mode in ("word", "contains"):
         small = {r["query_id"]: r["place"] for r in gazetteer.match_places(df, gaz, mode=mode).collect()}
-        monkeypatch.setattr(gazetteer, "SMALL_GAZETTEER", 1)
-        large = {r["query_id"]: r["place"] for r in gazetteer.match_places(df, gaz, mode=mode, row_id="query_id").collect()}
-        monkeypatch.undo()
-        assert small == large
-        assert small[0]["key"] == "perundurai" and small[3] is None
+        large = {r["query_id"]: r["place"] for r in gazetteer.match_places(df, gaz.unionByName(filler.select(*gaz.columns)), mode=mode).collect()}
+        assert small == large and len(small) == 6
+        assert small[0]["key"] == "perundurai" and small[3] is None and small[4] is None and small[5] == small[2]
         assert (small[1] is None) == (mode == "word")
 
 
@@ -132,7 +131,9 @@ def test_merge_keeps_first_free_boxes(spark):
         [(1, i, 10.0 + 4 * i, 10.0, 20.0, 20.0, "p") for i in range(1, 30)] + [(2, i, 1.0, 1.0, 2.0, 2.0, "q") for i in range(6)], cols
     )
     got = box_text.merge_boxes(anchors, parsed)
-    assert sorted(r["ord"] for r in got.filter("image_id = 1").collect()) == [0, 2, 4, 6]
+    assert sorted(r["ord"] for r in got.filter("image_id = 1").collect()) == list(range(0, 30, 2))
+    capped = box_text.merge_boxes(anchors, parsed, cap=4)
+    assert sorted(r["ord"] for r in capped.filter("image_id = 1").collect()) == [0, 2, 4, 6]
     assert got.filter("image_id = 2").count() == 6
 
 
