@@ -154,30 +154,31 @@ def _enough_shared(a: str, b: str, percent: int) -> Column:
 
 
 def _size_class(n: Column) -> Column:
-    """Sizes in classes of about three per cent."""
-    return F.floor(F.log(n.cast("double")) * 33).cast("int")
+    """Sizes in classes of about twelve per cent, so that the sizes of possible partners lie in three."""
+    return F.floor(F.log(n.cast("double")) * 8.3).cast("int")
 
 
 def _meeting(spots: DataFrame, percent: int) -> DataFrame:
     """(ggid, hgid): pairs of groups from different components that can still reach the threshold.
 
-    With their first common shingle at ``pos``, sets share at most ``n - pos``, so both places must leave room for the
-    overlap needed at the two sizes. The smaller set of a pair can only use the front of its prefix, and a place of the
-    larger one reaches sizes up to a bound: postings meet by shingle and size class, and sets that have too much of
-    their own in front never meet.
+    ``spots``: token, gid, pos, n, comp (null for a group of several components). With their first common shingle at
+    ``pos``, sets share at most ``n - pos``, so both places must leave room for the overlap needed at the two sizes.
+    The smaller set of a pair can only use the front of its prefix, and a place of the larger one reaches sizes up to
+    a bound: postings meet by shingle and size class, and sets that have too much of their own in front never meet.
     """
     need = lambda n: F.ceil(n * percent / (100 + percent))
+    names = ("gid", "n", "comp", "pos")
     front = spots.filter(F.col("pos") <= F.col("n") - need(2 * F.col("n")))
-    left = front.select("token", _size_class(F.col("n")).alias("size"), *[F.col(c).alias(f"g{c}") for c in ("gid", "n", "lo", "hi", "pos")])
+    left = front.select("token", _size_class(F.col("n")).alias("size"), *[F.col(c).alias(f"g{c}") for c in names])
     reach = F.floor((F.col("n") - F.col("pos")) * (100 + percent) / percent) - F.col("n")
     low, high = F.ceil(F.col("n") * percent / 100), F.least(F.col("n"), reach)
     classes = F.sequence(_size_class(low), _size_class(F.greatest(low, high)))
-    right = spots.filter(low <= high).select("token", F.explode(classes).alias("size"), *[F.col(c).alias(f"h{c}") for c in ("gid", "n", "lo", "hi", "pos")])
+    right = spots.filter(low <= high).select("token", F.explode(classes).alias("size"), *[F.col(c).alias(f"h{c}") for c in names])
     both = need(F.col("gn") + F.col("hn"))
     return (
         left.join(right, ["token", "size"])
         .filter("gn < hn or (gn = hn and ggid < hgid)")
-        .filter("not (glo = ghi and hlo = hhi and glo = hlo)")
+        .filter("coalesce(gcomp <> hcomp, true)")
         .filter(_may_link("g", "h", percent))
         .filter((F.col("gpos") <= F.col("gn") - both) & (F.col("hpos") <= F.col("hn") - both))
         .select("ggid", "hgid")
@@ -283,7 +284,8 @@ def link_components(docs: DataFrame, k: int = SHINGLE, percent: int = PERCENT, m
     place = cut_lineage(members.join(comps, "cid", "left").withColumn("comp", F.coalesce("comp", "cid")))
     mixed_groups = place.groupBy("gid").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"))
     mixed = posted.join(mixed_groups, "gid").groupBy("token").agg(F.min("lo").alias("lo"), F.max("hi").alias("hi")).filter("lo <> hi").select("token")
-    spots = posted.join(mixed, "token").join(mixed_groups, "gid").join(facts.select("gid", "n"), "gid")
+    alone = mixed_groups.select("gid", F.when(F.col("lo") == F.col("hi"), F.col("lo")).alias("comp"))
+    spots = posted.join(mixed, "token").join(alone.join(facts.select("gid", "n"), "gid"), "gid").withColumn("n", F.col("n").cast("int"))
     group_pairs = _meeting(spots, percent)
     same_group = mixed_groups.filter("lo <> hi").select(F.col("gid").alias("ggid"), F.col("gid").alias("hgid"))
     one = place.select(F.col("gid").alias("ggid"), F.col("cid").alias("a"), F.col("comp").alias("ca"))
