@@ -6,6 +6,7 @@ All hashes are 64 bits wide and the same in every process.
 
 from __future__ import annotations
 
+import gc
 from collections.abc import Iterator, Sequence
 
 import numpy as np
@@ -13,7 +14,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
+from scenelake.session import cut_lineage
+
 #: Bytes of text that a buffer of the numpy code holds before it is worked on.
 BUFFER_BYTES = 1 << 20
 
@@ -105,6 +107,17 @@ def batches_of_text(batches: Iterator[pa.RecordBatch], column: str = "text", lim
                 first, size = i + 1, 0
 
 
+def cut(df: DataFrame) -> DataFrame:
+    """``cut_lineage``, and let the driver's cleaner drop the shuffle files that only the work before it needed.
+
+    The cleaner acts on what the driver has collected as garbage, which a long job of small plans seldom does by itself.
+    """
+    done = cut_lineage(df)
+    gc.collect()
+    df.sparkSession.sparkContext._jvm.System.gc()
+    return done
+
+
 def shuffle_parts(df: DataFrame) -> int:
     """The session's number of shuffle partitions."""
     return int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
@@ -121,10 +134,5 @@ def held_out(modulus: int, remainder: int, doc_id: str = "doc_id") -> Column:
     return F.crc32(F.coalesce(F.col(doc_id).cast("string"), F.lit("")).cast("binary")) % modulus == remainder
 
 
-def bare(docs: DataFrame, *columns: str) -> DataFrame:
-    """Only the named columns, so that further columns of the input never clash."""
-    return docs.select(*columns)
-
-
 def read(spark, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")

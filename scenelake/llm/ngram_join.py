@@ -17,15 +17,16 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from scenelake.llm.common import batches_of_text, mix, shingle_hashes, shuffle_parts, word_hashes
+from scenelake.llm.common import batches_of_text, cut, mix, shingle_hashes, word_hashes
 from scenelake.operators.components import contract
-from scenelake.session import cut_lineage
 
 SHINGLE = 5
 #: The similarity, in hundredths.
 PERCENT = 80
 #: Shingles placed last in the global order: the most frequent ones, at most so many, so their table is bounded.
 FREQUENT = 1 << 18
+#: Candidate ids that are broadcast to the scan of their texts at most (8 bytes each); more are met in a shuffle.
+BROADCAST_IDS = 1_000_000
 #: Documents of one task that must share a shingle before the task reports it as frequent.
 REPORT = 4
 
@@ -215,14 +216,16 @@ def _set_table(docs: DataFrame, ids: DataFrame, k: int) -> DataFrame:
             packed = pa.array([x.astype("<u8").tobytes() for x in sets], pa.binary())
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), packed], ["doc_id", "s"])
 
-    wanted = docs.select("doc_id", "text").join(ids, "doc_id", "left_semi")
+    ids = cut(ids)
+    small = ids.count() <= BROADCAST_IDS
+    wanted = docs.select("doc_id", "text").join(F.broadcast(ids) if small else ids, "doc_id", "left_semi")
     return wanted.mapInArrow(run, "doc_id long, s binary")
 
 
 def _links(docs: DataFrame, pairs: DataFrame, k: int, percent: int) -> DataFrame:
-    pairs = cut_lineage(pairs.distinct())
+    pairs = cut(pairs.distinct())
     ids = pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct()
-    return cut_lineage(_verified(pairs, cut_lineage(_set_table(docs, ids, k)), percent))
+    return cut(_verified(pairs, cut(_set_table(docs, ids, k)), percent))
 
 
 def _components(links: DataFrame) -> DataFrame:
@@ -239,8 +242,8 @@ def link_components(docs: DataFrame, k: int = SHINGLE, percent: int = PERCENT, m
     Documents of equal sets need no verification: their class answers for all. Further columns are not read.
     """
     docs = docs.select("doc_id", "text")
-    table = cut_lineage(prefix_table(docs.filter("doc_id is not null"), k, percent, most))
-    classes = cut_lineage(
+    table = cut(prefix_table(docs.filter("doc_id is not null"), k, percent, most))
+    classes = cut(
         table.filter("n > 0")
         .groupBy("n", "sig1", "sig2")
         .agg(F.min_by(F.struct("doc_id", "prefix", "rare"), "doc_id").alias("r"))
@@ -252,8 +255,8 @@ def link_components(docs: DataFrame, k: int = SHINGLE, percent: int = PERCENT, m
     )
     all_tokens = _tokens(groups)
     lists = all_tokens.groupBy("token").agg(F.count("*").alias("size")).filter("size > 1").select("token")
-    posted = cut_lineage(all_tokens.join(lists, "token"))
-    facts = cut_lineage(groups.filter("m > 1").select("gid", "n", "rare", "first").unionByName(
+    posted = cut(all_tokens.join(lists, "token"))
+    facts = cut(groups.filter("m > 1").select("gid", "n", "rare", "first").unionByName(
         groups.select("gid", "n", "rare", "first").join(posted.select("gid").distinct(), "gid", "left_semi")
     ).distinct())
 
@@ -281,7 +284,7 @@ def link_components(docs: DataFrame, k: int = SHINGLE, percent: int = PERCENT, m
     comps = _components(found)
 
     # whatever still lies in different components and shares enough
-    place = cut_lineage(members.join(comps, "cid", "left").withColumn("comp", F.coalesce("comp", "cid")))
+    place = cut(members.join(comps, "cid", "left").withColumn("comp", F.coalesce("comp", "cid")))
     mixed_groups = place.groupBy("gid").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"))
     mixed = posted.join(mixed_groups, "gid").groupBy("token").agg(F.min("lo").alias("lo"), F.max("hi").alias("hi")).filter("lo <> hi").select("token")
     alone = mixed_groups.select("gid", F.when(F.col("lo") == F.col("hi"), F.col("lo")).alias("comp"))
@@ -292,7 +295,7 @@ def link_components(docs: DataFrame, k: int = SHINGLE, percent: int = PERCENT, m
     two = place.select(F.col("gid").alias("hgid"), F.col("cid").alias("b"), F.col("comp").alias("cb"))
     rest = group_pairs.unionByName(same_group).join(one, "ggid").join(two, "hgid").filter("ca <> cb")
     tried = inside.unionByName(star.select("a", "b")).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
-    rest = rest.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct().join(cut_lineage(tried), ["a", "b"], "left_anti")
+    rest = rest.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct().join(cut(tried), ["a", "b"], "left_anti")
     late = _links(docs, rest, k, percent)
     comps = _components(found.unionByName(late))
 
