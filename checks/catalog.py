@@ -76,7 +76,7 @@ def _pairs(spark, sf):
     scenes = v.catalog(spark, sf)
     border = F.col("acquired_at") < F.col("target_date")
     out = cat.best_pair(scenes.filter(border), scenes.filter(~border))
-    return out.select("request_id", "before_product_id", "before_score", "after_product_id", "after_score", F.substring("before_reason", 1, 64).alias("before_reason"))
+    return out.select("request_id", "before_product_id", "before_score", "after_product_id", "after_score", F.md5(F.col("before_reason").cast("binary")).alias("before_reason"))
 
 
 QUERIES["j9_best_pair"] = _pairs
@@ -85,7 +85,7 @@ SQL["j9_best_pair"] = sql(
     f"""with {SCORE}, side as (select *, acquired_at < target_date as old, row_number() over (partition by request_id, acquired_at < target_date order by score desc, ord) as k from sc),
     b as (select request_id, product_id, score, 'Optimal Baseline (T1): ' || {REASON} as reason from side where old and k = 1), a as (select * from side where not old and k = 1)
     select coalesce(b.request_id, a.request_id) as request_id, b.product_id as before_product_id, b.score as before_score, a.product_id as after_product_id, a.score as after_score,
-    substring(b.reason, 1, 64) as before_reason from b full join a on b.request_id = a.request_id""",
+    md5(b.reason) as before_reason from b full join a on b.request_id = a.request_id""",
 )
 
 # --- F19, F20, S7, J10
@@ -222,7 +222,29 @@ def _features(spark, sf):
 
 QUERIES["s6_geojson"] = _features
 SQL["s6_geojson"] = sql("footprints", f"select id, grp, 'Polygon' as kind, {sfixed('x0', 5)} as lon0, {sfixed('y0 + w', 5)} as lat2, true as closed from footprints")
-QUERIES["s2_audit_files"] = lambda spark, sf: files.audit_files(spark, sf).select("filename", "extension", "status", "is_valid", "modality")
+AUDIT_NAMES = "concat('/in/', page_id, array('-s2.tif', '_sar.TIFF', '_sentinel-1.png', '_change.jpg', '_x.jpeg', '.gif', '')[page_id % 7])"
+
+
+def _listing(spark, sf):
+    """A listing made of the pages: file names of all kinds, sizes of the pages, signatures for some."""
+    head = "case page_id % 4 when 0 then concat(unhex('49492A00'), cast(html as binary)) when 1 then concat(unhex('89504E47'), cast(html as binary)) when 2 then concat(unhex('FFD8FF'), cast(html as binary)) else cast(html as binary) end"
+    return v.table(spark, sf, "pages").selectExpr(
+        f"{AUDIT_NAMES} as path", "if(page_id % 11 = 0, 0L, cast(octet_length(html) as bigint)) as length", f"{head} as content",
+        "if(page_id % 13 = 0, 'no data', null) as error", "page_id % 17 as width", "page_id % 5 as bands", "if(page_id % 3 = 0, null, 4326) as epsg",
+    )
+
+
+QUERIES["s2_audit_rows"] = lambda spark, sf: files.audit_rows(_listing(spark, sf), signature=True, require_crs=True).select(
+    "path", "filename", "extension", "length", "status", "is_valid", "modality", "bands"
+)
+SQL["s2_audit_rows"] = """with l as (select page_id as p, '/in/' || page_id || ['-s2.tif', '_sar.TIFF', '_sentinel-1.png', '_change.jpg', '_x.jpeg', '.gif', ''][page_id % 7 + 1] as path,
+    case when page_id % 11 = 0 then 0 else strlen(html) end as length, page_id % 7 as k, page_id % 4 as s, html from pages),
+  m as (select *, k < 5 as known, case when k <= 1 then s = 0 when k = 2 then s = 1 when k <= 4 then s = 2 else false end as signed from l),
+  t as (select *, case when not known then 'UNSUPPORTED_FORMAT' when length = 0 or not signed then 'CORRUPTED_FILE' when p % 13 = 0 then 'READ_ERROR'
+    when p % 17 = 0 or p % 5 = 0 or p % 3 = 0 then 'INVALID' else 'VALID' end as status from m)
+  select path, substring(path, 5) as filename, ['tif', 'tiff', 'png', 'jpg', 'jpeg', 'gif', ''][k + 1] as extension, length, status, status = 'VALID' as is_valid,
+    ['Multispectral', 'SAR', 'SAR', 'Bi-Temporal Pair', 'Optical', 'Optical', 'Optical'][k + 1] as modality,
+    cast([12, 2, 2, 4, 3, 3, 3][k + 1] as integer) as bands from t"""
 
 
 def _stac(spark, sf):

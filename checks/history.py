@@ -13,6 +13,8 @@ from scenelake.functions import text as tx
 from scenelake.operators import history as hs
 from scenelake.operators import metrics as mt
 from scenelake.operators import query_text as qt
+from scenelake.operators.candidates import refine_candidates, refine_reply
+from scenelake.operators.stats import class_breakdown
 from scenelake.plans.land_search import land_search
 from scenelake.plans.retrieval import retrieve_pairs
 from scenelake.registry import default_toolbox, tools_for
@@ -59,8 +61,8 @@ def summaries(spark, sf):
 
 
 SUMMARY = """s as (select analysis_id, first(text order by step) as query, first(tool order by step desc) as task, max(step) as created_at, first(text order by step desc) as location from hist group by 1)"""
-QUERIES["s8_history_list"] = lambda spark, sf: hs.newest_first(summaries(spark, sf)).select("analysis_id", "task", "created_at", F.substring("query", 1, 40).alias("head"))
-SQL["s8_history_list"] = sql("hist", f"with {SUMMARY} select analysis_id, task, created_at, substring(query, 1, 40) as head from s")
+QUERIES["s8_history_list"] = lambda spark, sf: hs.newest_first(summaries(spark, sf)).select("analysis_id", "task", "created_at", F.md5(F.col("query").cast("binary")).alias("query_md5"))
+SQL["s8_history_list"] = sql("hist", f"with {SUMMARY} select analysis_id, task, created_at, md5(query) as query_md5 from s")
 QUERIES["s8_get_analysis"] = lambda spark, sf: hs.get_analysis(v.hist(spark, sf), 3).select("analysis_id", "step", "tool", "duration_ms")
 SQL["s8_get_analysis"] = sql("hist", "select analysis_id, step, tool, duration_ms from hist where analysis_id = 3")
 QUERIES["s8_delete_analysis"] = lambda spark, sf: hs.without_analysis(v.hist(spark, sf), 3).select("analysis_id", "step")
@@ -124,18 +126,15 @@ SQL["f24_json_reports"] = sql(
     f"""with {REPORT_PARTS} select tr.analysis_id, md5(answer) as answer_md5, cast(0 as integer) as n_evidence, cast((select count(*) from hist h where h.analysis_id = tr.analysis_id) as integer) as n_steps, ms, ms as total
     from tr join ans on tr.analysis_id = ans.analysis_id""",
 )
-QUERIES["f23_maps"] = lambda spark, sf: (
-    v.hist(spark, sf)
-    .groupBy("analysis_id", "tool")
-    .agg(F.sum("duration_ms").alias("ms"))
-    .groupBy("analysis_id")
-    .agg(F.map_from_entries(F.collect_list(F.struct("tool", "ms"))).alias("m"))
-    .select("analysis_id", F.size("m").alias("n"), F.try_element_at("m", F.lit("user")).alias("user_ms"), F.array_join(F.array_sort(F.map_keys("m")), ",").alias("keys"))
-)
+QUERIES["f23_maps"] = lambda spark, sf: class_breakdown(v.hist(spark, sf), "tool", ["analysis_id"]).select(
+    "analysis_id", "pixels", F.size("class_breakdown").alias("n"), fixed(F.try_element_at("class_breakdown", F.lit("user"))).alias("user_pct"),
+    F.array_join(F.array_sort(F.map_keys("class_breakdown")), ",").alias("keys"),
+)
 SQL["f23_maps"] = sql(
     "hist",
-    """select analysis_id, cast(count(distinct tool) as integer) as n, cast(sum(duration_ms) filter (where tool = 'user') as bigint) as user_ms,
-    array_to_string(list_sort(list(distinct tool)), ',') as keys from hist group by 1""",
+    f"""select analysis_id, count(*) as pixels, cast(count(distinct tool) as integer) as n,
+    {sfixed("nullif(count(*) filter (where tool = 'user'), 0) * 100e0 / count(*)")} as user_pct,
+    array_to_string(list_sort(list(distinct tool)), ',') as keys from hist where tool is not null group by 1""",
 )
 
 
@@ -208,7 +207,7 @@ def scene_headers(spark, sf):
 def _land(spark, sf):
     h = scene_headers(spark, sf)
     grown = h.withColumn("height", F.lit(40))
-    return land_search(v.px_time(spark, sf), grown, v.queries(spark, sf), v.gaz(spark, sf), "yr")
+    return land_search(v.px_time(spark, sf), grown, v.queries(spark, sf), v.gaz(spark, sf), "yr", min_ratio=0.8)
 
 
 QUERIES["r12_land_search"] = lambda spark, sf: _land(spark, sf).candidates.select(
@@ -248,6 +247,25 @@ SQL["r12_land_search"] = sql(
     + f"""select query_id, scene_id, label, pixels, {sfixed('ha', 3)} as ha, {sfixed('dist', 3)} as km, {sfixed('ratio')} as ratio,
       row_number() over (partition by query_id order by case crit when 1 then dist when 2 then -ratio else -ha end, -ha, scene_id, label) as rank from c""",
 )
+
+
+def _followup(spark, sf):
+    i = F.col("query_id")
+    asks = F.when(i % 3 == 0, "Only areas larger than 60 hectares").when(i % 3 == 1, "Which is the closest one?").otherwise("the persistent ones")
+    prompts = v.queries(spark, sf).select(i.alias("search_id"), asks.alias("prompt"))
+    refined = refine_candidates(_land(spark, sf).candidates, prompts)
+    replies = refine_reply(refined).select("search_id", F.col("count").alias("n"), (F.length("reply") > 0).alias("answered"))
+    return refined.join(replies, "search_id").select("search_id", "cand_id", "rule", F.col("position").cast("bigint").alias("position"), "n", "answered")
+
+
+QUERIES["r12_followup"] = _followup
+SQL["r12_followup"] = sql(
+    "px_time queries gaz",
+    LAND_CTES
+    + """ , e as (select query_id as search_id, scene_id || '-' || label as cand_id, ha, ratio, dist, query_id % 3 as m from c)
+    select search_id, cand_id, ['area', 'nearest', 'persistence'][m + 1] as rule, row_number() over (partition by search_id order by case when m = 1 then dist else 0e0 end, cand_id) as position,
+      count(*) over (partition by search_id) as n, true as answered from e where (m <> 0 or ha >= 60) and (m <> 2 or ratio >= 0.8e0)""",
+)
 QUERIES["r12_land_search_answers"] = lambda spark, sf: _land(spark, sf).answers.select("query_id", "status", "candidates", fixed("total_hectares", 3).alias("ha"))
 SQL["r12_land_search_answers"] = sql(
     "px_time queries gaz",

@@ -13,6 +13,7 @@ from scenelake.functions import text as tx
 from scenelake.operators import box_text, gazetteer
 from scenelake.operators import query_text as qt
 from scenelake.operators.stats import index_stats
+from scenelake.sources.gazetteer import places
 
 QUERIES: dict = {}
 SQL: dict[str, str] = {}
@@ -99,15 +100,20 @@ SQL["q3_retrieval_fields"] = sql(
 )
 
 
+#: Place words put behind the requests of ``s4_gazetteer``.
+NAMED = ["Erode", "ERODED soil", "Chennai.", "mumbai and erode", "bengaluru", "nowhere", "Coimbatore", "perundurai"]
+
+
 # --- Q4 topics and sentences from statistics
 def _described(spark, sf):
     stats = index_stats(v.px_multi(spark, sf))
+    many = v.px_multi(spark, sf).agg(F.max("scene_id")).scalar()
     asked = v.queries(spark, sf).select(
-        "query_id", "text", (F.col("query_id") % 100).alias("scene_id"), F.lit("Somewhere, District").alias("location"),
+        "query_id", "text", (F.col("query_id") % many + 1).alias("scene_id"), F.lit("Somewhere, District").alias("location"),
         ((F.col("query_id") % 9) + 0.5).alias("area_km2"),
     )
     wanted = F.when(F.col("topic") == "built", "ndbi").when(F.col("topic") == "water", "ndwi").otherwise("ndvi")
-    rows = asked.withColumn("topic", qt.topic("text")).join(stats, "scene_id").filter(F.col("index") == wanted).drop("topic")
+    rows = asked.withColumn("topic", qt.topic("text")).withColumn("index", wanted).drop("topic").join(stats, ["scene_id", "index"], "left")
     return qt.describe_stats(rows).select(
         "query_id", "topic", fixed("share_pct").alias("share_pct"), fixed("share_km2").alias("share_km2"),
         F.col("answer").startswith("In Somewhere, ").alias("names_place"),
@@ -121,7 +127,7 @@ SQL["q4_describe_stats"] = sql(
     s as (select scene_id, avg(case when ndbi > 0.1e0 then 100e0 else 0e0 end) as b, avg(case when ndvi > 0.5e0 then 100e0 else 0e0 end) as g,
       avg(case when ndwi > 0 then 100e0 else 0e0 end) as w from i group by 1),
     t as (select query_id, case when {has(qt.TOPIC_WORDS['built'])} then 'built' when {has(qt.TOPIC_WORDS['vegetation'])} then 'vegetation' when {has(qt.TOPIC_WORDS['water'])} then 'water' else 'general' end as topic from q),
-    u as (select query_id, topic, case topic when 'built' then b when 'vegetation' then g when 'water' then w end as pct from t join s on query_id % 100 = scene_id)
+    u as (select query_id, topic, case topic when 'built' then b when 'vegetation' then g when 'water' then w end as pct from t left join s on query_id % (select max(scene_id) from s) + 1 = scene_id)
     select query_id, topic, {sfixed('pct')} as share_pct, {sfixed('pct / 100e0 * (query_id % 9 + 0.5e0)')} as share_km2, true as names_place from u""",
 )
 
@@ -158,8 +164,23 @@ SQL["j5_geocode_substring"] = sql(
     f"""with {Q}, m as (select query_id, key, ord, row_number() over (partition by query_id order by ord) as rn from q join gaz on contains(q, key))
     select q.query_id, key, ord from q left join m on q.query_id = m.query_id and rn = 1""",
 )
-QUERIES["s4_gazetteer"] = lambda spark, sf: v.gaz(spark, sf)
-SQL["s4_gazetteer"] = sql("gaz", "select * from gaz")
+QUERIES["s4_gazetteer"] = lambda spark, sf: gazetteer.geocode(
+    v.queries(spark, sf).withColumn("text", F.concat("text", F.lit(" by "), F.element_at(F.array(*[F.lit(x) for x in NAMED]), (F.col("query_id") % 8 + 1).cast("int")))),
+    places(spark),
+).select("query_id", "place_name", "resolved_by", "lat", "lon", "min_lon", "max_lat")
+SQL["s4_gazetteer"] = sql(
+    "queries",
+    """with g(k, key, name, lat, lon, x0, y1) as (values (0, 'perundurai', 'Perundurai, Erode District, Tamil Nadu, India', 11.2750e0, 77.5833e0, 77.5300e0, 11.3200e0),
+      (1, 'erode', 'Erode, Tamil Nadu, India', 11.3410e0, 77.7172e0, 77.6600e0, 11.3900e0), (2, 'coimbatore', 'Coimbatore, Tamil Nadu, India', 11.0168e0, 76.9558e0, 76.8800e0, 11.0800e0),
+      (3, 'chennai', 'Chennai, Tamil Nadu, India', 13.0827e0, 80.2707e0, 80.1800e0, 13.2500e0), (4, 'mumbai', 'Mumbai, Maharashtra, India', 19.0760e0, 72.8777e0, 72.7500e0, 19.2500e0),
+      (5, 'bengaluru', 'Bengaluru, Karnataka, India', 12.9716e0, 77.5946e0, 77.5000e0, 13.1000e0)),
+    t as (select query_id, lower(text || ' by ' || ['Erode', 'ERODED soil', 'Chennai.', 'mumbai and erode', 'bengaluru', 'nowhere', 'Coimbatore', 'perundurai'][query_id % 8 + 1]) as q from queries),
+    h as (select query_id, min(k) as k from t join g on regexp_matches(q, '(^|[^a-z0-9_])' || key || '([^a-z0-9_]|$)') group by 1),
+    c as (select query_id, try_cast(regexp_extract(q, '(-?\\d+(?:\\.\\d+)?)\\s*,\\s*(-?\\d+(?:\\.\\d+)?)', 1) as double) as la, try_cast(regexp_extract(q, '(-?\\d+(?:\\.\\d+)?)\\s*,\\s*(-?\\d+(?:\\.\\d+)?)', 2) as double) as lo from t)
+    select t.query_id, g.name as place_name, case when g.key is not null then 'gazetteer' when la is not null then 'coordinates' end as resolved_by,
+      coalesce(g.lat, la) as lat, coalesce(g.lon, lo) as lon, coalesce(x0, round(lo - 0.04e0, 4)) as min_lon, coalesce(y1, round(la + 0.04e0, 4)) as max_lat
+    from t left join h on t.query_id = h.query_id left join g on h.k = g.k left join c on t.query_id = c.query_id""",
+)
 QUERIES["f20_hashed_place"] = lambda spark, sf: v.queries(spark, sf).select("query_id", gazetteer.hashed_place("text").alias("p")).select("query_id", "p.lat", "p.lon")
 SQL["f20_hashed_place"] = sql(
     "queries",

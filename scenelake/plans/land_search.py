@@ -46,8 +46,8 @@ def region_table(
     px: DataFrame,
     headers: DataFrame,
     date: str,
+    min_ratio: float,
     targets: Sequence[str] = TARGETS,
-    min_ratio: float = cd.PERSISTENT_RATIO,
 ) -> DataFrame:
     """Connected regions whose cells show a target on at least ``min_ratio`` of their dates.
 
@@ -86,13 +86,15 @@ def land_search(
     queries: DataFrame,
     gaz: DataFrame,
     date: str,
+    min_ratio: float,
     areas: DataFrame | None = None,
     targets: Sequence[str] = TARGETS,
-    min_ratio: float = cd.PERSISTENT_RATIO,
     cell: float = 1.0,
 ) -> LandSearch:
     """Answer (query_id, text) requests from pixels.
 
+    A cell shows a target from the share ``min_ratio`` of its dates on. Candidates carry search_id, cand_id and name, so
+    that they can be refined, ranked and rolled up as they are.
     ``areas`` (query_id, x0, y0, x1, y1) replaces the box around the named place. Requests
     for change between years belong to the change jobs and get no candidates here. Pixels
     are grouped into regions once; only regions meet requests, by the scenes
@@ -123,7 +125,7 @@ def land_search(
         F.col("id_a").alias("scene_id"), F.col("id_b").alias("place")
     )
     wanted_px = px.join(met.select("scene_id").distinct(), "scene_id", "left_semi")
-    found = region_table(wanted_px, headers, date, targets, min_ratio)
+    found = region_table(wanted_px, headers, date, min_ratio, targets)
     hits = found.join(met, "scene_id").join(specs.withColumnsRenamed({"lat": "lat0", "lon": "lon0"}), ["place", "target"])
     inside = hits.filter("lon >= x0 and lon <= x1 and lat >= y0 and lat <= y1")
     kept = cd.minimum_area(inside, "minimum_area_hectares")
@@ -132,7 +134,9 @@ def land_search(
     )
     ranked = cut_lineage(_rank_by_request(cut_lineage(cand.drop(*BOX, "lat0", "lon0", "place"))))
     by_query = asked.select("query_id", "spec")
-    return LandSearch(parsed, by_query.join(ranked, "spec").drop("spec"), _answers(parsed, by_query, ranked))
+    named = by_query.join(ranked, "spec").drop("spec").withColumn("search_id", F.col("query_id"))
+    named = named.withColumn("name", F.format_string("%s #%d", F.regexp_replace("target", "_", " "), "rank"))
+    return LandSearch(parsed, named, _answers(parsed, by_query, ranked))
 
 
 def _rank_by_request(cand: DataFrame) -> DataFrame:

@@ -38,8 +38,14 @@ def file_guess(name: Column) -> Column:
     )
 
 
-def audit_rows(files: DataFrame, signature: bool = False) -> DataFrame:
-    """Status, size text and guesses for rows with path, length (and content when ``signature``)."""
+def audit_rows(files: DataFrame, signature: bool = False, require_crs: bool = False) -> DataFrame:
+    """Status, size text and guesses for the rows of a listing, empty files included.
+
+    ``files``: path, length; with ``signature`` content (the first bytes are enough). Where the listing has been read
+    further, ``error`` (why a file could not be read), ``width``, ``height``, ``bands`` and ``epsg`` count too. The first
+    status that applies: UNSUPPORTED_FORMAT, CORRUPTED_FILE, READ_ERROR, INVALID (no pixels, no bands, or no system of
+    coordinates where ``require_crs``), VALID.
+    """
     ext = file_extension("path")
     name = F.substring_index("path", "/", -1)
     supported = ext.isin(*EXTENSIONS)
@@ -53,7 +59,15 @@ def audit_rows(files: DataFrame, signature: bool = False) -> DataFrame:
         broken = (F.col("length") == 0) | ~good
     else:
         broken = F.col("length") == 0
-    status = F.when(~supported, "UNSUPPORTED_FORMAT").when(broken, "CORRUPTED_FILE").otherwise("VALID")
+    status = F.when(~supported, "UNSUPPORTED_FORMAT").when(broken, "CORRUPTED_FILE")
+    if "error" in files.columns:
+        status = status.when(F.col("error").isNotNull(), "READ_ERROR")
+    for side in ("width", "height", "bands"):
+        if side in files.columns:
+            status = status.when(F.coalesce(F.col(side), F.lit(0)) <= 0, "INVALID")
+    if require_crs:
+        status = status.when(F.col("epsg").isNull(), "INVALID")
+    status = status.otherwise("VALID")
     return files.select(
         "path",
         name.alias("filename"),
@@ -70,7 +84,7 @@ def audit_files(spark: SparkSession, path: str, signature: bool = False) -> Data
     """Audit all files under a path.
 
     Without ``signature`` only names and sizes are listed; with it file contents are read.
-    Spark's file sources leave out files of length zero, so those do not appear.
+    Spark's file sources leave out files of length zero: give ``audit_rows`` a listing table to see those.
     """
     files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(path)
     return audit_rows(files.select("path", "length", *(["content"] if signature else [])), signature)
