@@ -96,26 +96,37 @@ def scene_score(target: str | Column | None = "target_date") -> Column:
     return F.least(F.lit(0.99), F.greatest(F.lit(0.1), score))
 
 
+# Texts of a selection reason.
+REASON_LEAD = "Selected for optimal observation quality: "
+REASON_RADAR = "all-weather radar penetration (0% cloud interference)"
+REASON_CLEAR = "exceptional clear-sky quality (%.1f%% cloud)"
+REASON_LOW = "low cloud coverage (%.1f%%)"
+REASON_MODERATE = "moderate cloud (%.1f%%)"
+REASON_OFFSET = "temporal offset: %d days from requested target"
+REASON_COVERAGE = "%.0f%% AOI spatial coverage"
+REASON_CALIBRATED = "calibrated Bottom-of-Atmosphere / GRD product"
+REASON_RAW = "uncalibrated Top-of-Atmosphere / SLC product"
+REASON_OTHER = "Candidate rank #%d (Score: %.2f)"
+
+
 def score_reasons(target: str | Column | None = "target_date") -> Column:
     """What made a scene's score, factor by factor."""
     optical = F.col("sensor") == OPTICAL_SENSOR
     sky = (
-        F.when(~optical, "all-weather radar penetration (0% cloud interference)")
-        .when(F.col("cloud") < 5.0, F.format_string("exceptional clear-sky quality (%.1f%% cloud)", "cloud"))
-        .when(F.col("cloud") < 15.0, F.format_string("low cloud coverage (%.1f%%)", "cloud"))
-        .otherwise(F.format_string("moderate cloud (%.1f%%)", "cloud"))
+        F.when(~optical, REASON_RADAR)
+        .when(F.col("cloud") < 5.0, F.format_string(REASON_CLEAR, "cloud"))
+        .when(F.col("cloud") < 15.0, F.format_string(REASON_LOW, "cloud"))
+        .otherwise(F.format_string(REASON_MODERATE, "cloud"))
     )
     parts = [sky]
     if target is not None:
-        parts.append(F.format_string("temporal offset: %d days from requested target", days_apart("acquired_at", target)))
-    parts.append(F.format_string("%.0f%% AOI spatial coverage", "overlap"))
+        parts.append(F.format_string(REASON_OFFSET, days_apart("acquired_at", target)))
+    parts.append(F.format_string(REASON_COVERAGE, "overlap"))
     kind = F.upper("product_type")
     parts.append(
-        F.when(kind.contains("2A") | kind.contains("GRD"), "calibrated Bottom-of-Atmosphere / GRD product").when(
-            kind.contains("1C") | kind.contains("SLC"), "uncalibrated Top-of-Atmosphere / SLC product"
-        )
+        F.when(kind.contains("2A") | kind.contains("GRD"), REASON_CALIBRATED).when(kind.contains("1C") | kind.contains("SLC"), REASON_RAW)
     )
-    return F.concat(F.lit("Selected for optimal observation quality: "), F.concat_ws("; ", *parts), F.lit("."))
+    return F.concat(F.lit(REASON_LEAD), F.concat_ws("; ", *parts), F.lit("."))
 
 
 def rank_scenes(
@@ -125,7 +136,7 @@ def rank_scenes(
     scored = scenes.withColumn("score", scene_score(target))
     ranked = rank_within(scored, keys, -F.col("score"), [order])
     best = F.col("rank") == 1
-    reason = F.when(best, score_reasons(target)).otherwise(F.format_string("Candidate rank #%d (Score: %.2f)", "rank", "score"))
+    reason = F.when(best, score_reasons(target)).otherwise(F.format_string(REASON_OTHER, "rank", "score"))
     return ranked.withColumn("is_selected", best).withColumn("reason", reason)
 
 

@@ -148,6 +148,16 @@ def area_by_type(regions: DataFrame, keys: Sequence[str] = ("scene_id",)) -> Dat
     return regions.groupBy(*keys, "change_type").agg(F.sum("area_hectares").alias("hectares"), F.count("*").alias("regions"))
 
 
+# Index, texts of a rise and a fall, and the shift from which they apply.
+INDICATORS = (
+    ("ndvi", "Vegetation Regrowth / Canopy Expansion", "Vegetation Canopy Reduction", 0.05),
+    ("ndbi", "Impervious / Built-up Construction Growth", "Demolition or Bare Soil Conversion", 0.05),
+    ("ndwi", "Inundation / Water Basin Expansion", "Water Body Surface Area Contraction", 0.04),
+)
+NO_INDICATOR = "Stable spectral response with minimal land-cover conversion."
+SHIFTS_LEAD = "Net index shifts: "
+
+
 def _paired_index(index: str, epoch: int, **options) -> Column:
     first, second = ix.INDEX_BANDS[index]
     return ix.normalized_difference(f"{first}{epoch}", f"{second}{epoch}", **options)
@@ -161,21 +171,17 @@ def index_deltas(
     means = pairs.groupBy(*keys).agg(*aggs)
     means = means.withColumns({f"delta_{i}": F.col(f"{i}_2") - F.col(f"{i}_1") for i in indices})
     notes = []
-    for index, up, down, limit in (
-        ("ndvi", "Vegetation Regrowth / Canopy Expansion", "Vegetation Canopy Reduction", 0.05),
-        ("ndbi", "Impervious / Built-up Construction Growth", "Demolition or Bare Soil Conversion", 0.05),
-        ("ndwi", "Inundation / Water Basin Expansion", "Water Body Surface Area Contraction", 0.04),
-    ):
+    for index, up, down, limit in INDICATORS:
         if index not in indices:
             continue
         delta = F.round(f"delta_{index}", 4)
         text = F.format_string(f"%s (Δ{index.upper()}: %+.3f)", F.when(delta > 0, up).otherwise(down), delta)
         notes.append(F.when(F.abs(delta) > limit, text))
     found = F.array_compact(F.array(*notes))
-    stable = F.array(F.lit("Stable spectral response with minimal land-cover conversion."))
+    stable = F.array(F.lit(NO_INDICATOR))
     out = means.withColumn("indicators", F.when(F.size(found) > 0, found).otherwise(stable))
     parts = [F.format_string(f"Δ{i.upper()} = %+.3f", F.round(f"delta_{i}", 4)) for i in indices]
-    return out.withColumn("interpretation", F.concat(F.lit("Net index shifts: "), F.concat_ws(", ", *parts), F.lit(".")))
+    return out.withColumn("interpretation", F.concat(F.lit(SHIFTS_LEAD), F.concat_ws(", ", *parts), F.lit(".")))
 
 
 def index_change(

@@ -13,6 +13,16 @@ from scenelake.functions import indices as ix
 EMPTY_BAND = {"min": 0.0, "max": 255.0, "mean": 128.0, "std": 0.0}
 
 
+# Parts of a caption.
+CAPTION_VEGETATION = "%.1f%% active vegetation canopy (mean NDVI %.2f)"
+CAPTION_BUILT = "%.1f%% built-up impervious structures (mean NDBI %.2f)"
+CAPTION_WATER = "%.1f%% surface water bodies (mean NDWI %.2f)"
+CAPTION_LEAD = "This optical multispectral observation displays a landscape characterized by "
+CAPTION_NONE = "Optical imagery showing mixed urban, agricultural, and natural terrain."
+CAPTION_RADAR = "Radar image with %d high-intensity double-bounce sectors."
+CAPTION_RADAR_NONE = "Radar image without high-intensity double-bounce sectors."
+
+
 def band_stats(px_long: DataFrame, keys: Sequence[str] = ("scene_id",), digits: int | None = 2) -> DataFrame:
     """min, max, mean and population std per band over all valid pixels."""
     v = F.col("value").cast("double")
@@ -123,25 +133,16 @@ def scene_caption(stats: DataFrame, keys: Sequence[str] = ("scene_id",)) -> Data
     )
     phrases = F.concat_ws(
         ", ",
-        F.when(
-            F.col("veg") > 0, F.format_string("%.1f%% active vegetation canopy (mean NDVI %.2f)", "veg", "veg_mean")
-        ),
-        F.when(
-            F.col("built") > 0,
-            F.format_string("%.1f%% built-up impervious structures (mean NDBI %.2f)", "built", "built_mean"),
-        ),
-        F.when(F.col("water") > 0, F.format_string("%.1f%% surface water bodies (mean NDWI %.2f)", "water", "water_mean")),
+        F.when(F.col("veg") > 0, F.format_string(CAPTION_VEGETATION, "veg", "veg_mean")),
+        F.when(F.col("built") > 0, F.format_string(CAPTION_BUILT, "built", "built_mean")),
+        F.when(F.col("water") > 0, F.format_string(CAPTION_WATER, "water", "water_mean")),
     )
     return facts.select(
         *keys,
         "veg",
         "built",
         "water",
-        F.when(
-            phrases != "", F.concat(F.lit("This optical multispectral observation displays a landscape characterized by "), phrases, F.lit("."))
-        )
-        .otherwise("Optical imagery showing mixed urban, agricultural, and natural terrain.")
-        .alias("caption"),
+        F.when(phrases != "", F.concat(F.lit(CAPTION_LEAD), phrases, F.lit("."))).otherwise(CAPTION_NONE).alias("caption"),
     )
 
 
@@ -150,10 +151,5 @@ def radar_caption(structures: DataFrame, keys: Sequence[str] = ("scene_id",)) ->
     return structures.select(
         *keys,
         "structures",
-        F.when(
-            F.col("structures") > 0,
-            F.format_string("Radar image with %d high-intensity double-bounce sectors.", "structures"),
-        )
-        .otherwise("Radar image without high-intensity double-bounce sectors.")
-        .alias("caption"),
+        F.when(F.col("structures") > 0, F.format_string(CAPTION_RADAR, "structures")).otherwise(CAPTION_RADAR_NONE).alias("caption"),
     )
