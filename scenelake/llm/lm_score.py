@@ -83,6 +83,16 @@ def _tokens(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     return (np.concatenate(hashes) if hashes else np.zeros(0, np.uint64)), np.array(starts, np.int64)
 
 
+def _packed(counts: np.ndarray) -> bytes:
+    """Counts in the least width that holds them, behind a letter for it."""
+    kind = np.min_scalar_type(int(counts.max(initial=0)))
+    return kind.char.encode() + counts.astype(kind).tobytes()
+
+
+def _unpacked(data: bytes) -> np.ndarray:
+    return np.frombuffer(data, data[:1].decode(), offset=1).astype(np.int64)
+
+
 def _parts_of(keys: np.ndarray, parts: int) -> np.ndarray:
     """Where each hash range begins in sorted keys; ranges are equal cuts of the 64-bit numbers."""
     step = (1 << 64) // parts
@@ -93,7 +103,7 @@ def _requests(block: int, data: Block, parts: int) -> Iterator[pa.RecordBatch]:
     rows: list[list] = [[], [], [], [], [], []]
     for k in range(data.order):
         for p, (keys, counts) in enumerate(zip(np.split(data.keys[k], cuts := _parts_of(data.keys[k], parts)), np.split(data.counts[k], cuts))):
-            for to, value in zip(rows, (p, block, k + 1, keys.tobytes(), counts.astype(np.int32).tobytes(), data.start_count() if p == 0 else 0)):
+            for to, value in zip(rows, (p, block, k + 1, keys.tobytes(), _packed(counts), data.start_count() if p == 0 else 0)):
                 to.append(value)
     types = (pa.int32(), pa.int64(), pa.int32(), pa.binary(), pa.binary(), pa.int64())
     yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(rows, types)], ["part", "block", "n", "keys", "counts", "starts"])
@@ -102,10 +112,10 @@ def _requests(block: int, data: Block, parts: int) -> Iterator[pa.RecordBatch]:
 def _answer(table: pa.Table) -> pa.Table:
     """Training counts over all blocks for every key that a block asked for, in the block's own key order."""
     keys = [np.frombuffer(b, np.uint64) for b in table.column("keys").to_pylist()]
-    counts = [np.frombuffer(b, np.int32) for b in table.column("counts").to_pylist()]
+    counts = [_unpacked(b) for b in table.column("counts").to_pylist()]
     every, at = np.unique(np.concatenate(keys), return_inverse=True)
     total = np.bincount(at, np.concatenate(counts), minlength=len(every)).astype(np.int64)
-    answers = [a.tobytes() for a in np.split(total[at], np.cumsum([len(k) for k in keys])[:-1])]
+    answers = [_packed(a) for a in np.split(total[at], np.cumsum([len(k) for k in keys])[:-1])]
     n = len(answers)
     return pa.table(
         {
@@ -166,7 +176,7 @@ def score(docs: DataFrame, train_filter, order: int = ORDER, mu: tuple[float, ..
         totals: list[list] = [[None] * parts for _ in range(order)]
         tokens = types = starts = 0
         for n, p, got, t, v, s in zip(*(right.column(c).to_pylist() for c in ("n", "part", "totals", "tokens", "types", "starts"))):
-            totals[n - 1][p] = np.frombuffer(got, np.int64)
+            totals[n - 1][p] = _unpacked(got)
             if n == 1:
                 tokens, types, starts = tokens + t, types + v, starts + s
         known, base, model = _traverse(data, [np.concatenate(x) for x in totals], tokens, types, starts, mu)
