@@ -54,8 +54,13 @@ def retrieve_pairs(
     dated = wanted.select("spec", "sensor", "task", F.concat_ws("|", "x0", "y0", "x1", "y1").alias("place"), F.inline(sides))
     # A target date is needed by many requests of a place: scenes are scored once for it.
     goals = dated.select("place", "sensor", "target_date").distinct()
+    # Scenes meet only the dates of their own and the next date buckets, not all dates of a place.
+    slot = lambda date: F.floor(F.datediff(date, F.lit("1970-01-01")) / (window_days + 1))
+    around = F.explode(F.transform(F.array(F.lit(-1), F.lit(0), F.lit(1)), lambda k: slot("target_date") + k))
     near = days_apart("acquired_at", "target_date") <= window_days
-    scored = met.join(scene, "product_id").join(goals, ["place", "sensor"]).filter(near).withColumn("score", scene_score("target_date"))
+    placed = met.join(scene.withColumn("slot", slot("acquired_at")), "product_id")
+    met_dates = placed.join(goals.withColumn("slot", around), ["place", "sensor", "slot"])
+    scored = met_dates.filter(near).withColumn("score", scene_score("target_date"))
     best = top_one(
         scored.select("place", "sensor", "target_date", "product_id", "acquired_at", "score", "ord"),
         ["place", "sensor", "target_date"],
