@@ -16,7 +16,7 @@ from scenelake.operators import query_text as qt
 from scenelake.operators.candidates import refine_candidates, refine_reply
 from scenelake.operators.stats import class_breakdown
 from scenelake.plans.land_search import land_search
-from scenelake.plans.retrieval import retrieve_pairs
+from scenelake.plans.retrieval import retrieve_change, retrieve_pairs
 from scenelake.registry import default_toolbox, tools_for
 
 QUERIES: dict = {}
@@ -289,9 +289,7 @@ def _retrieval(spark, sf):
 QUERIES["r13_scene_retrieval"] = lambda spark, sf: _retrieval(spark, sf).select(
     "query_id", "task", "before_product_id", fixed("before_score").alias("before_score"), "after_product_id", fixed("after_score").alias("after_score")
 )
-SQL["r13_scene_retrieval"] = sql(
-    "queries gaz catalog",
-    f"""with {Q}, {PLACE}, f as (select q.query_id, text, q, g.lat, g.lon, list_transform(regexp_extract_all(text, '{qt.RETRIEVAL_YEAR}', 1), lambda y: cast(y as integer)) as ys,
+R13_CTES = f"""with {Q}, {PLACE}, f as (select q.query_id, text, q, g.lat, g.lon, list_transform(regexp_extract_all(text, '{qt.RETRIEVAL_YEAR}', 1), lambda y: cast(y as integer)) as ys,
       contains(q, 'january') as jan, regexp_matches(q, '{qt.RADAR_WORDS}') as radar from q join place on q.query_id = place.query_id join gaz g on place.key = g.key),
     p as (select query_id, lat, lon, case when radar then 'Sentinel-1 SAR C-Band' else 'Sentinel-2 MSI' end as sensor,
       case when {has(qt.RETRIEVAL_CHANGE_WORDS)} then 'Bi-Temporal Change Analysis' when radar then 'SAR Radar Analysis' else 'Single Optical Analysis' end as task,
@@ -305,8 +303,45 @@ SQL["r13_scene_retrieval"] = sql(
     d as (select *, abs(floor(epoch(acq - td) / 86400e0)) as days from j),
     sc as (select *, least(0.99e0, greatest(0.1e0, (case when sensor = 'Sentinel-2 MSI' then greatest(0e0, 1e0 - cloud / 30e0) * 0.4e0 + 0.6e0 else 1e0 end) * (greatest(0e0, 1e0 - days / 60e0) * 0.3e0 + 0.7e0)
       * (overlap / 100e0 * 0.2e0 + 0.8e0) + (case when contains(product_type, '2A') or contains(product_type, 'GRD') then 0.08e0 else -0.05e0 end))) as score from d where days <= 400),
-    b as (select * from sc qualify row_number() over (partition by query_id, side order by score desc, ord) = 1)
+    b as (select * from sc qualify row_number() over (partition by query_id, side order by score desc, ord) = 1)"""
+SQL["r13_scene_retrieval"] = sql(
+    "queries gaz catalog",
+    R13_CTES
+    + f"""
     select query_id, task, max(product_id) filter (where side = 1) as before_product_id, {sfixed('max(score) filter (where side = 1)')} as before_score,
       case when task = 'Bi-Temporal Change Analysis' then max(product_id) filter (where side = 2) end as after_product_id,
       {sfixed("case when task = 'Bi-Temporal Change Analysis' then max(score) filter (where side = 2) end")} as after_score from b group by 1, 2""",
 )
+
+
+def _product_pixels(spark, sf):
+    """Sixteen pixels for each product of the catalog."""
+    at = F.explode(F.sequence(F.lit(0), F.lit(15)))
+    k = v.table(spark, sf, "orders").join(v.catalog(spark, sf).select(F.col("ord").alias("o_orderkey"), "product_id"), "o_orderkey")
+    k = k.select("product_id", "o_orderkey", "o_custkey", at.alias("at")).selectExpr("*", "cast(at div 4 as int) as row", "cast(at % 4 as int) as col")
+    band = lambda m, n: (F.col("o_custkey") * (F.col("row") * m + 3) + F.col("o_orderkey") * (F.col("col") * n + 1)) % 256
+    return k.select("product_id", "row", "col", band(5, 7).alias("r"), band(11, 3).alias("g"), band(2, 13).alias("b"))
+
+
+def _retrieval_change(spark, sf):
+    headers = v.catalog(spark, sf).select("product_id", F.lit(4).alias("height"), F.lit(4).alias("width"))
+    out = retrieve_change(_retrieval(spark, sf), _product_pixels(spark, sf), headers)
+    return out.select("query_id", "before_product_id", "after_product_id", "pixels", "changed_pixels", fixed("area_hectares").alias("ha"))
+
+
+QUERIES["r13_retrieval_change"] = _retrieval_change
+SQL["r13_retrieval_change"] = sql(
+    "queries gaz catalog",
+    R13_CTES
+    + """, res as (select query_id, max(product_id) filter (where side = 1) as before_product_id, max(product_id) filter (where side = 2) as after_product_id
+      from b where task = 'Bi-Temporal Change Analysis' group by 1 having count(distinct side) = 2),
+    px as (select c.product_id, y as row, x as col, (o_custkey * (y * 5 + 3) + o_orderkey * (x * 7 + 1)) % 256 as r, (o_custkey * (y * 11 + 3) + o_orderkey * (x * 3 + 1)) % 256 as g,
+      (o_custkey * (y * 2 + 3) + o_orderkey * (x * 13 + 1)) % 256 as b from orders join catalog c on o_orderkey = c.ord, generate_series(0, 3) t(y), generate_series(0, 3) u(x)),
+    m as (select query_id, before_product_id, after_product_id, (abs(n.r - o.r) / 255e0 + abs(n.g - o.g) / 255e0 + abs(n.b - o.b) / 255e0) / 3e0 as mag, o.r as r1, o.g as g1, o.b as b1, n.r as r2, n.g as g2, n.b as b2
+      from res join px o on o.product_id = before_product_id join px n on n.product_id = after_product_id and n.row = o.row and n.col = o.col),
+    k as (select *, case when mag > 0.18e0 and b1 > 100 and b2 < 80 then 3 when mag > 0.18e0 and r2 > r1 then 1 when mag > 0.18e0 and g1 > g2 then 2 else 0 end as cls from m)
+    select query_id, before_product_id, after_product_id, count(*) as pixels, count(*) filter (where cls > 0) as changed_pixels, """
+    + sfixed("count(*) filter (where cls > 0) * 100e0 / 1e4")
+    + """ as ha from k group by 1, 2, 3""",
+)
+

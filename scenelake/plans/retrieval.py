@@ -7,9 +7,11 @@ from pyspark.sql import functions as F
 
 from scenelake.functions import geometry as geo
 from scenelake.operators.catalog import days_apart, scene_score
+from scenelake.operators.change import CHANGE_THRESHOLD, DEFAULT_GSD_M
 from scenelake.operators.overlap import scene_aoi_overlap
 from scenelake.operators.query_text import parse_retrieval_queries
 from scenelake.operators.ranking import top_one
+from scenelake.plans.change_job import detect_change
 from scenelake.session import cut_lineage
 
 AOI_HALF_DEGREES = 0.06
@@ -77,6 +79,30 @@ def retrieve_pairs(
     return out.withColumns({f"after_{n}": F.when(~single, F.col(f"after_{n}")) for n in ("product_id", "acquired_at", "score")})
 
 
+def retrieve_change(
+    pairs: DataFrame, px: DataFrame, headers: DataFrame, gsd: float = DEFAULT_GSD_M, threshold: float = CHANGE_THRESHOLD
+) -> DataFrame:
+    """Change between the two scenes that each request was given: from the rows of ``retrieve_pairs`` to the answer.
+
+    ``px``: product_id, row, col, r, g, b; ``headers``: product_id, height, width. Only pixels of chosen scenes are
+    read, each distinct pair is compared once, and requests look its result up. Requests for one scene, and those
+    without a scene on one side, have no row.
+    """
+    both = pairs.filter("before_product_id is not null and after_product_id is not null")
+    both = cut_lineage(both.select("query_id", "before_product_id", "after_product_id"))
+    chosen = both.drop("query_id").distinct().withColumn("pair", F.concat_ws("|", "before_product_id", "after_product_id"))
+
+    def side(name: str) -> DataFrame:
+        named = chosen.select(F.col(f"{name}_product_id").alias("product_id"), F.col("pair").alias("scene_id"))
+        return px.select("product_id", "row", "col", "r", "g", "b").join(named, "product_id").drop("product_id")
+
+    sizes = headers.select("product_id", "height", "width").join(
+        chosen.select(F.col("before_product_id").alias("product_id"), F.col("pair").alias("scene_id")), "product_id"
+    )
+    done = detect_change(side("before"), side("after"), sizes.drop("product_id"), gsd, threshold).summary
+    return both.join(chosen, ["before_product_id", "after_product_id"]).join(done.withColumnRenamed("scene_id", "pair"), "pair").drop("pair")
+
+
 def request_boxes(parsed: DataFrame, half_side: float = AOI_HALF_DEGREES) -> DataFrame:
     """Ring of the area around each located request."""
     lon, lat = F.col("lon"), F.col("lat")
