@@ -210,6 +210,17 @@ def _land(spark, sf):
     return land_search(v.px_time(spark, sf), grown, v.queries(spark, sf), v.gaz(spark, sf), "yr", min_ratio=0.8)
 
 
+def _land_change(spark, sf):
+    """The same pixels 28 years later, so that the years of the requests are there."""
+    grown = scene_headers(spark, sf).withColumn("height", F.lit(40))
+    later = v.px_time(spark, sf).withColumn("yr", F.col("yr") + 28)
+    found = land_search(later, grown, v.queries(spark, sf), v.gaz(spark, sf), "yr", min_ratio=0.8, targets=["water_bodies"])
+    return found.candidates.filter(F.col("target").startswith("land_use_change")).select(
+        "query_id", "target", "scene_id", "label", "rank", "pixels", fixed("area_hectares", 3).alias("ha"), fixed("distance_km", 3).alias("km"), "temporal_persistence"
+    )
+
+
+QUERIES["r12_land_change"] = _land_change
 QUERIES["r12_land_search"] = lambda spark, sf: _land(spark, sf).candidates.select(
     "query_id", "scene_id", "label", "rank", "pixels", fixed("area_hectares", 3).alias("ha"), fixed("distance_km", 3).alias("km"), fixed("persistence_ratio").alias("ratio")
 )
@@ -241,6 +252,25 @@ LAND_CTES = (
     c as (select query_id, scene_id, label, pixels, ha, ratio, crit, sqrt(((lat - lat0) * 111e0) ** 2 + ((lon - lon0) * (cos(lat0 * pi() / 180e0) * 111e0)) ** 2) as dist
       from f join geo on f.target = geo.target and abs(lat - lat0) <= km / 111e0 and abs(lon - lon0) <= km / (cos(lat0 * pi() / 180e0) * 111e0) and ha >= least_ha)"""
 )
+REQUESTS = LAND_CTES[LAND_CTES.index("f as (select q.query_id"):LAND_CTES.index("c as (select query_id, scene_id")]
+SQL["r12_land_change"] = sql(
+    "px_time queries gaz",
+    f"""with recursive {Q}, {PLACE}, {REQUESTS}
+    y as (select query_id, coalesce(try_cast(regexp_extract_all(q, '{qt.YEAR_PATTERN}')[1] as integer), 2024) as y1,
+      coalesce(try_cast(regexp_extract_all(q, '{qt.YEAR_PATTERN}')[2] as integer), 2026) as y2 from f where target = 'land_use_change'),
+    i as (select scene_id, row, col, yr + 28 as yr, {NDVI} as ndvi, {NDBI} as ndbi from px_time), span as (select distinct y1, y2 from y),
+    d as (select y1, y2, a.scene_id, a.row, a.col, b.ndvi - a.ndvi as dv, b.ndbi - a.ndbi as db from span join i a on a.yr = y1 join i b on b.yr = y2 and a.scene_id = b.scene_id and a.row = b.row and a.col = b.col),
+    k as (select *, case when db > 0.1e0 then 'built_up_gain' when dv > 0.1e0 then 'vegetation_gain' when dv < -0.1e0 then 'vegetation_loss' end as kind from d),
+    seed as (select 'land_use_change|' || y1 || '|' || y2 || '|' || kind || '#' || scene_id as scene_id, row, col, 1 as mask from k where kind is not null),
+    {label_sql('seed', 60)},
+    reg as (select split_part(scene_id, '#', 1) as target, cast(split_part(scene_id, '#', 2) as bigint) as scene_id, label, count(*) as pixels, avg(row) as mr, avg(col) as mc from labelled l group by l.scene_id, label),
+    geo as (select *, 0.02e0 * (mc + 0.5e0) + 74.95e0 + scene_id % 25 * 0.4e0 as lon, -0.02e0 * (mr + 0.5e0) + 10.05e0 + scene_id % 25 * 0.5e0 as lat, pixels * (0.02e0 * 111320e0) * (0.02e0 * 111320e0) / 1e4 as ha from reg),
+    c as (select f.query_id, geo.target, geo.scene_id, label, pixels, ha, crit, y1, y2, sqrt(((geo.lat - lat0) * 111e0) ** 2 + ((geo.lon - lon0) * (cos(lat0 * pi() / 180e0) * 111e0)) ** 2) as dist
+      from f join y on f.query_id = y.query_id join geo on geo.target like 'land_use_change|' || y1 || '|' || y2 || '|%'
+        and abs(geo.lat - lat0) <= km / 111e0 and abs(geo.lon - lon0) <= km / (cos(lat0 * pi() / 180e0) * 111e0) and ha >= least_ha)
+    select query_id, target, scene_id, label, pixels, {sfixed('ha', 3)} as ha, {sfixed('dist', 3)} as km, y1 || '-' || y2 as temporal_persistence,
+      row_number() over (partition by query_id order by case crit when 1 then dist when 2 then -1e0 else -ha end, -ha, scene_id, label, target) as rank from c""",
+)
 SQL["r12_land_search"] = sql(
     "px_time queries gaz",
     LAND_CTES
@@ -272,7 +302,7 @@ SQL["r12_land_search_answers"] = sql(
     LAND_CTES
     + f""" , n as (select query_id, count(*) as k, sum(ha) as ha from c group by 1)
     select q.query_id, case when {has(qt.UNSUPPORTED_WORDS)} then 'UNSUPPORTED_QUERY' when key is null then 'UNKNOWN_LOCATION'
-      when {has(qt.SEARCH_CHANGE_WORDS)} or regexp_matches(q, '{qt.YEAR_PATTERN}') then 'CHANGE_JOB' else 'COMPLETED' end as status,
+      else 'COMPLETED' end as status,
       coalesce(k, 0) as candidates, {sfixed('n.ha', 3)} as ha from q left join place on q.query_id = place.query_id left join n on q.query_id = n.query_id""",
 )
 

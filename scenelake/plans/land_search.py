@@ -39,6 +39,9 @@ def target_condition(target: str) -> Column:
 
 
 BOX = ("x0", "y0", "x1", "y1")
+CHANGE_TARGET = "land_use_change"
+CHANGE_KINDS = ("built_up_gain", "vegetation_gain", "vegetation_loss")
+CHANGE_SHIFT = 0.10
 TARGETS = ("potentially_vacant_land", "low_vegetation_health", "healthy_vegetation", "water_bodies", "built_up_infrastructure")
 
 
@@ -56,6 +59,13 @@ def region_table(
     """
     values = px.select("scene_id", "row", "col", date, *[ix.index_column(i).alias(i) for i in ix.INDEX_BANDS])
     cells = cd.persistent_cells(values, {t: target_condition(t) for t in targets}, date, min_ratio)
+    ratio = F.col("hits") / F.col("observations")
+    shown = F.format_string("%d/%d observations", F.col("hits").cast("bigint"), F.col("observations").cast("bigint"))
+    return _regions(cells, headers, ratio, shown)
+
+
+def _regions(cells: DataFrame, headers: DataFrame, ratio: Column, shown: Column) -> DataFrame:
+    """Connected regions of (target, scene_id, row, col, hits, observations) cells, measured on the ground."""
     keys = ("target", "scene_id")
     sums = {"hits": F.col("hits"), "observations": F.col("observations"), "row_sum": F.col("row"), "col_sum": F.col("col")}
     sized = component_sizes(label_runs(cells.withColumn("mask", F.lit(1)), keys=keys, **sums), keys, tuple(sums))
@@ -64,7 +74,6 @@ def region_table(
     x0, y0 = geo.pixel_to_geo(F.col("row_max") + 1, "col_min", centre=False)
     x1, y1 = geo.pixel_to_geo("row_min", F.col("col_max") + 1, centre=False)
     gsd = geo.gsd_metres(F.abs("a"), "epsg")
-    ratio = F.col("hits") / F.col("observations")
     return h.select(
         "scene_id",
         "label",
@@ -75,11 +84,40 @@ def region_table(
         lat.alias("lat"),
         geo.box_ring(x0, y0, x1, y1, 5).alias("ring"),
         ratio.alias("persistence_ratio"),
-        F.format_string("%d/%d observations", F.col("hits").cast("bigint"), F.col("observations").cast("bigint")).alias("temporal_persistence"),
+        shown.alias("temporal_persistence"),
         (F.lit(0.70) + ratio * 0.28).alias("confidence_score"),
     )
 
 
+def change_target(kind: Column, from_year: Column, to_year: Column) -> Column:
+    """Target name of a kind of change between two years."""
+    return F.concat_ws("|", F.lit(CHANGE_TARGET), from_year.cast("string"), to_year.cast("string"), kind)
+
+
+def change_region_table(px: DataFrame, headers: DataFrame, date: str, spans: DataFrame, shift: float = CHANGE_SHIFT) -> DataFrame:
+    """Connected regions of one kind of change between the years of each row of ``spans`` (from_year, to_year).
+
+    ``date`` holds the year of an observation. A cell that was seen in both years counts as built-up gain, vegetation
+    gain or vegetation loss, whichever applies first, once the index has moved by more than ``shift``; of several
+    observations of a year the mean counts.
+    """
+    side = F.explode(F.array(F.struct(F.col("from_year").alias("yr"), F.lit(1).alias("side")), F.struct(F.col("to_year").alias("yr"), F.lit(2).alias("side"))))
+    wanted = spans.select("from_year", "to_year", side.alias("s")).select("from_year", "to_year", F.col("s.yr").alias("_yr"), "s.side")
+    values = px.select("scene_id", "row", "col", F.col(date).alias("_yr"), *[ix.index_column(i).alias(i) for i in ("ndvi", "ndbi")])
+    mean = lambda i, k: F.avg(F.when(F.col("side") == k, F.col(i)))
+    cells = values.join(wanted, "_yr").groupBy("from_year", "to_year", "scene_id", "row", "col").agg(
+        (mean("ndvi", 2) - mean("ndvi", 1)).alias("dv"), (mean("ndbi", 2) - mean("ndbi", 1)).alias("db")
+    )
+    kind = F.when(F.col("db") > shift, "built_up_gain").when(F.col("dv") > shift, "vegetation_gain").when(F.col("dv") < -shift, "vegetation_loss")
+    moved = cells.withColumn("kind", kind).filter("kind is not null")
+    named = moved.select(
+        change_target(F.col("kind"), F.col("from_year"), F.col("to_year")).alias("target"), "scene_id", "row", "col",
+        F.lit(1).alias("hits"), F.lit(1).alias("observations"),
+    )
+    both = F.concat_ws("-", F.split("target", r"\|")[1], F.split("target", r"\|")[2])
+    return _regions(named, headers, F.lit(1.0), both)
+
+
 def land_search(
     px: DataFrame,
     headers: DataFrame,
@@ -95,16 +133,15 @@ def land_search(
 
     A cell shows a target from the share ``min_ratio`` of its dates on. Candidates carry search_id, cand_id and name, so
     that they can be refined, ranked and rolled up as they are.
-    ``areas`` (query_id, x0, y0, x1, y1) replaces the box around the named place. Requests
-    for change between years belong to the change jobs and get no candidates here. Pixels
-    are grouped into regions once; only regions meet requests, by the scenes
-    whose footprint overlaps the requested box. Equal requests are answered once and handed
-    to every query that made them.
+    ``areas`` (query_id, x0, y0, x1, y1) replaces the box around the named place. Requests for change between years get
+    the regions of each kind of change between these years (``date`` then holds years). Pixels are grouped into regions
+    once; only regions meet requests, by the scenes whose footprint overlaps the requested box. Equal requests are
+    answered once and handed to every query that made them.
     """
     parsed = parse_land_queries(queries, gaz)
     box = geo.radius_bbox("lat", "lon", "radius_km")
     placed = parsed.filter("is_supported and lat is not null").select(
-        "query_id", "target", "ranking_criteria", "minimum_area_hectares", "lat", "lon",
+        "query_id", "target", "from_year", "to_year", "ranking_criteria", "minimum_area_hectares", "lat", "lon",
         *[c.alias(n) for n, c in zip(BOX, box.values())],
     )
     if areas is not None:
@@ -112,9 +149,9 @@ def land_search(
         placed = placed.join(own, "query_id", "left").withColumns({c: F.coalesce(f"own_{c}", c) for c in BOX})
         placed = placed.drop(*own.columns[1:])
     placed = placed.withColumn("minimum_area_hectares", F.coalesce("minimum_area_hectares", F.lit(cd.MIN_AREA_HECTARES)))
-    fields = ["target", "ranking_criteria", "minimum_area_hectares", "lat", "lon", *BOX]
+    fields = ["target", "from_year", "to_year", "ranking_criteria", "minimum_area_hectares", "lat", "lon", *BOX]
     # Parsing is the dear part of the request side and four branches need it: written once.
-    asked = cut_lineage(placed.withColumn("spec", F.concat_ws("|", *fields)).withColumn("place", F.concat_ws("|", *BOX)))
+    asked = cut_lineage(placed.withColumn("spec", F.concat_ws("|", *[F.coalesce(F.col(c).cast("string"), F.lit("")) for c in fields])).withColumn("place", F.concat_ws("|", *BOX)))
     specs = asked.select("spec", "place", *fields).distinct()
     right, low = F.col("c") + F.col("a") * F.col("width"), F.col("f") + F.col("e") * F.col("height")
     footprints = headers.select(
@@ -126,16 +163,21 @@ def land_search(
     )
     wanted_px = px.join(met.select("scene_id").distinct(), "scene_id", "left_semi")
     found = region_table(wanted_px, headers, date, min_ratio, targets)
-    hits = found.join(met, "scene_id").join(specs.withColumnsRenamed({"lat": "lat0", "lon": "lon0"}), ["place", "target"])
+    spans = specs.filter(F.col("target") == CHANGE_TARGET).select("from_year", "to_year").distinct()
+    found = found.unionByName(change_region_table(wanted_px, headers, date, spans))
+    kinds = F.explode(F.array(*[change_target(F.lit(k), F.col("from_year"), F.col("to_year")) for k in CHANGE_KINDS]))
+    change = specs.filter(F.col("target") == CHANGE_TARGET).withColumn("target", kinds)
+    aims = specs.filter(F.col("target") != CHANGE_TARGET).unionByName(change).withColumnsRenamed({"lat": "lat0", "lon": "lon0"})
+    hits = found.join(met, "scene_id").join(aims, ["place", "target"])
     inside = hits.filter("lon >= x0 and lon <= x1 and lat >= y0 and lat <= y1")
     kept = cd.minimum_area(inside, "minimum_area_hectares")
     cand = kept.withColumn("distance_km", geo.distance_km("lat", "lon", "lat0", "lon0")).withColumn(
-        "cand_id", F.concat_ws("-", "scene_id", "label")
+        "cand_id", F.concat_ws("-", "scene_id", "label", F.nullif(F.split_part("target", F.lit("|"), F.lit(4)), F.lit("")))
     )
-    ranked = cut_lineage(_rank_by_request(cut_lineage(cand.drop(*BOX, "lat0", "lon0", "place"))))
+    ranked = cut_lineage(_rank_by_request(cut_lineage(cand.drop(*BOX, "lat0", "lon0", "place", "from_year", "to_year"))))
     by_query = asked.select("query_id", "spec")
     named = by_query.join(ranked, "spec").drop("spec").withColumn("search_id", F.col("query_id"))
-    named = named.withColumn("name", F.format_string("%s #%d", F.regexp_replace("target", "_", " "), "rank"))
+    named = named.withColumn("name", F.format_string("%s #%d", F.regexp_replace("target", "[_|]", " "), "rank"))
     return LandSearch(parsed, named, _answers(parsed, by_query, ranked))
 
 
@@ -148,7 +190,7 @@ def _rank_by_request(cand: DataFrame) -> DataFrame:
         .otherwise(-F.col("area_hectares"))
     )
     tied = cand.withColumn("_area", -F.col("area_hectares"))
-    return cd.rank_within(tied, ["spec"], first, ["_area", "scene_id", "label"]).drop("_area")
+    return cd.rank_within(tied, ["spec"], first, ["_area", "scene_id", "label", "target"]).drop("_area")
 
 
 def _answers(parsed: DataFrame, by_query: DataFrame, ranked: DataFrame) -> DataFrame:
@@ -164,7 +206,6 @@ def _answers(parsed: DataFrame, by_query: DataFrame, ranked: DataFrame) -> DataF
     status = (
         F.when(~F.col("is_supported"), "UNSUPPORTED_QUERY")
         .when(F.col("lat").isNull(), "UNKNOWN_LOCATION")
-        .when(F.col("intent") == "temporal_change", "CHANGE_JOB")
         .otherwise("COMPLETED")
     )
     none = F.format_string(
