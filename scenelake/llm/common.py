@@ -26,8 +26,9 @@ _INVERSE = pow(_BASE, -1, 1 << 64)
 _BYTE = np.random.default_rng(20240229).integers(1, 1 << 63, 256, dtype=np.uint64)
 _LOWER_BYTE = _BYTE.copy()
 _LOWER_BYTE[65:91] = _BYTE[97:123]
-_SPACE = np.zeros(256, bool)
-_SPACE[[0x20, 0x09, 0x0A, 0x0B, 0x0C, 0x0D]] = True
+#: ASCII white space.
+SPACE = np.zeros(256, bool)
+SPACE[[0x20, 0x09, 0x0A, 0x0B, 0x0C, 0x0D]] = True
 
 _powers: dict[str, np.ndarray] = {}
 
@@ -77,7 +78,7 @@ def joined(texts: Sequence[bytes]) -> tuple[np.ndarray, np.ndarray]:
 def word_hashes(texts: Sequence[bytes]) -> tuple[np.ndarray, np.ndarray]:
     """Hashes of the words of all texts, and the first word of each text (one more at the end)."""
     data, starts = joined(texts)
-    gap = _SPACE[data]
+    gap = SPACE[data]
     edge = np.flatnonzero(np.diff(gap.astype(np.int8), prepend=1))
     begin, end = edge[0::2], edge[1::2]
     words = RollingHash(data, lower=True).ranges(begin, end)

@@ -15,98 +15,76 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from scenelake.llm.common import BUFFER_BYTES, mix, word_hashes
-from scenelake.session import cut_lineage
+from scenelake.llm.common import SPACE, RollingHash, batches_of_text, cut, joined, mix, word_hashes
 
 SENTENCES = 3
 WORDS = 15
-#: Words after which a sentence without an end is cut, at the next word whose hash picks it.
+#: Words of a sentence above which it is cut behind the words that their hash picks, one in ``PICK``.
 LONG = 40
+PICK = 12
 
-#: A sentence: up to an end mark followed by white space, or up to a line end; with the white space behind it.
-_SENTENCE = re.compile(rb"(?:[^.!?\n]|[.!?](?![\s]))*(?:[.!?]+(?=\s)|\n|$)\s*")
-_WORD = re.compile(rb"[^\x20\x09-\x0D]+[\x20\x09-\x0D]*")
-
-
-def _cut_long(sentence: bytes) -> list[bytes]:
-    """A long sentence in parts that end at words picked by their content, so that copies are cut alike."""
-    words = _WORD.findall(sentence)
-    if len(words) <= LONG:
-        return [sentence]
-    lead = sentence[: len(sentence) - sum(map(len, words))]
-    hashes, _ = word_hashes([b"".join(words)])
-    parts, last = [], 0
-    for i in np.flatnonzero(hashes % np.uint64(12) == 0):
-        if i + 1 > last:
-            parts.append(b"".join(words[last : i + 1]))
-            last = int(i) + 1
-    if last < len(words):
-        parts.append(b"".join(words[last:]))
-    parts[0] = lead + parts[0]
-    return parts
-
-
-def sentences(data: bytes) -> list[bytes]:
-    """Consecutive pieces of a text that join to the whole of it."""
-    out: list[bytes] = []
-    for piece in _SENTENCE.findall(data):
-        if piece:
-            out += _cut_long(piece) if len(piece) > 4 * LONG else [piece]
-    return out
+_ENDS = np.zeros(256, bool)
+_ENDS[[0x2E, 0x21, 0x3F]] = True
+
+
+class Sentences:
+    """Sentences of some texts: a word opens one if the word before ends in . ! or ?, or a line ends between them.
 
+    White space belongs to the sentence before it, so the pieces of a text join to the whole. A long sentence without
+    such ends is cut behind words picked by their content, so that copies are cut alike wherever they stand.
+    """
 
-def runs(pieces: list[bytes], least: int = SENTENCES, words: int = WORDS) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """First sentence, sentence after the last, and hash of each run; sentences without words take no part."""
-    if not pieces:
-        none = np.zeros(0, np.int64)
-        return none, none, none.astype(np.uint64)
-    hashes, first = word_hashes(pieces)
-    count = np.diff(first)
-    at = np.flatnonzero(count)
-    total = np.concatenate([[0], np.cumsum(count[at])])
-    n = len(at)
-    stop = np.maximum(np.searchsorted(total, total[:-1] + words), np.arange(n) + least)
-    ok = stop <= n
-    begin, stop = np.arange(n)[ok], stop[ok]
-    # a run's hash is that of its words: chained per sentence, then summed with the place in the run
-    code = np.zeros(n, np.uint64)
-    place = np.arange(len(hashes), dtype=np.uint64) - np.repeat(total[:-1], count[at]).astype(np.uint64)
-    spread = mix(hashes + mix(place + np.uint64(1)))
-    code = np.add.reduceat(spread, total[:-1]) if n else code
-    out = np.zeros(len(begin), np.uint64)
-    for step in range(int((stop - begin).max(initial=0))):
-        live = begin + step < stop
-        out[live] = mix(out[live] + code[begin[live] + step] + np.uint64(step))
-    return at[begin], at[stop - 1] + 1, out
-
-
-def _texts(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.RecordBatch, list[bytes]]]:
-    for batch in batches:
-        yield batch, [t or b"" for t in batch.column("text").cast(pa.binary()).to_pylist()]
+    def __init__(self, texts: list[bytes]):
+        self.texts = texts
+        data, self.starts = joined(texts)
+        edge = np.flatnonzero(np.diff(SPACE[data].astype(np.int8), prepend=1))
+        self.begin, end = edge[0::2], edge[1::2]
+        n = len(self.begin)
+        self.hashes = RollingHash(data, lower=True).ranges(self.begin, end)
+        lines = np.concatenate([[0], np.cumsum(data == 10)])
+        new = np.ones(n, bool)
+        new[1:] = _ENDS[data[end[:-1] - 1]] | (lines[self.begin[1:]] > lines[end[:-1]])
+        first = np.flatnonzero(new)
+        size = np.diff(np.append(first, n))
+        picked = (np.repeat(size, size) > LONG) & (self.hashes % np.uint64(PICK) == 0)
+        new[1:] |= picked[:-1]
+        self.first = np.flatnonzero(new)
+        self.size = np.diff(np.append(self.first, n))
+        #: First sentence of each text, one more at the end.
+        self.of_text = np.searchsorted(self.begin[self.first], self.starts)
+
+    def runs(self, least: int, words: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """Text, first sentence, sentence after the last (both counted in the text) and hash of each run."""
+        n = len(self.first)
+        text = np.repeat(np.arange(len(self.texts)), np.diff(self.of_text))
+        edges = np.append(self.first, len(self.hashes))
+        stop = np.maximum(np.searchsorted(edges, self.first + words), np.arange(n) + least)
+        ok = np.flatnonzero(stop <= self.of_text[text + 1]) if n else np.zeros(0, np.int64)
+        place = (np.arange(len(self.hashes)) - np.repeat(self.first, self.size)).astype(np.uint64)
+        code = np.add.reduceat(mix(self.hashes + mix(place + np.uint64(1))), self.first) if n else np.zeros(0, np.uint64)
+        stop = stop[ok]
+        out = np.zeros(len(ok), np.uint64)
+        for step in range(int((stop - ok).max(initial=0))):
+            live = ok + step < stop
+            out[live] = mix(out[live] + code[ok[live] + step] + np.uint64(step))
+        base = self.of_text[text[ok]]
+        return text[ok], ok - base, stop - base, out
+
+    def pieces(self, i: int) -> list[bytes]:
+        """The sentences of one text; a text without words is one piece, an empty one none."""
+        t = self.texts[i]
+        cuts = (self.begin[self.first[self.of_text[i] : self.of_text[i + 1]]] - self.starts[i]).tolist()[1:]
+        return [t[a:b] for a, b in zip([0, *cuts], [*cuts, len(t)])] if t else []
 
 
 def _all_runs(docs: DataFrame, least: int, words: int) -> DataFrame:
     """h, doc_id, i (first sentence), j: every run of every text."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch, texts in _texts(batches):
-            ids, held, size = [], [], 0
-            for doc_id, text in zip(batch.column("doc_id").to_pylist(), texts):
-                i, j, h = runs(sentences(text), least, words)
-                ids += [doc_id] * len(i)
-                held.append((i, j, h))
-                size += len(text)
-                if size > BUFFER_BYTES:
-                    yield pack(ids, held)
-                    ids, held, size = [], [], 0
-            if held:
-                yield pack(ids, held)
-
-    def pack(ids: list, held: list) -> pa.RecordBatch:
-        i, j, h = (np.concatenate(x) for x in zip(*held))
-        return pa.RecordBatch.from_arrays(
-            [pa.array(h.view(np.int64)), pa.array(ids, pa.int64()), pa.array(i.astype(np.int32)), pa.array(j.astype(np.int32))], ["h", "doc_id", "i", "j"]
-        )
+        for batch, texts in batches_of_text(batches):
+            text, i, j, h = Sentences(texts).runs(least, words)
+            columns = [pa.array(h.view(np.int64)), batch.column("doc_id").take(pa.array(text)), pa.array(i.astype(np.int32)), pa.array(j.astype(np.int32))]
+            yield pa.RecordBatch.from_arrays(columns, ["h", "doc_id", "i", "j"])
 
     return docs.select("doc_id", "text").mapInArrow(run, "h long, doc_id long, i int, j int")
 
@@ -121,28 +99,47 @@ def dedup(docs: DataFrame, least: int = SENTENCES, words: int = WORDS) -> DataFr
     docs = docs.select("doc_id", "text")
     found = _all_runs(docs, least, words)
     order = F.struct(F.coalesce("doc_id", F.lit(-(1 << 63))).alias("d"), F.col("i").alias("i"))
-    repeated = cut_lineage(found.groupBy("h").agg(F.min(order).alias("first"), F.count("*").alias("n")).filter("n > 1").select("h", "first"))
+    repeated = cut(found.groupBy("h").agg(F.min(order).alias("first"), F.count("*").alias("n")).filter("n > 1").select("h", "first"))
     hits = found.join(repeated, "h").filter(order != F.col("first")).groupBy("doc_id").agg(F.collect_list(F.struct("i", "j")).alias("gone"))
-    joined = docs.join(hits.withColumnRenamed("doc_id", "_d"), F.col("doc_id").eqNullSafe(F.col("_d")), "left").select("doc_id", "text", "gone")
+    joined_docs = docs.join(hits.withColumnRenamed("doc_id", "_d"), F.col("doc_id").eqNullSafe(F.col("_d")), "left").select("doc_id", "text", "gone")
 
-    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch, texts in _texts(batches):
+    def take_out(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch, texts in batches_of_text(batches):
+            split = Sentences(texts)
             rows: list[list] = [[], [], [], []]
-            for text, gone in zip(texts, batch.column("gone").to_pylist()):
-                pieces = sentences(text)
-                edge = np.zeros(len(pieces) + 1, np.int64)
+            for k, (text, gone) in enumerate(zip(texts, batch.column("gone").to_pylist())):
+                n = int(split.of_text[k + 1] - split.of_text[k]) or int(len(text) > 0)
+                edge = np.zeros(n + 1, np.int64)
                 for g in gone or ():
                     edge[g["i"]] += 1
                     edge[g["j"]] -= 1
                 out = np.cumsum(edge)[:-1] > 0
-                left = b"".join(p for p, o in zip(pieces, out) if not o) if gone else text
-                values = (len(pieces), int(out.sum()), int(np.count_nonzero(np.diff(out.astype(np.int8), prepend=0) == 1)), left.decode())
+                left = b"".join(p for p, o in zip(split.pieces(k), out) if not o) if gone else text
+                values = (n, int(out.sum()), int(np.count_nonzero(np.diff(out.astype(np.int8), prepend=0) == 1)), left.decode())
                 for to, value in zip(rows, values):
                     to.append(value)
             columns = [batch.column("doc_id"), *[pa.array(x, t) for x, t in zip(rows, (pa.int64(), pa.int64(), pa.int64(), pa.string()))]]
             yield pa.RecordBatch.from_arrays(columns, ["doc_id", "n_sentences", "n_removed", "n_spans", "text"])
 
-    return joined.mapInArrow(cut, "doc_id long, n_sentences long, n_removed long, n_spans long, text string")
+    return joined_docs.mapInArrow(take_out, "doc_id long, n_sentences long, n_removed long, n_spans long, text string")
+
+
+def plain_sentences(text: str | None) -> list[bytes]:
+    """The same cutting word by word, for tests."""
+    data = (text or "").encode()
+    words = [m.span() for m in re.finditer(rb"[^\x20\x09-\x0D]+", data)]
+    groups: list[list[int]] = []
+    for k, (a, _) in enumerate(words):
+        if not k or data[words[k - 1][1] - 1 : words[k - 1][1]] in b".!?" or b"\n" in data[words[k - 1][1] : a]:
+            groups.append([])
+        groups[-1].append(k)
+    cuts = []
+    for g in groups:
+        cuts.append(words[g[0]][0])
+        if len(g) > LONG:
+            hashes, _ = word_hashes([b" ".join(data[words[k][0] : words[k][1]] for k in g)])
+            cuts += [words[k + 1][0] for k, h in zip(g[:-1], hashes) if h % np.uint64(PICK) == 0]
+    return [data[a:b] for a, b in zip([0, *cuts[1:]], [*cuts[1:], len(data)])] if data else []
 
 
 def brute_force(docs: list[tuple[int, str | None]], least: int = SENTENCES, words: int = WORDS) -> dict:
@@ -150,7 +147,7 @@ def brute_force(docs: list[tuple[int, str | None]], least: int = SENTENCES, word
     seen: set[tuple] = set()
     out = {}
     for doc_id, text in sorted(docs):
-        pieces = sentences((text or "").encode())
+        pieces = plain_sentences(text)
         plain = [tuple(p.lower().split()) for p in pieces]
         full = [i for i, p in enumerate(plain) if p]
         gone = [False] * len(pieces)

@@ -134,8 +134,9 @@ def test_decontamination(spark, docs, none, odd, rows):
 
 
 def test_span_dedup(docs, none, odd, rows):
-    for _, t in rows:
-        assert b"".join(span_dedup.sentences((t or "").encode())) == (t or "").encode()
+    split = span_dedup.Sentences([(t or "").encode() for _, t in rows])
+    for i, t in rows:
+        assert split.pieces(i) == span_dedup.plain_sentences(t) and b"".join(split.pieces(i)) == (t or "").encode()
     got = {r.doc_id: (r.n_sentences, r.n_removed, r.text) for r in span_dedup.dedup(docs).collect()}
     assert got == span_dedup.brute_force(rows)
     assert got[17][1] > 0 and "Each of them" not in got[17][2]
