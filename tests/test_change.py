@@ -76,3 +76,30 @@ def test_fusion_counts_and_evidence(spark):
     assert row["concordance_pct"] == 100.0 and row["structures"] == 0
     sources = {r["source"] for r in result.evidence.collect()}
     assert sources == {"optical", "sar", "combined"}
+
+
+def test_regions_of_change_between_years(spark):
+    from scenelake.plans.land_search import change_region_table
+
+    rows = []
+    for row in range(4):
+        for col in range(4):
+            for year in (2020, 2022, 2024):
+                grown = year == 2024 and row < 2
+                rows.append((1, row, col, year, 0.2, 0.8 if grown else 0.2, 0.1, 0.1))
+    px = spark.createDataFrame(rows, "scene_id int, row int, col int, yr int, b04 double, b08 double, b03 double, b11 double")
+    header = spark.createDataFrame([(1, 0.01, 77.0, -0.01, 12.0, 4326)], "scene_id int, a double, c double, e double, f double, epsg int")
+    spans = spark.createDataFrame([(2020, 2024), (2020, 2022)], "from_year int, to_year int")
+    got = change_region_table(px, header, "yr", spans).collect()
+    assert [(r["target"], r["pixels"], r["temporal_persistence"]) for r in got] == [("land_use_change|2020|2024|vegetation_gain", 8, "2020-2024")]
+
+
+def test_change_of_retrieved_pairs(spark):
+    from scenelake.plans.retrieval import retrieve_change
+
+    pairs = spark.createDataFrame([(1, "a", "b"), (2, "a", "b"), (3, "a", None)], "query_id int, before_product_id string, after_product_id string")
+    rows = [(p, r, c, 10 + 200 * (p == "b" and r == 0), 10, 10) for p in ("a", "b", "c") for r in range(4) for c in range(4)]
+    px = spark.createDataFrame(rows, "product_id string, row int, col int, r int, g int, b int")
+    headers = spark.createDataFrame([(p, 4, 4) for p in "abc"], "product_id string, height int, width int")
+    got = {r["query_id"]: (r["pixels"], r["changed_pixels"]) for r in retrieve_change(pairs, px, headers).collect()}
+    assert got == {1: (16, 4), 2: (16, 4)}

@@ -148,3 +148,33 @@ def test_scenes_of_different_sizes_get_their_own_windows(spark):
         one = rg.target_regions(both.drop("mask").filter(F.col("scene_id") == scene), header.filter(F.col("scene_id") == scene), "water", 5).drop("feature")
         alone = one if alone is None else alone.unionByName(one)
     assert together.exceptAll(alone).count() == 0 and alone.exceptAll(together).count() == 0
+
+
+def test_window_may_differ_by_scene(spark):
+    rng = np.random.default_rng(3)
+    sides = list(range(20, 44))
+    masks = {i: rng.random((n, n)) < 0.6 for i, n in enumerate(sides)}
+    rows = [(i, r, c, int(m[r, c])) for i, m in masks.items() for r in range(m.shape[0]) for c in range(m.shape[1])]
+    df = spark.createDataFrame(rows, "scene_id int, row int, col int, mask int")
+    size = F.element_at(F.array(*[F.lit(2 + k % 3) for k in range(len(sides))]), F.col("scene_id") + 1)
+    got = mo.opening(df, size, block=16).collect()
+    back = {i: np.zeros(m.shape, int) for i, m in masks.items()}
+    for r in got:
+        back[r["scene_id"]][r["row"], r["col"]] = r["mask"]
+    for i, m in masks.items():
+        one = df.filter(F.col("scene_id") == i) if i in (0, 7, 23) else None
+        if one is not None:
+            want = np.zeros(m.shape, int)
+            for r in mo.opening(one, 2 + i % 3, block=64).collect():
+                want[r["row"], r["col"]] = r["mask"]
+            assert np.array_equal(back[i], want)
+
+
+def test_one_large_scene(spark):
+    """Two thousand pixels a side: a checkerboard of 50-pixel squares loses its specks and keeps its squares."""
+    cells = spark.range(2000 * 2000).select(F.lit(1).alias("scene_id"), F.floor(F.col("id") / 2000).cast("int").alias("row"), (F.col("id") % 2000).cast("int").alias("col"))
+    square = (F.floor(F.col("row") / 50) + F.floor(F.col("col") / 50)) % 2 == 0
+    speck = (F.col("row") % 50 == 25) & (F.col("col") % 50 == 25)
+    df = cells.withColumn("mask", (square | speck).cast("int"))
+    out = mo.opening(df, 24).agg(F.sum("mask").alias("n"), F.count("*").alias("all"), F.sum((F.col("mask") != square.cast("int")).cast("int")).alias("bad")).first()
+    assert (out["n"], out["all"], out["bad"]) == (2_000_000, 4_000_000, 0)
