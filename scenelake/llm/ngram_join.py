@@ -121,19 +121,22 @@ def prefix_table(docs: DataFrame, k: int = SHINGLE, percent: int = PERCENT, most
     return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, n long, sig1 long, sig2 long, prefix binary, rare int")
 
 
-def _tokens(groups: DataFrame) -> DataFrame:
-    """(token, gid, pos): one row per prefix shingle of each group, with its place in the global order."""
+def _tokens(table: DataFrame) -> DataFrame:
+    """(token, gid, pos): the prefix shingles of each group with their place in the global order, once per task."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen: set[int] = set()
         for batch in batches:
-            lists = [np.frombuffer(p, "<i8") for p in batch.column("prefix").to_pylist()]
+            fresh = {g: p for g, p in zip(batch.column("gid").to_pylist(), batch.column("prefix").to_pylist()) if p and g not in seen}
+            seen.update(fresh)
+            lists = [np.frombuffer(p, "<i8") for p in fresh.values()]
             if lists:
-                gid = np.repeat(batch.column("gid").to_numpy(), [len(x) for x in lists])
+                gid = np.repeat(np.array(list(fresh), np.int64), [len(x) for x in lists])
                 pos = np.concatenate([np.arange(len(x), dtype=np.int32) for x in lists])
                 columns = [pa.array(np.concatenate(lists).astype(np.int64)), pa.array(gid), pa.array(pos)]
                 yield pa.RecordBatch.from_arrays(columns, ["token", "gid", "pos"])
 
-    return groups.select("gid", "prefix").mapInArrow(run, "token long, gid long, pos int")
+    return table.select("gid", "prefix").mapInArrow(run, "token long, gid long, pos int")
 
 
 def _may_link(a: str, b: str, percent: int) -> Column:
@@ -242,23 +245,16 @@ def link_components(docs: DataFrame, k: int = SHINGLE, percent: int = PERCENT, m
     Documents of equal sets need no verification: their class answers for all. Further columns are not read.
     """
     docs = docs.select("doc_id", "text")
-    table = cut(prefix_table(docs.filter("doc_id is not null"), k, percent, most))
-    classes = cut(
-        table.filter("n > 0")
-        .groupBy("n", "sig1", "sig2")
-        .agg(F.min_by(F.struct("doc_id", "prefix", "rare"), "doc_id").alias("r"))
-        .select("n", "sig1", "sig2", F.col("r.doc_id").alias("cid"), F.xxhash64("n", "r.prefix").alias("gid"), F.col("r.prefix").alias("prefix"), F.col("r.rare").alias("rare"))
-    )
+    table = cut(prefix_table(docs.filter("doc_id is not null"), k, percent, most).withColumn("gid", F.xxhash64("n", "prefix")))
+    same_set = table.filter("n > 0").groupBy("n", "sig1", "sig2")
+    classes = cut(same_set.agg(F.min("doc_id").alias("cid"), F.min("gid").alias("gid"), F.min("rare").alias("rare")))
     members = classes.select("gid", "cid", "n")
-    groups = classes.groupBy("gid").agg(
-        F.min("n").alias("n"), F.min("rare").alias("rare"), F.min("cid").alias("first"), F.count("*").alias("m"), F.first("prefix").alias("prefix")
-    )
-    all_tokens = _tokens(groups)
-    lists = all_tokens.groupBy("token").agg(F.count("*").alias("size")).filter("size > 1").select("token")
-    posted = cut(all_tokens.join(lists, "token"))
-    facts = cut(groups.filter("m > 1").select("gid", "n", "rare", "first").unionByName(
-        groups.select("gid", "n", "rare", "first").join(posted.select("gid").distinct(), "gid", "left_semi")
-    ).distinct())
+    groups = classes.groupBy("gid").agg(F.min("n").alias("n"), F.min("rare").alias("rare"), F.min("cid").alias("first"), F.count("*").alias("m"))
+    all_tokens = _tokens(table)
+    lists = all_tokens.groupBy("token").agg(F.min("gid").alias("lo"), F.max("gid").alias("hi")).filter("lo <> hi").select("token")
+    posted = cut(all_tokens.join(lists, "token").distinct())
+    listed = groups.join(posted.select("gid").distinct(), "gid", "left_semi")
+    facts = cut(groups.filter("m > 1").unionByName(listed).distinct().drop("m"))
 
     # classes of one group against the first of it
     inside = members.join(facts.select("gid", "first"), "gid").filter("cid <> first").select(F.col("first").alias("a"), F.col("cid").alias("b"))
@@ -289,7 +285,11 @@ def link_components(docs: DataFrame, k: int = SHINGLE, percent: int = PERCENT, m
     mixed = posted.join(mixed_groups, "gid").groupBy("token").agg(F.min("lo").alias("lo"), F.max("hi").alias("hi")).filter("lo <> hi").select("token")
     alone = mixed_groups.select("gid", F.when(F.col("lo") == F.col("hi"), F.col("lo")).alias("comp"))
     spots = posted.join(mixed, "token").join(alone.join(facts.select("gid", "n"), "gid"), "gid").withColumn("n", F.col("n").cast("int"))
-    group_pairs = _meeting(spots, percent)
+    # of each group, the shingles that any other group shares; a prefix bounds their number
+    shares = posted.groupBy("gid").agg(F.collect_list("token").alias("t")).join(facts.select("gid", "n"), "gid")
+    side = lambda p: shares.select(*[F.col(c).alias(f"{p}{c}") for c in ("gid", "n", "t")])
+    met = cut(_meeting(spots, percent)).join(side("g"), "ggid").join(side("h"), "hgid")
+    group_pairs = met.withColumn("shared", F.size(F.array_intersect("gt", "ht"))).filter(_enough_shared("g", "h", percent)).select("ggid", "hgid")
     same_group = mixed_groups.filter("lo <> hi").select(F.col("gid").alias("ggid"), F.col("gid").alias("hgid"))
     one = place.select(F.col("gid").alias("ggid"), F.col("cid").alias("a"), F.col("comp").alias("ca"))
     two = place.select(F.col("gid").alias("hgid"), F.col("cid").alias("b"), F.col("comp").alias("cb"))
