@@ -130,7 +130,7 @@ def test_water_half_fills_the_lower_box(spark):
 def test_small_images_have_no_regions(spark):
     px = cells(spark, np.ones((8, 8), dtype=int)).select("scene_id", "row", "col", F.lit(10).alias("r"), F.lit(10).alias("g"), F.lit(10).alias("b"))
     header = spark.createDataFrame([(1, 8, 8)], "scene_id int, height int, width int")
-    assert rg.target_regions(px, header, "water").count() == 0
+    assert rg.target_regions(px, header, "water", min_side=10).count() == 0
 
 
 def test_scenes_of_different_sizes_get_their_own_windows(spark):
