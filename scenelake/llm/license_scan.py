@@ -84,12 +84,22 @@ CONFIRM = 0.6
 #: Share of the unseen notices that the calibrated unknown class may still take.
 CALIBRATION_LOSS = 0.02
 
+#: Function words: a run of these alone says nothing about a license and is no feature.
+FUNCTION_WORDS = (
+    "a all an and any are as at be but by can for from has have in into is it its may more no not of on or other out see so such text than that "
+    "the their then they this to under up was which will with without you your"
+).split()
+
 _WORD = "[^a-z0-9.\\-]+"
 
 
-def _grams(text: Column) -> Column:
-    """Distinct runs of two and three words of a text, lower-cased; one word alone is a run too."""
-    words = F.filter(F.transform(F.split(F.lower(text), _WORD), lambda w: F.regexp_replace(w, "[.\\-]+$", "")), lambda w: w != "")
+def _words(text: Column) -> Column:
+    """Lower-cased words of a text."""
+    return F.filter(F.transform(F.split(F.lower(text), _WORD), lambda w: F.regexp_replace(w, "[.\\-]+$", "")), lambda w: w != "")
+
+
+def _grams(words: Column) -> Column:
+    """Distinct runs of two and three words that are not function words alone; one word alone is a run too."""
 
     def runs(w: Column) -> Column:
         many = lambda k: F.when(
@@ -97,7 +107,13 @@ def _grams(text: Column) -> Column:
         ).otherwise(F.array().cast("array<string>"))
         return F.array_distinct(F.concat(F.when(F.size(w) == 1, w).otherwise(F.array().cast("array<string>")), many(2), many(3)))
 
-    return F.transform(F.array(words), runs)[0]
+    found = F.transform(F.array(words), runs)[0]
+    return F.filter(found, lambda g: ~F.forall(F.split(g, " "), lambda w: w.isin(FUNCTION_WORDS)))
+
+
+def anchor_words(grams: list[str]) -> list[str]:
+    """One word of each run, so that a text without any of them holds none of the runs: the longest telling one."""
+    return sorted({max((w for w in g.split() if w not in FUNCTION_WORDS), key=lambda w: (len(w), w)) for g in grams})
 
 
 def _notices() -> list[tuple[str, str, bool]]:
@@ -131,9 +147,9 @@ def train(spark: SparkSession, docs: DataFrame, sample: int = CORPUS_SAMPLE) ->
     The vocabulary is that of the notices, so its size, and that of the weights, does not depend on the corpus.
     """
     families = [UNKNOWN, *sorted(TEMPLATES)]
-    notices = spark.createDataFrame(_notices(), "family string, p string, later boolean").withColumn("g", _grams(F.col("p")))
+    notices = spark.createDataFrame(_notices(), "family string, p string, later boolean").withColumn("g", _grams(_words(F.col("p"))))
     plain = paragraphs(docs).filter(~F.lower("p").contains("licens")).select(F.xxhash64("p").alias("k"), "p").orderBy("k", "p").limit(sample)
-    other = plain.select(F.lit(UNKNOWN).alias("family"), (F.pmod("k", F.lit(4)) == 3).alias("later"), _grams(F.col("p")).alias("g"))
+    other = plain.select(F.lit(UNKNOWN).alias("family"), (F.pmod("k", F.lit(4)) == 3).alias("later"), _grams(_words(F.col("p"))).alias("g"))
     vectors = CountVectorizer(inputCol="g", outputCol="features", binary=True, minDF=1.0).fit(notices)
     rows = notices.select("family", "later", "g").unionByName(other)
     label = F.array_position(F.array(*[F.lit(f) for f in families]), F.col("family")).cast("double") - 1
@@ -156,7 +172,7 @@ def train(spark: SparkSession, docs: DataFrame, sample: int = CORPUS_SAMPLE) ->
 def _template_table(spark: SparkSession) -> DataFrame:
     """g, t (template), family, size: the n-grams of each template."""
     rows = [(f"{family}/{i}", family, text) for family, texts in TEMPLATES.items() for i, text in enumerate(texts)]
-    table = spark.createDataFrame(rows, "t string, family string, p string").withColumn("gs", _grams(F.col("p")))
+    table = spark.createDataFrame(rows, "t string, family string, p string").withColumn("gs", _grams(_words(F.col("p"))))
     return table.select("t", "family", F.size("gs").alias("size"), F.explode("gs").alias("g"))
 
 
@@ -169,10 +185,13 @@ def scan(docs: DataFrame, sample: int = CORPUS_SAMPLE) -> DataFrame:
     spark = docs.sparkSession
     docs = docs.select("doc_id", "text")
     model = train(spark, docs, sample)
-    grams = paragraphs(docs).select("doc_id", "h", "par", _grams(F.col("p")).alias("gs"))
-    single = grams.select("doc_id", "h", "par", F.size("gs").alias("m"), F.explode("gs").alias("g"))
     templates = _template_table(spark)
     known = model.weights.select("g").unionByName(templates.select("g")).distinct()
+    # paragraphs that hold no word of any known run have no feature at all; the notices fix the number of these words
+    anchors = F.array(*[F.lit(w) for w in anchor_words([r["g"] for r in known.collect()])])
+    worded = paragraphs(docs).select("doc_id", "h", "par", _words(F.col("p")).alias("words"))
+    grams = worded.filter(F.arrays_overlap("words", anchors)).select("doc_id", "h", "par", _grams(F.col("words")).alias("gs"))
+    single = grams.select("doc_id", "h", "par", F.size("gs").alias("m"), F.explode("gs").alias("g"))
     hits = single.join(F.broadcast(known), "g").distinct()  # the notices fix the size of the broadcast side
     key = ("doc_id", "h", "par")
     n = len(model.families)
