@@ -144,11 +144,16 @@ def paragraphs(docs: DataFrame) -> DataFrame:
 def train(spark: SparkSession, docs: DataFrame, sample: int = CORPUS_SAMPLE) -> LicenseModel:
     """Fit on the notices and at most ``sample`` corpus paragraphs without the letters "licens"; calibrate on the rest.
 
+    The paragraphs come from the documents of least hash, as many as are needed.
+
     The vocabulary is that of the notices, so its size, and that of the weights, does not depend on the corpus.
     """
     families = [UNKNOWN, *sorted(TEMPLATES)]
     notices = spark.createDataFrame(_notices(), "family string, p string, later boolean").withColumn("g", _grams(_words(F.col("p"))))
-    plain = paragraphs(docs).filter(~F.lower("p").contains("licens")).select(F.xxhash64("p").alias("k"), "p").orderBy("k", "p").limit(sample)
+    span = 1 << 40
+    bound = int(span * min(1.0, 1.3 * sample / max(1, docs.count())))  # a document has a paragraph or more
+    few = docs.filter(F.pmod(F.xxhash64("text"), F.lit(span)) < bound)
+    plain = paragraphs(few).filter(~F.lower("p").contains("licens")).select(F.xxhash64("p").alias("k"), "p").orderBy("k", "p").limit(sample)
     other = plain.select(F.lit(UNKNOWN).alias("family"), (F.pmod("k", F.lit(4)) == 3).alias("later"), _grams(_words(F.col("p"))).alias("g"))
     vectors = CountVectorizer(inputCol="g", outputCol="features", binary=True, minDF=1.0).fit(notices)
     rows = notices.select("family", "later", "g").unionByName(other)

@@ -82,7 +82,15 @@ def frequent_shingles(docs: DataFrame, k: int = SHINGLE, most: int = FREQUENT) -
         return pa.RecordBatch.from_arrays([pa.array(keys[keep].view(np.int64)), pa.array(counts[keep])], ["s", "c"])
 
     counted = docs.select("text").mapInArrow(run, "s long, c long").groupBy("s").agg(F.sum("c").alias("c"))
-    top = counted.orderBy(F.desc("c"), "s").limit(most).toArrow()
+    counted = cut(counted)
+    # counts in classes of a quarter octave; whole classes are taken, from the largest down, while they fit
+    size_class = F.floor(F.log2(F.col("c").cast("double")) * 4).cast("int")
+    held, least = 0, None
+    for k, n in sorted(((r[0], r[1]) for r in counted.groupBy(size_class.alias("k")).count().collect()), reverse=True):
+        if held + n > most:
+            break
+        held, least = held + n, k
+    top = counted.filter(size_class >= least if least is not None else F.lit(False)).toArrow()
     keys, counts = top.column("s").to_numpy().view(np.uint64), top.column("c").to_numpy()
     order = np.argsort(keys)
     return keys[order], counts[order]
