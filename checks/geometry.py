@@ -259,7 +259,7 @@ def size_sql(s: str) -> str:
 
 def _requested(spark, sf):
     """Footprints with the request that wants pairs of them."""
-    return footprint_boxes(spark, sf).withColumn("request", F.col("id") % 8)
+    return footprint_boxes(spark, sf).withColumn("request", F.col("grp") % 5)
 
 
 QUERIES["j3_footprint_pairs"] = lambda spark, sf: overlap.overlap_join(
@@ -268,7 +268,7 @@ QUERIES["j3_footprint_pairs"] = lambda spark, sf: overlap.overlap_join(
 SQL["j3_footprint_pairs"] = sql(
     "footprints",
     f"""with {BOXES} select a.id as id_a, b.id as id_b, {SHARED} as shared, {SHARED} * 100e0 / least({size_sql('a')}, {size_sql('b')}) as overlap_pct
-    from bx a join bx b on a.id < b.id and a.id % 8 = b.id % 8 and {MEET}""",
+    from bx a join bx b on a.id < b.id and a.grp % 5 = b.grp % 5 and {MEET}""",
 )
 
 
