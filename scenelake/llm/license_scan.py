@@ -158,7 +158,7 @@ def train(spark: SparkSession, docs: DataFrame, sample: int = CORPUS_SAMPLE) ->
     vectors = CountVectorizer(inputCol="g", outputCol="features", binary=True, minDF=1.0).fit(notices)
     rows = notices.select("family", "later", "g").unionByName(other)
     label = F.array_position(F.array(*[F.lit(f) for f in families]), F.col("family")).cast("double") - 1
-    table = vectors.transform(rows.withColumn("label", label)).select("label", "later", "features").cache()
+    table = vectors.transform(rows.withColumn("label", label)).select("label", "later", "features").coalesce(1).cache()  # a bounded table
     fitted = LogisticRegression(family="multinomial", regParam=0.002, elasticNetParam=0.5, maxIter=60).fit(table.filter("not later"))
     coefficients, intercepts = fitted.coefficientMatrix.toArray(), fitted.interceptVector.toArray().tolist()
     held = vectors.transform(rows.withColumn("label", label)).filter("later").select("label", "features").collect()
