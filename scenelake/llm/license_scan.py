@@ -95,7 +95,7 @@ _WORD = "[^a-z0-9.\\-]+"
 
 def _words(text: Column) -> Column:
     """Lower-cased words of a text."""
-    return F.filter(F.transform(F.split(F.lower(text), _WORD), lambda w: F.regexp_replace(w, "[.\\-]+$", "")), lambda w: w != "")
+    return F.array_remove(F.transform(F.split(F.lower(text), _WORD), lambda w: F.rtrim(w, F.lit(".-"))), "")
 
 
 def _grams(words: Column) -> Column:
