@@ -68,6 +68,16 @@ class RollingHash:
         return mix((self.sums[width:] - self.sums[: n - width + 1]) * self.down[: n - width + 1])
 
 
+def sliding_min(x: np.ndarray, width: int) -> np.ndarray:
+    """Least of every ``width`` values in a row; at least so many must be there."""
+    span, least = 1, x
+    while 2 * span <= width:
+        least = np.minimum(least[:-span], least[span:])
+        span *= 2
+    rest = width - span
+    return np.minimum(least[: len(least) - rest], least[rest:]) if rest else least
+
+
 def joined(texts: Sequence[bytes]) -> tuple[np.ndarray, np.ndarray]:
     """One buffer of all texts, a line feed after each, and where each text starts (one more at the end)."""
     starts = np.zeros(len(texts) + 1, np.int64)

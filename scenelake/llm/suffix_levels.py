@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from scenelake.llm.common import BUFFER_BYTES, RollingHash, joined, shuffle_parts
+from scenelake.llm.common import BUFFER_BYTES, RollingHash, joined, shuffle_parts, sliding_min
 
 WIDTH = 100
 #: Length of the strings from which a window's anchor is taken.
@@ -65,15 +65,6 @@ class LevelFamily:
         return found
 
 
-def _sliding_min(x: np.ndarray, width: int) -> np.ndarray:
-    span, least = 1, x
-    while 2 * span <= width:
-        least = np.minimum(least[:-span], least[span:])
-        span *= 2
-    rest = width - span
-    return np.minimum(least[: len(least) - rest], least[rest:]) if rest else least
-
-
 class Segments:
     """Segments of a block's texts, in order: first and last window start, anchor, fingerprint, self-repeat."""
 
@@ -111,7 +102,7 @@ class Segments:
             return none, none, none.astype(np.uint64), none.astype(np.uint64), none.astype(bool), none
         seeds = rolling.windows(seed)
         reach = width - seed + 1
-        anchor = _sliding_min(seeds, reach)[at]
+        anchor = sliding_min(seeds, reach)[at]
         new = np.ones(len(at), bool)
         new[1:] = (np.diff(at) != 1) | (anchor[1:] != anchor[:-1])
         begin = np.flatnonzero(new)

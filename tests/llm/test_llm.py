@@ -143,6 +143,27 @@ def test_span_dedup(docs, none, odd, rows):
     assert span_dedup.dedup(none).count() == 0 and span_dedup.dedup(odd).count() == 6
 
 
+def test_span_dedup_finds_passages_of_any_sentences(spark):
+    """51 words in one and two sentences, from within a sentence, between other words; and words that repeat."""
+    rng = random.Random(8)
+    new = lambda n: [f"v{rng.randrange(10**9)}" for _ in range(n)]
+    passages = [new(51) for _ in range(40)]
+    for k, p in enumerate(passages):
+        if k % 2:
+            p[5 + k] += "."
+    passages += [["be"] * 51, ["so", "it", "is"] * 17, new(20) + ["be"] * 31, new(21) + ["."] + new(29)]
+    texts = [" ".join([*new(9 + k % 5), *p, *new(7 + k % 3)]) for _ in range(2) for k, p in enumerate(passages)]
+    rows = list(enumerate(texts))
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    for size in (1 << 22, 2000):
+        got = {r.doc_id: r for r in span_dedup.dedup(df, block_bytes=size).collect()}
+        assert {i: (r.n_sentences, r.n_removed, r.text) for i, r in got.items()} == span_dedup.brute_force(rows)
+        for i, t in rows[len(passages) :]:
+            lost = len(t.split()) - len(got[i].text.split())
+            assert 15 <= lost <= 51, i
+        assert all(got[i].text == t for i, t in rows[:40])
+
+
 def test_lm_scores(docs, none, odd, rows):
     mu = 30.0
     held = {i: zlib.crc32(str(i).encode()) % 10 == 0 for i, _ in rows}
