@@ -19,22 +19,27 @@ prefixes are neighbours all the same, and no text needs to be kept in the index.
 from __future__ import annotations
 
 import hashlib
+import math
 from collections.abc import Iterator
 from functools import reduce
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from scenelake.llm.common import BUFFER_BYTES, RollingHash, joined, shuffle_parts, sliding_min
+from scenelake.llm.common import BUFFER_BYTES, RollingHash, joined, shuffle_parts, sliding_min, text_blocks
+from scenelake.session import cut_lineage
 
 WIDTH = 100
 #: Length of the strings from which a window's anchor is taken.
 SEED = 40
 BLOCK_BYTES = 4 << 20
-#: Id ranges counted per block when the blocks are laid out.
-RANGES_PER_BLOCK = 32
+#: Segments looked into at once.
+SLICE = 1 << 12
+#: Blocks that one task lays out, about.
+BLOCKS_PER_RANGE = 8
 
 
 class LevelFamily:
@@ -109,8 +114,11 @@ class Segments:
         last = np.append(begin[1:], len(at)) - 1
         s, e, a = at[begin], at[last], anchor[begin]
         span = np.arange(reach)
-        left = s + np.argmin(seeds[s[:, None] + span], axis=1)
-        right = e + reach - 1 - np.argmin(seeds[e[:, None] + span[::-1]], axis=1)
+        left, right = s + 0, e + reach - 1
+        for k in range(0, len(s), SLICE):
+            part = slice(k, k + SLICE)
+            left[part] += np.argmin(seeds[s[part, None] + span], axis=1)
+            right[part] -= np.argmin(seeds[e[part, None] + span[::-1]], axis=1)
         return s + offset, e + offset, a, rolling.ranges(s, e + width), left != right, np.full(len(s), len(self.base) - 1)
 
     def windows(self, chosen: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -213,27 +221,78 @@ class _Judged:
         self.ask = np.flatnonzero(leads & (several[which] | seg.folds))
 
 
-def _blocks(docs: DataFrame, block_bytes: int) -> Column:
-    """Block number of a row: ranges of doc_id with about ``block_bytes`` of text each; a null id comes first.
+def _layout(docs: DataFrame, block_bytes: int, n_blocks: int) -> list[tuple[int, bool]]:
+    """First doc_id of each block, in order, and whether the block is one id with several rows that must be split.
 
-    The ids are counted in equal ranges, some per block; ranges are then joined to blocks in order. Two numbers and
-    one count per range reach the driver.
+    The bytes of each id, in order of the ids, are summed up until a block is full; a null id is in no block here. One
+    number per block of text reaches the driver.
     """
-    size = F.octet_length(F.coalesce("text", F.lit("")))
-    low, high, total = docs.agg(F.min("doc_id"), F.max("doc_id"), F.sum(size)).first()
-    if low is None:
-        return F.lit(0).cast("long")
-    n = max(1, RANGES_PER_BLOCK * -(-(total or 0) // block_bytes))
-    step = (high - low) // n + 1
-    spot = F.coalesce(F.floor((F.col("doc_id") - low) / step), F.lit(0)).cast("int")
-    sizes = dict(docs.groupBy(spot.alias("r")).agg(F.sum(size).alias("b")).collect())
-    blocks, held, block = [], 0, 0
-    for r in range(n):
-        if held and held + sizes.get(r, 0) > block_bytes:
-            block, held = block + 1, 0
-        held += sizes.get(r, 0)
-        blocks.append(block)
-    return F.split(F.lit(",".join(map(str, blocks))), ",").cast("array<long>")[spot]
+    size = F.octet_length(F.coalesce("text", F.lit(""))).cast("long")
+    ranges = max(1, min(shuffle_parts(docs), n_blocks // BLOCKS_PER_RANGE))
+    ids = docs.filter("doc_id is not null").groupBy("doc_id").agg(F.sum(size).alias("b"), F.count("*").alias("n"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = None
+        for batch in batches:
+            starts = []
+            for i, size, n in zip(*(batch.column(c).to_pylist() for c in ("doc_id", "b", "n"))):
+                split = n > 1 and size > block_bytes
+                if held is None or split or held + size > block_bytes:
+                    starts.append((i, split))
+                    held = 0
+                held = None if split else held + size
+            yield pa.RecordBatch.from_arrays([pa.array([i for i, _ in starts], pa.int64()), pa.array([x for _, x in starts], pa.bool_())], ["first", "split"])
+
+    starts = ids.repartitionByRange(ranges, "doc_id").sortWithinPartitions("doc_id").mapInArrow(run, "first long, split boolean")
+    return sorted((r["first"], r["split"]) for r in starts.collect())
+
+
+def _numbers(x: list[int]) -> Column:
+    return F.split(F.lit(",".join(map(str, x))), ",").cast("array<long>")
+
+
+def _rank(value: Column, borders: list[int]) -> Column:
+    """How many of the sorted borders are at most the value; looks at two times the root of their number."""
+    if not borders:
+        return F.lit(0)
+    k = math.isqrt(len(borders)) + 1
+    below = lambda x: F.size(F.filter(x, lambda b: b <= value))
+    skipped = F.greatest(below(_numbers(borders[::k])) - 1, F.lit(0)) * k
+    return skipped + below(F.slice(_numbers(borders), skipped + 1, k))
+
+
+def _in_blocks(docs: DataFrame, block_bytes: int, n_blocks: int) -> DataFrame:
+    """doc_id, text (binary), block: blocks of about ``block_bytes``, whose numbers rise with (doc_id, text), null first.
+
+    Rows of one id that are more than a block are sorted by text and cut by running bytes. A row is never cut.
+    """
+    size = F.octet_length(F.coalesce("text", F.lit(""))).cast("long")
+    layout = _layout(docs, block_bytes, n_blocks)
+    void = docs.filter("doc_id is null").agg(F.sum(size).alias("b"), F.count("*").alias("n")).first()
+    split = [k for k, x in enumerate([void["n"] > 1 and void["b"] > block_bytes, *(x for _, x in layout)]) if x]
+    # 0 for null, from 1 on the block
+    spot = F.when(F.col("doc_id").isNull(), F.lit(0)).otherwise(_rank(F.col("doc_id"), [i for i, _ in layout])).cast("long")
+    table = docs.select("doc_id", F.coalesce("text", F.lit("")).cast("binary").alias("text"), spot.alias("s"))
+    whole = ("doc_id", "text", F.shiftleft("s", 40).alias("block"))
+    if not split:
+        return table.select(*whole)
+    apart = F.array_contains(_numbers(split), F.col("s"))
+
+    def number(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        base = TaskContext.get().partitionId() << 20
+        last, held, block = None, 0, 0
+        for batch in batches:
+            blocks = []
+            for s, n in zip(batch.column("s").to_pylist(), pa.compute.binary_length(batch.column("text")).to_pylist()):
+                if s != last or (held and held + n > block_bytes):
+                    last, held, block = s, 0, block + 1
+                held += n
+                blocks.append((s << 40) + base + block)
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("text"), pa.array(blocks, pa.int64())], ["doc_id", "text", "block"])
+
+    # the start of a text, as Spark brings samples of the keys to the driver
+    several = table.filter(apart).repartitionByRange(shuffle_parts(docs), "s", F.substring("text", 1, 64)).sortWithinPartitions("s", "text")
+    return table.filter(~apart).select(*whole).unionByName(cut_lineage(several.mapInArrow(number, "doc_id long, text binary, block long")))
 
 
 def repeated_bytes(docs: DataFrame, width: int = WIDTH, seed: int = SEED, block_bytes: int = BLOCK_BYTES) -> DataFrame:
@@ -242,10 +301,9 @@ def repeated_bytes(docs: DataFrame, width: int = WIDTH, seed: int = SEED, block_
     Null and empty texts, and texts shorter than ``width``, lose nothing. Rows of one doc_id are ordered by their
     text, a null doc_id comes before all others. Matches never cross documents; further columns are not read.
     """
-    block = _blocks(docs, block_bytes).alias("block")
-    dealt = docs.select("doc_id", F.coalesce("text", F.lit("")).cast("binary").alias("text"), block)
+    n_blocks = text_blocks(docs, block_bytes=block_bytes)
     parts = shuffle_parts(docs)
-    dealt = dealt.repartition(parts, "block")
+    dealt = _in_blocks(docs.select("doc_id", "text"), block_bytes, n_blocks).repartition(parts, "block")
 
     def load(table: pa.Table) -> tuple[pa.Table, Segments]:
         table = table.sort_by([("doc_id", "ascending"), ("text", "ascending")]) if table.num_rows > 1 else table
@@ -275,12 +333,12 @@ def repeated_bytes(docs: DataFrame, width: int = WIDTH, seed: int = SEED, block_
         gone[lead] = False
         if len(prints):
             gone |= _flags(second, 0)[at]
-        edge = np.zeros(seg.total + 1, np.int64)
+        edge = np.zeros(seg.total + 1, np.int32)
         np.add.at(edge, seg.start[judged.repeats], 1)
         np.add.at(edge, seg.end[judged.repeats] + width, -1)
         np.add.at(edge, starts[gone], 1)
         np.add.at(edge, starts[gone] + width, -1)
-        covered = np.cumsum(edge) > 0
+        covered = np.cumsum(edge, out=edge) > 0
         removed, spans, kept = [], [], []
         offset = 0
         for t in seg.texts:

@@ -351,6 +351,25 @@ def test_suffix_levels(docs, none, odd, rows):
     assert sorted(n for i, n in out if i == 3) == [0, len(prose(7, 40).encode()), len(prose(7, 40).encode())]
 
 
+def test_suffix_blocks_are_bounded_whatever_the_ids(spark):
+    """One far id, one id on many rows (some of them alike), and null ids: no block above its size, order as the ids."""
+    far = [(i, prose(i, 40)) for i in range(60)] + [(10**9, prose(7, 40)), (-(1 << 63), prose(8, 40)), ((1 << 63) - 1, prose(9, 40))]
+    tied = [(20, prose(500 + i % 25, 40)) for i in range(50)] + [(None, prose(600 + i % 30, 40)) for i in range(40)] + [(None, None), (20, None)]
+    df = spark.createDataFrame(far + tied, "doc_id long, text string").repartition(5)
+    limit = 1500
+    blocks = {}
+    for r in suffix_levels._in_blocks(df, limit, 10).collect():
+        blocks.setdefault(r.block, []).append((r.doc_id is not None, r.doc_id or 0, bytes(r.text)))
+    assert sum(map(len, blocks.values())) == len(far + tied)
+    assert all(sum(len(t) for *_, t in rows) <= limit for rows in blocks.values())
+    ordered = [blocks[b] for b in sorted(blocks)]
+    assert all(max(a) <= min(b) for a, b in zip(ordered, ordered[1:]))
+    got = Counter(tuple(r) for r in suffix_levels.digest(suffix_levels.repeated_bytes(df, block_bytes=limit)).collect())
+    rows = sorted(far + tied, key=lambda r: (r[0] is not None, r[0] or 0, (r[1] or "").encode()))
+    want = suffix_levels.brute_force([(k, t) for k, (_, t) in enumerate(rows)])
+    assert got == Counter((i, *want[k]) for k, (i, _) in enumerate(rows))
+
+
 def test_level_family_grows_geometrically():
     family = suffix_levels.LevelFamily()
     rng = np.random.default_rng(1)
