@@ -67,6 +67,37 @@ TEMPLATES = {
         "Released under the Unlicense.",
     ],
 }
+#: SPDX identifiers by family, lower case; a tag that names one alone is a notice of the family.
+SPDX = {
+    "AGPL-3.0": "agpl-3.0(-only|-or-later)?",
+    "Apache-2.0": "apache-2.0",
+    "BSD": "(0bsd|bsd-[1-4]-clause)",
+    "CC-BY-4.0": "cc-by-4.0",
+    "CC-BY-NC-4.0": "cc-by-nc-4.0",
+    "CC-BY-SA-4.0": "cc-by-sa-4.0",
+    "CC0-1.0": "cc0-1.0",
+    "GPL-3.0": "gpl-3.0(-only|-or-later)?",
+    "LGPL-3.0": "lgpl-3.0(-only|-or-later)?",
+    "MIT": "mit",
+    "MPL-2.0": "mpl-2.0",
+    "Unlicense": "unlicense",
+}
+_CC = "(cc|creative commons)"
+#: What a paragraph must name before a template of the family confirms it, what it must not, and the family's version.
+TELLING = {
+    "AGPL-3.0": ("affero|agpl", None, "3"),
+    "Apache-2.0": ("apache", None, "2"),
+    "BSD": ("bsd|redistribution and use", None, None),
+    "CC-BY-4.0": (_CC, "by-(nc|sa|nd)|non-?commercial|share-?alike|no-?deriv", "4"),
+    "CC-BY-NC-4.0": (_CC, "by-nc-(sa|nd)|by-(sa|nd)|share-?alike|no-?deriv", "4"),
+    "CC-BY-SA-4.0": (_CC, "by-(nc|nd)|non-?commercial|no-?deriv", "4"),
+    "CC0-1.0": ("cc0|public domain|waived all copyright", None, "1"),
+    "GPL-3.0": ("gnu general public|gnu gpl|gplv?", "affero|agpl|lesser|lgpl", "3"),
+    "LGPL-3.0": ("lesser|lgpl", None, "3"),
+    "MIT": ("mit|permission is hereby granted", None, None),
+    "MPL-2.0": ("mozilla|mpl", None, "2"),
+    "Unlicense": ("unlicense|unencumbered", None, None),
+}
 UNKNOWN = "unknown"
 #: Notices of no family above, for the unknown class.
 OTHER = [
@@ -111,6 +142,27 @@ def _grams(words: Column) -> Column:
     return F.filter(found, lambda g: ~F.forall(F.split(g, " "), lambda w: w.isin(FUNCTION_WORDS)))
 
 
+def _named(words: Column) -> Column:
+    """Families whose telling words occur, without another version behind them than the family's own."""
+    said = F.concat(F.lit(" "), F.array_join(words, " "), F.lit(" "))
+    out = []
+    for family, (name, never, version) in sorted(TELLING.items()):
+        ok = said.rlike(f" ({name})")
+        if never:
+            ok &= ~said.rlike(never)
+        if version:
+            behind = rf" ({name})([^ ]*( [^ ]+){{0,12}} (version |v\.?)|[^ ]*( [^ ]+){{0,3}} (?=[0-9.]+ )|[a-z]*[-v]*(?=[0-9]))"
+            ok &= ~said.rlike(behind + "[0-9]") | said.rlike(behind + rf"{version}(\.0)*(-only|-or-later|\+)? ")
+        out.append(F.when(ok, F.lit(family)))
+    return F.array_compact(F.array(*out))
+
+
+def _tagged(p: Column) -> Column:
+    """The family of an SPDX tag that names a single license; null without one."""
+    tag = F.regexp_extract(F.lower(p), r"spdx-license-identifier:\s*([a-z0-9.+-]+)\s*(?:\*/|-->)?\s*$", 1)
+    return F.coalesce(*[F.when(tag.rlike(f"^{pattern}$"), F.lit(family)) for family, pattern in SPDX.items()])
+
+
 def anchor_words(grams: list[str]) -> list[str]:
     """One word of each run, so that a text without any of them holds none of the runs: the longest telling one."""
     return sorted({max((w for w in g.split() if w not in FUNCTION_WORDS), key=lambda w: (len(w), w)) for g in grams})
@@ -184,7 +236,8 @@ def _template_table(spark: SparkSession) -> DataFrame:
 def scan(docs: DataFrame, sample: int = CORPUS_SAMPLE) -> DataFrame:
     """doc_id, n_paragraphs, n_license, families (sorted, comma-joined), n_unconfirmed: one row per row of ``docs``.
 
-    Paragraphs of one family without a template's agreement count as unconfirmed. Null, empty and license-free texts
+    Paragraphs of one family without a template's agreement, or that name another license or version, count as
+    unconfirmed, and so do SPDX tags of other licenses. Null, empty and license-free texts
     have no family. Repeated rows have equal answers; further columns are not read.
     """
     spark = docs.sparkSession
@@ -194,24 +247,27 @@ def scan(docs: DataFrame, sample: int = CORPUS_SAMPLE) -> DataFrame:
     known = model.weights.select("g").unionByName(templates.select("g")).distinct()
     # paragraphs that hold no word of any known run have no feature at all; the notices fix the number of these words
     anchors = F.array(*[F.lit(w) for w in anchor_words([r["g"] for r in known.collect()])])
-    worded = paragraphs(docs).select("doc_id", "h", "par", _words(F.col("p")).alias("words"))
-    grams = worded.filter(F.arrays_overlap("words", anchors)).select("doc_id", "h", "par", _grams(F.col("words")).alias("gs"))
-    single = grams.select("doc_id", "h", "par", F.size("gs").alias("m"), F.explode("gs").alias("g"))
+    lines = paragraphs(docs)
+    tagged = lines.filter(F.lower("p").contains("spdx-license-identifier")).select("doc_id", "h", "par", _tagged(F.col("p")).alias("family"))
+    worded = lines.filter(~F.lower("p").contains("spdx-license-identifier")).select("doc_id", "h", "par", _words(F.col("p")).alias("words"))
+    grams = worded.filter(F.arrays_overlap("words", anchors)).select("doc_id", "h", "par", _named(F.col("words")).alias("named"), _grams(F.col("words")).alias("gs"))
+    single = grams.select("doc_id", "h", "par", "named", F.size("gs").alias("m"), F.explode("gs").alias("g"))
     hits = single.join(F.broadcast(known), "g").distinct()  # the notices fix the size of the broadcast side
     key = ("doc_id", "h", "par")
     n = len(model.families)
     zeros = F.array(*[F.lit(0.0)] * n)
-    weighted = hits.join(F.broadcast(model.weights), "g", "left").select(*key, "m", F.coalesce("w", zeros).alias("w"))
-    sums = weighted.groupBy(*key).agg(F.max("m").alias("m"), *[F.sum(F.col("w")[i]).alias(f"z{i}") for i in range(n)])
+    weighted = hits.join(F.broadcast(model.weights), "g", "left").select(*key, "m", "named", F.coalesce("w", zeros).alias("w"))
+    sums = weighted.groupBy(*key).agg(F.max("m").alias("m"), F.max("named").alias("named"), *[F.sum(F.col("w")[i]).alias(f"z{i}") for i in range(n)])
     z = F.array(*[F.col(f"z{i}") + model.intercepts[i] for i in range(n)])
     best = F.array_max(F.transform(F.slice(z, 2, n - 1), lambda v, i: F.struct(v.alias("v"), i.alias("i"))))
     names = F.array(*[F.lit(f) for f in model.families[1:]])
     told = sums.withColumn("best", best).filter(F.col("best.v") - (F.col("z0") + model.intercepts[0]) >= model.cutoff)
-    told = told.select(*key, "m", F.element_at(names, F.col("best.i") + 1).alias("family"))
+    told = told.select(*key, "m", "named", F.element_at(names, F.col("best.i") + 1).alias("family"))
     shared = hits.join(F.broadcast(templates), "g").groupBy(*key, "m", "family", "t", "size").agg(F.count("*").alias("c"))
     agree = shared.groupBy(*key, "family").agg(F.max(F.greatest(F.col("c") / F.col("size"), F.col("c") / F.col("m"))).alias("agreement"))
     same = told["doc_id"].eqNullSafe(agree["doc_id"]) & (told["h"] == agree["h"]) & (told["par"] == agree["par"]) & (told["family"] == agree["family"])
-    judged = told.join(agree, same, "left").select(told["doc_id"], told["h"], told["family"], (F.coalesce("agreement", F.lit(0.0)) >= CONFIRM).alias("ok"))
+    judged = told.join(agree, same, "left").select(told["doc_id"], told["h"], told["family"], ((F.coalesce("agreement", F.lit(0.0)) >= CONFIRM) & F.array_contains("named", told["family"])).alias("ok"))
+    judged = judged.unionByName(tagged.select("doc_id", "h", "family", F.col("family").isNotNull().alias("ok")))
     found = judged.groupBy("doc_id", "h").agg(
         F.sum(F.col("ok").cast("long")).alias("n_license"),
         F.concat_ws(",", F.sort_array(F.collect_set(F.when(F.col("ok"), F.col("family"))))).alias("families"),
@@ -219,8 +275,8 @@ def scan(docs: DataFrame, sample: int = CORPUS_SAMPLE) -> DataFrame:
     )
     found = found.withColumnRenamed("doc_id", "_d").withColumnRenamed("h", "_h")
     text = F.coalesce("text", F.lit(""))
-    lines = F.size(F.filter(F.split(text, "\n"), lambda p: p.rlike("[A-Za-z]"))).cast("long")
-    base = docs.select("doc_id", F.xxhash64(text).alias("h"), lines.alias("n_paragraphs"))
+    n_lines = F.size(F.filter(F.split(text, "\n"), lambda p: p.rlike("[A-Za-z]"))).cast("long")
+    base = docs.select("doc_id", F.xxhash64(text).alias("h"), n_lines.alias("n_paragraphs"))
     joined = base.join(found, F.col("doc_id").eqNullSafe(F.col("_d")) & (F.col("h") == F.col("_h")), "left")
     zero = F.lit(0).cast("long")
     return joined.select(

@@ -341,6 +341,20 @@ def test_license_scan(spark, none, odd):
     assert license_scan.scan(none).count() == 0 and license_scan.scan(odd).count() == 6
 
 
+def test_license_scan_tells_versions_apart(spark):
+    other = [
+        "This work is licensed under the GNU General Public License, version 2.", "Licensed under the GNU Lesser General Public License, version 2.1.",
+        "This Source Code Form is subject to the terms of the Mozilla Public License, version 1.1.", "SPDX-License-Identifier: GPL-2.0-only",
+        "This work is licensed under a Creative Commons Attribution-NoDerivatives 4.0 International License.", "Released under the Apache License 1.1.",
+    ]
+    family = {f"# SPDX-License-Identifier: {x}": f for x, f in (("MIT", "MIT"), ("Apache-2.0", "Apache-2.0"), ("GPL-3.0-or-later", "GPL-3.0"))}
+    family |= {t: f for f, texts in license_scan.TEMPLATES.items() for t in texts}
+    rows = [*((t, "") for t in other), *family.items()]
+    df = spark.createDataFrame([(i, t) for i, (t, _) in enumerate(rows)], "doc_id long, text string")
+    got = {r.doc_id: r.families for r in license_scan.scan(df).collect()}
+    assert {rows[i][0]: f for i, f in got.items()} == dict(rows)
+
+
 def test_suffix_levels(docs, none, odd, rows):
     want = suffix_levels.brute_force(rows)
     for size in (1 << 22, 3000):
