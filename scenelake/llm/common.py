@@ -19,6 +19,9 @@ from scenelake.session import cut_lineage
 #: Bytes of text that a buffer of the numpy code holds before it is worked on.
 BUFFER_BYTES = 1 << 20
 
+#: Bytes of text whose keys one hash range gets, about.
+RANGE_BYTES = 32 << 20
+
 _ODD = np.uint64(0x9E3779B97F4A7C15)
 _S31, _S29 = np.uint64(31), np.uint64(29)
 _BASE = 0x5851F42D4C957F2D
@@ -134,6 +137,11 @@ def shuffle_parts(df: DataFrame) -> int:
     return int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
 
 
+def hash_ranges(df: DataFrame, n_bytes: int) -> int:
+    """Ranges that the keys of so many bytes of text are dealt to: bounded ones, and no fewer than shuffle partitions."""
+    return max(shuffle_parts(df), -(-n_bytes // RANGE_BYTES))
+
+
 def text_blocks(docs: DataFrame, column: str = "text", block_bytes: int = 8 << 20) -> int:
     """How many blocks of about ``block_bytes`` the texts make; one scan, one number to the driver."""
     total = docs.agg(F.sum(F.octet_length(column))).first()[0] or 0

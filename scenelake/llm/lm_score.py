@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from scenelake.llm.common import batches_of_text, held_out, mix, shuffle_parts, text_blocks, word_hashes
+from scenelake.llm.common import batches_of_text, hash_ranges, held_out, mix, text_blocks, word_hashes
 
 ORDER = 2
 #: Weight of the shorter context, per order above 1, in counts.
@@ -158,7 +158,8 @@ def score(docs: DataFrame, train_filter, order: int = ORDER, mu: tuple[float, ..
     """
     if len(mu) < order - 1:
         raise ValueError("one mu for each order above 1")
-    n_blocks, parts = text_blocks(docs, "text", block_bytes), shuffle_parts(docs)
+    n_blocks = text_blocks(docs, "text", block_bytes)
+    parts = hash_ranges(docs, n_blocks * block_bytes)
     block = F.pmod(F.xxhash64("doc_id", F.length("text")), F.lit(n_blocks)).alias("block")
     dealt = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"), train_filter.alias("train"), block).repartition(n_blocks, "block")
 

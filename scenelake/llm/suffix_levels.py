@@ -29,7 +29,7 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from scenelake.llm.common import BUFFER_BYTES, RollingHash, joined, shuffle_parts, sliding_min, text_blocks
+from scenelake.llm.common import BUFFER_BYTES, RollingHash, hash_ranges, joined, shuffle_parts, sliding_min, text_blocks
 from scenelake.session import cut_lineage
 
 WIDTH = 100
@@ -302,7 +302,7 @@ def repeated_bytes(docs: DataFrame, width: int = WIDTH, seed: int = SEED, block_
     text, a null doc_id comes before all others. Matches never cross documents; further columns are not read.
     """
     n_blocks = text_blocks(docs, block_bytes=block_bytes)
-    parts = shuffle_parts(docs)
+    parts = hash_ranges(docs, n_blocks * block_bytes)
     dealt = _in_blocks(docs.select("doc_id", "text"), block_bytes, n_blocks).repartition(parts, "block")
 
     def load(table: pa.Table) -> tuple[pa.Table, Segments]:

@@ -10,7 +10,7 @@ from collections import Counter
 import numpy as np
 import pytest
 
-from scenelake.llm import adaptive_rules, decontaminate, license_scan, lm_score, ngram_join, packing, pii_weak, quality_pu, span_dedup, suffix_levels
+from scenelake.llm import adaptive_rules, common, decontaminate, license_scan, lm_score, ngram_join, packing, pii_weak, quality_pu, span_dedup, suffix_levels
 from scenelake.llm.queries import tokenizer
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, block int, h string, n int, token string, score string"
@@ -384,6 +384,19 @@ def test_suffix_blocks_are_bounded_whatever_the_ids(spark):
     assert got == Counter((i, *want[k]) for k, (i, _) in enumerate(rows))
 
 
+def test_hash_ranges_grow_with_the_text(docs, rows, monkeypatch):
+    """More ranges than the session has partitions, with the same answers."""
+    least = common.shuffle_parts(docs)
+    assert common.hash_ranges(docs, 1) == least and common.hash_ranges(docs, least * common.RANGE_BYTES + 1) == least + 1
+    before = {r.doc_id: r.score for r in lm_score.score_corpus(docs).collect()}
+    monkeypatch.setattr(common, "RANGE_BYTES", 9000)
+    assert common.hash_ranges(docs, 200_000) > least
+    got = {r.doc_id: r.score for r in lm_score.score(docs, ~lm_score.held_out(10, 0), block_bytes=200_000).collect()}
+    assert got == pytest.approx(before)
+    cut = suffix_levels.repeated_bytes(docs, block_bytes=200_000)
+    assert {r.doc_id: tuple(r)[1:] for r in suffix_levels.digest(cut).collect()} == suffix_levels.brute_force(rows)
+
+
 def test_level_family_grows_geometrically():
     family = suffix_levels.LevelFamily()
     rng = np.random.default_rng(1)
