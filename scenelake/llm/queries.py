@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from scenelake.llm import adaptive_rules, decontaminate, license_scan, lm_score, ngram_join, packing, pii_weak, quality_pu, span_dedup, suffix_levels
+from scenelake.llm import adaptive_rules, conversation_trie, decontaminate, license_scan, lm_score, ngram_join, packing, pii_weak, quality_pu, secret_scan, span_dedup, suffix_levels, whitening
 from scenelake.llm.common import read
 
 QUERIES: dict = {}
@@ -88,3 +88,72 @@ def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES["op10_pii"] = op10_pii
+
+# --- 11 conversation prefix trie
+def op11_conversation_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return conversation_trie.build(read(spark, sf_dir, "conversations"))
+
+
+QUERIES["op11_conversation_prefix_trie"] = op11_conversation_prefix_trie
+# A node is the text of its turns here; the crc32 of an id is taken byte by byte.
+SQL["op11_conversation_prefix_trie"] = r"""
+WITH turns AS (
+  SELECT conv_id, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text) AS pos,
+    coalesce(role, '') AS role, coalesce(text, '') AS text
+  FROM conversations WHERE conv_id IS NOT NULL
+), convs AS (
+  SELECT conv_id, conv_id - conv_id % 20 AS base, list_reduce(
+    [4294967295] || list_transform(string_split(conv_id::VARCHAR, ''), lambda ch: ascii(ch)::BIGINT),
+    lambda crc, b: list_reduce([xor(crc, b), 0, 0, 0, 0, 0, 0, 0, 0], lambda c, z: xor(c >> 1, 3988292384 * (c & 1)))) AS inverted
+  FROM (SELECT DISTINCT conv_id FROM turns)
+), heads AS (
+  SELECT conv_id, base, xor(inverted, 4294967295) % 4 AS h FROM convs
+), rebuilt AS (
+  SELECT c.conv_id, t.pos, t.role, t.text FROM heads c JOIN turns t ON t.conv_id = c.base AND t.pos <= c.h
+  UNION ALL
+  SELECT c.conv_id, t.pos, t.role, t.text FROM heads c JOIN turns t ON t.conv_id = c.conv_id AND t.pos > c.h
+), numbered AS (
+  SELECT conv_id, row_number() OVER (PARTITION BY conv_id ORDER BY pos) AS depth, role, text FROM rebuilt
+), paths AS (
+  SELECT conv_id, depth, len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')) AS words,
+    sha256(string_agg(length(role) || ':' || role || length(text) || ':' || text, '' ORDER BY depth) OVER (PARTITION BY conv_id ORDER BY depth)) AS path
+  FROM (SELECT conv_id, depth, role, text FROM numbered)
+), members AS (
+  SELECT conv_id, depth, path, words FROM paths
+  UNION ALL SELECT conv_id, 0, '', 0 FROM heads
+), lengths AS (
+  SELECT conv_id, max(depth) AS turns FROM members GROUP BY conv_id
+), nodes AS (
+  SELECT m.path, m.depth, min(m.conv_id) AS conv_id, count(*) AS n_convs, any_value(m.words) AS words,
+    sha256(coalesce(string_agg(CASE WHEN l.turns = m.depth THEN m.conv_id::VARCHAR END, ',' ORDER BY m.conv_id), '')) AS ends_sha256
+  FROM members m JOIN lengths l USING (conv_id) GROUP BY m.path, m.depth
+), linked AS (
+  SELECT n.path, n.depth, n.conv_id, n.n_convs, n.words, n.ends_sha256, p.path AS parent_path, q.conv_id AS parent_conv_id
+  FROM nodes n LEFT JOIN members p ON p.conv_id = n.conv_id AND p.depth = n.depth - 1
+  LEFT JOIN nodes q ON q.path = p.path AND q.depth = p.depth
+), children AS (
+  SELECT parent_path, depth - 1 AS depth, count(*) AS n_children FROM linked WHERE depth > 0 GROUP BY ALL
+), counted AS (
+  SELECT l.*, coalesce(c.n_children, 0) AS n_children FROM linked l LEFT JOIN children c ON c.parent_path = l.path AND c.depth = l.depth
+), above AS (
+  SELECT m.path, m.depth, count(*) FILTER (WHERE c.n_children = 0) AS n_leaves, sum((c.n_convs - 1) * c.words) AS saved_tokens
+  FROM counted c JOIN members m ON m.conv_id = c.conv_id AND m.depth <= c.depth GROUP BY m.path, m.depth
+)
+SELECT c.conv_id::BIGINT AS conv_id, c.depth::BIGINT AS depth, c.parent_conv_id::BIGINT AS parent_conv_id, c.n_convs::BIGINT AS n_convs,
+  c.n_children::BIGINT AS n_children, a.n_leaves::BIGINT AS n_leaves, a.saved_tokens::BIGINT AS saved_tokens, c.ends_sha256
+FROM counted c JOIN above a ON a.path = c.path AND a.depth = c.depth
+"""
+
+# --- 12 secrets
+def op12_secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secret_scan.digest(secret_scan.find(read(spark, sf_dir, "documents")))
+
+
+QUERIES["op12_secret_scans"] = op12_secret_scans
+
+# --- 13 whitening of embeddings
+def op13_embedding_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whitening.whiten(read(spark, sf_dir, "embeddings"))
+
+
+QUERIES["op13_embedding_whitening"] = op13_embedding_whitening
