@@ -24,8 +24,8 @@ from scenelake.session import cut_lineage
 
 #: Conversations of one template share their first turns; turns that may be shared.
 FAMILY, MOST_SHARED = 20, 3
-#: Turns that a container may hold before it bursts.
-LIMIT = 4096
+#: Turns that a container may hold before it bursts, and tasks that the sequences of one container are dealt to until then.
+LIMIT, SALTS = 1024, 64
 #: Rows of a result batch, and ids whose decimal text is one piece of a hash.
 BATCH, PIECE = 20_000, 400
 
@@ -162,6 +162,13 @@ def _next_container(key: Column, turn: Column) -> Column:
     return F.md5(F.concat_ws(":", key, turn.cast("string")).cast("binary"))
 
 
+def _with_container(held: DataFrame, facts: DataFrame, how: str) -> DataFrame:
+    """Sequences with what is known of their container; those of one container meet its row in many tasks."""
+    spread = held.withColumn("salt", F.pmod(F.xxhash64("ids"), F.lit(SALTS)).cast("int"))
+    copies = facts.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    return spread.join(copies, ["key", "salt"], how).drop("salt")
+
+
 def _burst(held: DataFrame, limit: int) -> tuple[list[DataFrame], list[DataFrame]]:
     """Containers that stay, and the heads of each round.
 
@@ -172,7 +179,7 @@ def _burst(held: DataFrame, limit: int) -> tuple[list[DataFrame], list[DataFrame
     while True:
         sizes = held.groupBy("key").agg(F.sum(F.size("ids") - F.col("k") + 1).alias("turns"), F.count(F.lit(1)).alias("many"))
         large = sizes.where((F.col("turns") > limit) & (F.col("many") > 1)).select("key", F.lit(True).alias("large"))
-        marked = cut_lineage(held.join(large, "key", "left"))
+        marked = cut_lineage(_with_container(held, large, "left"))
         stay.append(marked.where("large is null").drop("large"))
         hot = marked.where("large").drop("large")
         if hot.isEmpty():
@@ -184,7 +191,7 @@ def _burst(held: DataFrame, limit: int) -> tuple[list[DataFrame], list[DataFrame
         same = F.zip_with(F.col("a.ids"), F.col("b"), lambda x, y: x.eqNullSafe(y))
         shared = both.withColumn("l", (F.array_position(same, False) - 1).cast("int"))
         shared = shared.select("key", "k", "up", "up_lo", "n", "lo", "l", F.slice("a.words", F.col("k"), F.col("l") - F.col("k") + 1).alias("chain"))
-        moved = cut_lineage(hot.join(shared.select("key", "l", F.col("lo").alias("head_lo")), "key"))
+        moved = cut_lineage(_with_container(hot, shared.select("key", "l", F.col("lo").alias("head_lo")), "inner"))
         ends = F.size("ids") == F.col("l")
         ended = moved.where(ends).select("key", "sha")
         heads.append(cut_lineage(shared.join(ended, "key", "left")))
