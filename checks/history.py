@@ -269,13 +269,13 @@ SQL["r12_land_change"] = sql(
       from f join y on f.query_id = y.query_id join geo on geo.target like 'land_use_change|' || y1 || '|' || y2 || '|%'
         and abs(geo.lat - lat0) <= km / 111e0 and abs(geo.lon - lon0) <= km / (cos(lat0 * pi() / 180e0) * 111e0) and ha >= least_ha)
     select query_id, target, scene_id, label, pixels, {sfixed('ha', 3)} as ha, {sfixed('dist', 3)} as km, y1 || '-' || y2 as temporal_persistence,
-      row_number() over (partition by query_id order by case crit when 1 then dist when 2 then -1e0 else -ha end, -ha, scene_id, label, target) as rank from c""",
+      row_number() over (partition by query_id order by case crit when 1 then round(dist, 3) when 2 then -1e0 else -ha end, -ha, scene_id, label, target) as rank from c""",
 )
 SQL["r12_land_search"] = sql(
     "px_time queries gaz",
     LAND_CTES
     + f"""select query_id, scene_id, label, pixels, {sfixed('ha', 3)} as ha, {sfixed('dist', 3)} as km, {sfixed('ratio')} as ratio,
-      row_number() over (partition by query_id order by case crit when 1 then dist when 2 then -ratio else -ha end, -ha, scene_id, label) as rank from c""",
+      row_number() over (partition by query_id order by case crit when 1 then round(dist, 3) when 2 then -ratio else -ha end, -ha, scene_id, label) as rank from c""",
 )
 
 
@@ -293,7 +293,7 @@ SQL["r12_followup"] = sql(
     "px_time queries gaz",
     LAND_CTES
     + """ , e as (select query_id as search_id, scene_id || '-' || label as cand_id, ha, ratio, dist, query_id % 3 as m from c)
-    select search_id, cand_id, ['area', 'nearest', 'persistence'][m + 1] as rule, row_number() over (partition by search_id order by case when m = 1 then dist else 0e0 end, cand_id) as position,
+    select search_id, cand_id, ['area', 'nearest', 'persistence'][m + 1] as rule, row_number() over (partition by search_id order by case when m = 1 then round(dist, 3) else 0e0 end, cand_id) as position,
       count(*) over (partition by search_id) as n, true as answered from e where (m <> 0 or ha >= 60) and (m <> 2 or ratio >= 0.8e0)""",
 )
 QUERIES["r12_land_search_answers"] = lambda spark, sf: _land(spark, sf).answers.select("query_id", "status", "candidates", fixed("total_hectares", 3).alias("ha"))

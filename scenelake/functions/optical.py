@@ -32,7 +32,7 @@ REFLECTANCE_LIMITS = {
 TARGET_LIMITS = {
     "trees": [
         [("g - r", ">", 2.0), ("g - b", ">", 0.0), ("excess green", ">", 4.0)],
-        [("luminance", ">", 20.0), ("luminance", "<", 75.0), ("g - r", ">=", -8.0), ("b", "<", 65.0)],
+        [("luminance", "<", 75.0), ("g - r", ">=", -8.0), ("b", "<", 65.0), ("luminance", ">", 20.0)],
     ],
     "track": [[("r", ">", 165.0), ("r - g", ">", 40.0), ("r - b", ">", 70.0)]],
     "sports": [

@@ -85,7 +85,7 @@ def rank_candidates(
 def nearest(cand: DataFrame, keys: Sequence[str] = ("search_id",), order: str = "cand_id") -> DataFrame:
     """Closest candidate of each search."""
     rest = [c for c in cand.columns if c not in keys]
-    far = F.coalesce("distance_km", F.lit(float("inf")))
+    far = F.coalesce(to_the_metre("distance_km"), F.lit(float("inf")))
     return cand.groupBy(*keys).agg(F.min_by(F.struct(*rest), F.struct(far, order)).alias("_best")).select(*keys, "_best.*")
 
 
@@ -99,13 +99,18 @@ def rollup(cand: DataFrame, keys: Sequence[str] = ("search_id",), order: str = "
     )
 
 
+def to_the_metre(km: str | Column) -> Column:
+    """Kilometres rounded to the metre: what the last bits of equal distances say must not decide an order."""
+    return F.round(F.col(km) if isinstance(km, str) else km, 3)
+
+
 def refine_candidates(
     cand: DataFrame, prompts: DataFrame, keys: Sequence[str] = ("search_id",), order: str = "cand_id"
 ) -> DataFrame:
     """Candidates after a follow-up prompt per search, with their position.
 
     The first rule that matches wins: minimum area keeps the large ones, nearest sorts by
-    distance, persistence keeps the lasting ones, else nothing changes.
+    distance to the metre (then by ``order``), persistence keeps the lasting ones, else nothing changes.
     """
     text = F.lower("prompt")
     area = F.nullif(F.regexp_extract(text, FOLLOWUP_AREA, 1), F.lit("")).cast("double")
@@ -121,7 +126,7 @@ def refine_candidates(
         ((F.col("rule") != "area") | (F.col("area_hectares") >= F.col("threshold")))
         & ((F.col("rule") != "persistence") | (F.col("persistence_ratio") >= PERSISTENT_RATIO))
     )
-    by = F.when(F.col("rule") == "nearest", F.col("distance_km")).otherwise(0.0)
+    by = F.when(F.col("rule") == "nearest", to_the_metre("distance_km")).otherwise(0.0)
     return rank_within(kept, keys, by, [order], out="position")
 
 

@@ -185,7 +185,7 @@ def _rank_by_request(cand: DataFrame) -> DataFrame:
     """Rank the candidates of each distinct request by its own criteria, in one pass."""
     by = F.col("ranking_criteria")
     first = (
-        F.when(by == "distance_asc", F.col("distance_km"))
+        F.when(by == "distance_asc", cd.to_the_metre("distance_km"))
         .when(by == "persistence_desc", -F.col("persistence_ratio"))
         .otherwise(-F.col("area_hectares"))
     )

@@ -2,6 +2,7 @@
 
 import datetime as dt
 import json
+import math
 import random
 
 import pytest
@@ -189,6 +190,20 @@ def test_followup_keeps_large_candidates(spark):
     assert "'b', 1.0 km" in cd.refine_reply(near).first()["reply"]
 
 
+def test_mirrored_regions_keep_the_order_of_their_ids(spark):
+    """Equal distances differ in the last bit only; ids decide, in the follow-up, the nearest one and the land search."""
+    from scenelake.plans.land_search import _rank_by_request
+
+    far = 4.6897768780715
+    rows = [(1, "73-12", 1.0, far, 1.0, "b", 5), (1, "48-42", 1.0, math.nextafter(far, 9), 1.0, "a", 4), (1, "9-1", 1.0, 1.0, 1.0, "c", 9)]
+    cand = spark.createDataFrame(rows, "search_id int, cand_id string, area_hectares double, distance_km double, persistence_ratio double, name string, label int")
+    near = cd.refine_candidates(cand, spark.createDataFrame([(1, "the closest one")], "search_id int, prompt string"))
+    assert [r["cand_id"] for r in near.orderBy("position").collect()] == ["9-1", "48-42", "73-12"]
+    assert cd.nearest(cand.filter("label < 9")).first()["cand_id"] == "48-42"
+    named = cand.selectExpr("1 as spec", "'distance_asc' as ranking_criteria", "*", "'t' as target", "label as scene_id")
+    assert [r["cand_id"] for r in _rank_by_request(named).orderBy("rank").collect()] == ["9-1", "48-42", "73-12"]
+
+
 def test_toolbox(spark):
     box = default_toolbox()
     box.register(Tool("Captioning", "replaced", [], ["SINGLE_CAPTION"], lambda df: df))
