@@ -17,6 +17,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from scenelake.session import cut_lineage
+
 #: Components at most, steps of the entries, and what is added to them.
 COMPONENTS = 32
 STEP, SHIFT = 64.0, 1_000_000
@@ -232,7 +234,7 @@ def _covariance(products: np.ndarray, rest: list[int], n: int) -> np.ndarray:
 
 def fit(vectors: DataFrame, k: int = COMPONENTS) -> dict | None:
     """n, sums, shift, values, directions and trace for a table of ``_v array<double>``; None without any usable vector."""
-    sums = vectors.mapInArrow(_sum_task, "dims int, n long, sums array<string>").withColumns({"n": F.col("n").cast("decimal(38,0)")})
+    sums = cut_lineage(vectors.mapInArrow(_sum_task, "dims int, n long, sums array<string>").withColumns({"n": F.col("n").cast("decimal(38,0)")}))
     counts = {r.dims: int(r.n) for r in sums.groupBy("dims").agg(F.sum("n").alias("n")).collect()}
     if not counts:
         return None
