@@ -36,15 +36,22 @@ class ByteTokenizer(dict):
 
     The vocabulary's own pattern always cuts before a blank between a non-blank and a word, so a text is split at
     blanks first and equal chunks are encoded once (this dict: chunk after a blank to ids). Texts with a blank
-    amid other white space are encoded whole.
+    amid other white space are encoded whole. A special token's literal is that token's id, and what stands before and
+    after it is encoded by itself.
     """
 
-    def __init__(self, vocabulary: str, pattern: str):
+    def __init__(self, vocabulary: str, pattern: str, special: dict[str, int] | None = None):
         import tiktoken
 
         super().__init__()
         with open(vocabulary, "rb") as lines:
             ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, lines)}
+        self._special = {literal: array("I", [i]) for literal, i in (special or {}).items()}
+        if sys.byteorder == "big":
+            for ids in self._special.values():
+                ids.byteswap()
+        longest = sorted(self._special, key=len, reverse=True)
+        self._literal = re.compile("(" + "|".join(map(re.escape, longest)) + ")") if longest else None
         self._encode = tiktoken.Encoding("packing", pat_str=pattern, mergeable_ranks=ranks, special_tokens={}).encode_ordinary
 
     def whole(self, text: str) -> bytes:
@@ -58,6 +65,12 @@ class ByteTokenizer(dict):
         return ids
 
     def encode(self, text: str) -> bytes:
+        if self._literal is None or not self._literal.search(text):
+            return self._plain(text)
+        parts = self._literal.split(text)
+        return b"".join(self._special[p].tobytes() if k % 2 else self._plain(p) for k, p in enumerate(parts))
+
+    def _plain(self, text: str) -> bytes:
         if _UNSURE.search(text):
             return self.whole(text)
         if len(self) > REMEMBERED:
@@ -66,7 +79,7 @@ class ByteTokenizer(dict):
         return self.whole(first) + b"".join([self[chunk] for chunk in rest])
 
 
-def token_pieces(docs: DataFrame, tokenizer: tuple[str, str], max_tokens: int = MAX_TOKENS, end_id: int = 0) -> DataFrame:
+def token_pieces(docs: DataFrame, tokenizer: tuple[str, str, dict[str, int]], max_tokens: int = MAX_TOKENS, end_id: int = 0) -> DataFrame:
     """doc_id, piece, start, length, ids_crc32: each text's ids, then ``end_id``, in pieces of ``max_tokens``.
 
     The first piece takes the odd rest, so that all further ones are full. A null text is empty: one piece
@@ -165,7 +178,7 @@ def pack(pieces: DataFrame, limit: int = MAX_TOKENS, group_pieces: int = GROUP_P
     return dealt.groupBy("_group").applyInArrow(run, schema)
 
 
-def pack_documents(docs: DataFrame, tokenizer: tuple[str, str], max_tokens: int = MAX_TOKENS) -> DataFrame:
+def pack_documents(docs: DataFrame, tokenizer: tuple[str, str, dict[str, int]], max_tokens: int = MAX_TOKENS) -> DataFrame:
     """Tokenise whole texts (null: empty) and pack the pieces; one row per piece. See ``token_pieces`` and ``pack``.
 
     Only doc_id and text are read, so further columns never clash; a null doc_id stays null.

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import json
+
 from pyspark.sql import DataFrame, SparkSession
 
 from scenelake.llm import adaptive_rules, conversation_trie, decontaminate, license_scan, lm_score, ngram_join, packing, pii_weak, quality_pu, secret_scan, span_dedup, suffix_levels, whitening
@@ -11,11 +13,13 @@ QUERIES: dict = {}
 SQL: dict[str, str] = {}
 
 
-def tokenizer() -> tuple[str, str]:
-    """Vocabulary file (as ranks) and cutting pattern of the public 50k byte-level vocabulary."""
+def tokenizer() -> tuple[str, str, dict[str, int]]:
+    """Vocabulary file (as ranks), cutting pattern and special tokens of the public 50k byte-level vocabulary."""
     import public_tokenizers
 
-    return public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN
+    with open(public_tokenizers.path("byte_bpe_50k.json"), encoding="utf-8") as file:
+        special = {t["content"]: t["id"] for t in json.load(file)["added_tokens"]}
+    return public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN, special
 
 
 # --- 1 n-gram Jaccard join

@@ -245,13 +245,22 @@ def test_quality_scores(spark, none, odd):
     assert {r.score for r in quality_pu.score(odd, labels.limit(0)).collect()} == {0.5}
 
 
+@pytest.mark.parametrize("text", ["a <|endoftext|> b", "<|endoftext|>", "x<|endoftext|><|endoftext|>  y\n<|endoftext|>", "<|endoftext| > <|endoftext|", "é<|endoftext|>\n\n z"])
+def test_special_literals_are_tokens(text):
+    from tokenizers import Tokenizer
+
+    import public_tokenizers
+
+    exact = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
+    assert np.frombuffer(packing.ByteTokenizer(*tokenizer()).encode(text), "<u4").tolist() == exact.encode(text, add_special_tokens=False).ids
+
+
 def test_packing_round_trip(docs, none, odd, rows):
     from tokenizers import Tokenizer
 
     import public_tokenizers
 
     exact = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
-    exact.encode_special_tokens = True
     got = packing.pack_documents(docs, tokenizer(), 256).collect()
     pieces = {}
     for r in got:
