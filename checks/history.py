@@ -308,9 +308,9 @@ SQL["r12_land_search_answers"] = sql(
 
 
 
-def _retrieval(spark, sf):
+def _retrieval(spark, sf, years=20):
     scenes = v.catalog(spark, sf).withColumns(
-        {"x0": F.lit(74.0) + (F.col("ord") % 25) * 0.4, "y0": F.lit(9.0) + (F.col("ord") % 25) * 0.5, "acquired_at": F.col("acquired_at") + F.expr("interval 20 year")}
+        {"x0": F.lit(74.0) + (F.col("ord") % 25) * 0.4, "y0": F.lit(9.0) + (F.col("ord") % 25) * 0.5, "acquired_at": F.col("acquired_at") + F.expr(f"interval {years} year")}
     )
     scenes = scenes.withColumn("x1", F.col("x0") + 1.0 + F.col("w") * 0.05).withColumn("y1", F.col("y0") + 1.0 + F.col("w") * 0.05)
     return retrieve_pairs(v.queries(spark, sf), scenes, v.gaz(spark, sf), max_cloud=60.0, window_days=400)

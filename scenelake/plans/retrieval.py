@@ -10,11 +10,13 @@ from scenelake.operators.catalog import days_apart, scene_score
 from scenelake.operators.change import CHANGE_THRESHOLD, DEFAULT_GSD_M
 from scenelake.operators.overlap import scene_aoi_overlap
 from scenelake.operators.query_text import parse_retrieval_queries
-from scenelake.operators.ranking import top_one
 from scenelake.plans.change_job import detect_change
 from scenelake.session import cut_lineage
 
 AOI_HALF_DEGREES = 0.06
+# Tasks and sensor names of parsed requests.
+CHANGE_TASK, RADAR_TASK = "Bi-Temporal Change Analysis", "SAR Radar Analysis"
+OPTICAL_SENSOR = "Sentinel-2 MSI"
 
 
 def retrieve_pairs(
@@ -31,7 +33,9 @@ def retrieve_pairs(
     ``scenes``: product_id, product_type, sensor, collection, acquired_at, cloud, ord and the
     box x0, y0, x1, y1. Coverage is measured, not assumed. Scenes meet distinct places by the
     footprint join and are folded to the best one per place, sensor and date by aggregation;
-    requests only look that up, so equal requests cost nothing extra.
+    requests only look that up, so equal requests cost nothing extra. Requests for radar get, as
+    ``partner``, the best optical scene of the same place and date as well. Each side has the number of scenes that
+    were weighed for it, and the row has the requested box x0, y0, x1, y1.
     """
     parsed = parse_retrieval_queries(queries, gaz).filter("lat is not null")
     spec = ["lat", "lon", "sensor", "task", "date_a", "date_b"]
@@ -50,10 +54,11 @@ def retrieve_pairs(
     )
     scene = fit.select("product_id", "product_type", "sensor", "acquired_at", "cloud", "ord")
     sides = F.array(
-        F.struct(F.lit("before").alias("side"), F.col("date_a").alias("target_date")),
-        F.struct(F.lit("after").alias("side"), F.col("date_b").alias("target_date")),
+        F.struct(F.lit("before").alias("side"), F.col("sensor"), F.col("date_a").alias("target_date")),
+        F.struct(F.lit("after").alias("side"), F.col("sensor"), F.col("date_b").alias("target_date")),
+        F.struct(F.lit("partner").alias("side"), F.when(F.col("task") == RADAR_TASK, OPTICAL_SENSOR).alias("sensor"), F.col("date_a").alias("target_date")),
     )
-    dated = wanted.select("spec", "sensor", "task", F.concat_ws("|", "x0", "y0", "x1", "y1").alias("place"), F.inline(sides))
+    dated = wanted.select("spec", F.concat_ws("|", "x0", "y0", "x1", "y1").alias("place"), F.inline(sides)).filter("sensor is not null")
     # A target date is needed by many requests of a place: scenes are scored once for it.
     goals = dated.select("place", "sensor", "target_date").distinct()
     # Scenes meet only the dates of their own and the next date buckets, not all dates of a place.
@@ -63,20 +68,20 @@ def retrieve_pairs(
     placed = met.join(scene.withColumn("slot", slot("acquired_at")), "product_id")
     met_dates = placed.join(goals.withColumn("slot", around), ["place", "sensor", "slot"])
     scored = met_dates.filter(near).withColumn("score", scene_score("target_date"))
-    best = top_one(
-        scored.select("place", "sensor", "target_date", "product_id", "acquired_at", "score", "ord"),
-        ["place", "sensor", "target_date"],
-        [F.col("score"), -F.col("ord")],
-    )
+    picked = F.max_by(F.struct("product_id", "acquired_at", "score"), F.struct(F.col("score"), -F.col("ord")))
+    best = scored.groupBy("place", "sensor", "target_date").agg(picked.alias("_best"), F.count("*").alias("weighed"))
+    best = best.select("place", "sensor", "target_date", "_best.*", "weighed")
     chosen = dated.join(best, ["place", "sensor", "target_date"])
 
     def pick(side: str, name: str) -> Column:
         return F.max(F.when(F.col("side") == side, F.col(name))).alias(f"{side}_{name}")
 
-    paired = chosen.groupBy("spec").agg(*[pick(s, n) for s in ("before", "after") for n in ("product_id", "acquired_at", "score")])
-    out = asked.select("query_id", "task", "spec").join(paired, "spec").drop("spec")
-    single = F.col("task") != "Bi-Temporal Change Analysis"
-    return out.withColumns({f"after_{n}": F.when(~single, F.col(f"after_{n}")) for n in ("product_id", "acquired_at", "score")})
+    facts = ("product_id", "acquired_at", "score", "weighed")
+    paired = chosen.groupBy("spec").agg(*[pick(s, n) for s in ("before", "after", "partner") for n in facts])
+    boxes = wanted.select("spec", "x0", "y0", "x1", "y1")
+    out = asked.select("query_id", "task", "spec").join(paired.join(boxes, "spec"), "spec").drop("spec")
+    change = F.col("task") == CHANGE_TASK
+    return out.withColumns({f"after_{n}": F.when(change, F.col(f"after_{n}")) for n in facts})
 
 
 def retrieve_change(

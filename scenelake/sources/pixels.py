@@ -48,3 +48,27 @@ def write_pixels(px: DataFrame, path: str, partition_by: Sequence[str] = ("colle
     laid = px.withColumn("_rb", row_block).withColumn("_cb", col_block)
     order = [*partition_by, "scene_id", "_rb", "_cb"]
     laid.repartitionByRange(*order).sortWithinPartitions(*order).drop("_rb", "_cb").write.partitionBy(*partition_by).parquet(path)
+
+
+def write_pixel_blocks(px: DataFrame, path: str, parts: int = 64, block: int = 256, key: str = "product_id") -> None:
+    """Write pixels in folders by a hash of their product, sorted by product and block.
+
+    A join with a list of (product, block) rows then reads only the folders of the listed products, found while the
+    job runs, and skips by file statistics what lies beside the blocks.
+    """
+    laid = px.withColumns(
+        {
+            "block_row": F.floor(F.col("row") / block).cast("int"),
+            "block_col": F.floor(F.col("col") / block).cast("int"),
+            "product_part": F.pmod(F.xxhash64(key), F.lit(parts)).cast("int"),
+        }
+    )
+    order = ["product_part", key, "block_row", "block_col"]
+    laid.repartitionByRange(*order).sortWithinPartitions(*order).write.partitionBy("product_part").option("parquet.block.size", 32 << 20).parquet(path)
+
+
+def read_pixel_blocks(spark: SparkSession, path: str, parts: int = 64) -> DataFrame:
+    """A table of ``write_pixel_blocks``; ``parts`` must be the number it was written with."""
+    part = F.col("product_part").cast("int").alias("product_part", metadata={"parts": parts})
+    px = spark.read.parquet(path)
+    return px.select(*[part if c == "product_part" else F.col(c) for c in px.columns])
