@@ -164,6 +164,25 @@ SQL["j5_geocode_substring"] = sql(
     f"""with {Q}, m as (select query_id, key, ord, row_number() over (partition by query_id order by ord) as rn from q join gaz on contains(q, key))
     select q.query_id, key, ord from q left join m on q.query_id = m.query_id and rn = 1""",
 )
+
+
+def _document_places(spark, sf):
+    """Whole documents against the first two words of every benchmark item."""
+    first = F.lower(F.regexp_extract("text", r"([A-Za-z]+ [A-Za-z]+)", 1))
+    gaz = v.table(spark, sf, "benchmark").select(first.alias("key"), F.col("item_id").alias("ord"), first.alias("name"), F.lit(1.0).alias("lat"), F.lit(2.0).alias("lon"))
+    docs = v.table(spark, sf, "documents").select("doc_id", "text")
+    return gazetteer.match_places(docs, gaz).select("doc_id", F.col("place.key").alias("key"), F.col("place.ord").alias("ord"))
+
+
+QUERIES["j5_geocode_documents"] = _document_places
+SQL["j5_geocode_documents"] = r"""
+    with g as (select lower(regexp_extract(text, '([A-Za-z]+ [A-Za-z]+)', 1)) as key, item_id as ord from benchmark where regexp_matches(text, '[A-Za-z]+ [A-Za-z]+')),
+    low as materialized (select doc_id, lower(text) as t from documents),
+    pair as materialized (select doc_id, key, ord, string_split(t, key) as parts from low join g on contains(t, key)),
+    near as (select doc_id, key, ord, unnest(parts[:-2]) as before, unnest(parts[2:]) as after from pair),
+    m as (select doc_id, key, ord, row_number() over (partition by doc_id order by ord, key) as rn from
+      (select distinct doc_id, key, ord from near where not regexp_matches(right(before, 1), '[\pL\pN_]') and not regexp_matches(left(after, 1), '[\pL\pN_]')))
+    select d.doc_id, key, ord from documents d left join m on d.doc_id = m.doc_id and rn = 1"""
 QUERIES["s4_gazetteer"] = lambda spark, sf: gazetteer.geocode(
     v.queries(spark, sf).withColumn("text", F.concat("text", F.lit(" by "), F.element_at(F.array(*[F.lit(x) for x in NAMED]), (F.col("query_id") % 8 + 1).cast("int")))),
     places(spark),

@@ -1,6 +1,9 @@
 """Field extraction, routing, box parsing and reports on known sentences."""
 
 import json
+import random
+import re
+import time
 
 import pytest
 from pyspark.sql import functions as F
@@ -179,3 +182,24 @@ def test_reports(spark):
     assert "Evidence" not in short and "Trace" not in short
     doc = json.loads(hs.render_reports(analyses, evidence, trace, fmt="json", include_trace=False).first()["content"])
     assert doc["evidence"][0]["title"] == "Title" and doc["execution_trace"] == [] and doc["analyst_notes"]
+
+
+def test_places_in_long_texts(spark):
+    """Both modes against a plain search, with keys of several words, edges and odd letters; long texts take seconds."""
+    rng = random.Random(9)
+    keys = ["new york", "york", "st. john's", "san josé", "são", "(old) town", "c++", "the a-b c", "new", "_x", "a", "ab", "—"]
+    gaz = spark.createDataFrame([(k.lower(), i, k, 1.0, 2.0) for i, k in enumerate(keys)] + [("york", 1, "again", 3.0, 4.0)], "key string, ord int, name string, lat double, lon double")
+    bits = [*keys, "yorker", "x", " ", "  ", ".", "-", "_", "\n", "é", "1", "old", "town", "san", "josé"]
+    texts = ["".join(rng.choice(bits) + rng.choice(["", " ", " "]) for _ in range(rng.randrange(1, 9))) for _ in range(300)] + ["", None, "c++", "c++x", "xc++", "(old) town", "new york"]
+    df = spark.createDataFrame(list(enumerate(texts)), "i int, text string")
+    for mode in ("word", "contains"):
+        got = {r["i"]: r["place"] and r["place"]["key"] for r in gazetteer.match_places(df, gaz, mode=mode).collect()}
+        for i, t in enumerate(texts):
+            low = (t or "").lower()
+            hit = [k for k in (k.lower() for k in keys) if (re.search(rf"(?<!\w){re.escape(k)}(?!\w)", low) and re.search(r"\w", k) if mode == "word" else k in low)]
+            assert got[i] == (hit[0] if hit else None), (mode, t)
+    words = [f"w{rng.randrange(5000)}" for _ in range(20_000)]
+    long = spark.createDataFrame([(k, " ".join([*words[k:], "new york"])) for k in range(8)], "i int, text string")
+    began = time.time()
+    assert {r["place"]["key"] for r in gazetteer.match_places(long, gaz).collect()} == {"new york"}
+    assert time.time() - began < 40
