@@ -72,3 +72,26 @@ def read_pixel_blocks(spark: SparkSession, path: str, parts: int = 64) -> DataFr
     part = F.col("product_part").cast("int").alias("product_part", metadata={"parts": parts})
     px = spark.read.parquet(path)
     return px.select(*[part if c == "product_part" else F.col(c) for c in px.columns])
+
+
+#: Keys of a pixel join between bucketed tables.
+BLOCK_KEYS = ("scene_id", "block_row", "block_col", "row", "col")
+
+
+def write_pixel_buckets(px: DataFrame, table: str, path: str, buckets: int = 64, block: int = 256) -> None:
+    """Save pixels as a table bucketed by scene and block, sorted by cell, one file a bucket.
+
+    Blocks of one scene lie in different buckets, so a scene with most of the pixels is spread. Two dates, or two
+    sensors, written with the same numbers meet in ``pair_pixels`` and ``pair_modalities`` on ``BLOCK_KEYS`` without a
+    shuffle once ``join_by_bucket`` has been called for the session.
+    """
+    blocks = {"block_row": F.floor(F.col("row") / block).cast("int"), "block_col": F.floor(F.col("col") / block).cast("int")}
+    keys = BLOCK_KEYS[:3]
+    laid = px.withColumns(blocks).repartition(buckets, *keys)
+    laid.write.bucketBy(buckets, *keys).sortBy(*BLOCK_KEYS).option("path", path).format("parquet").saveAsTable(table)
+
+
+def join_by_bucket(spark: SparkSession) -> None:
+    """Let the session join on more columns than a table is bucketed by without a new shuffle, and keep AQE from giving the buckets up."""
+    spark.conf.set("spark.sql.requireAllClusterKeysForCoPartition", "false")
+    spark.conf.set("spark.sql.sources.bucketing.autoBucketedScan.enabled", "true")
