@@ -8,7 +8,7 @@ from checks import views as v
 from checks.views import fixed, sfixed, sql
 from scenelake.functions import crs
 from scenelake.functions import geometry as geo
-from scenelake.operators import overlap, raster
+from scenelake.operators import cover, overlap, raster
 
 QUERIES: dict = {}
 SQL: dict[str, str] = {}
@@ -102,6 +102,13 @@ SQL["p5_crop_polygon"] = sql(
 )
 
 
+# The same polygons by a cover of cells: blocks of 4 pixels, cut down to 2.
+QUERIES["p5_crop_cells"] = lambda spark, sf: cover.crop_by_cover(
+    v.px_grid(spark, sf).drop("mask"), grid_headers(spark, sf), _crop_areas(spark, sf), envelope=False, block=4, leaf=2
+).pixels
+SQL["p5_crop_cells"] = SQL["p5_crop_polygon"]
+
+
 def _geojson_areas(spark, sf, kind: str, boxes):
     """Areas written as GeoJSON: one ring per box, as parts or as an outer ring with a hole."""
     i = F.col("vec_id")

@@ -78,6 +78,18 @@ def crop(px: DataFrame, headers: DataFrame, aoi: DataFrame | Sequence, envelope:
     arithmetic; pixels meet the ring test only after the row and column range. A raster that
     is turned against its axes (affine terms b, d) is an error.
     """
+    windows = area_windows(headers, aoi)
+    x, y = geo.pixel_to_geo("row", "col")
+    inside = (
+        px.join(windows.select("scene_id", "a", "c", "e", "f", "rings", "row0", "row1", "col0", "col1"), "scene_id")
+        .filter("row >= row0 and row < row1 and col >= col0 and col < col1")
+        .filter(geo.point_in_rings(x, y, "rings"))
+    )
+    return cropped(inside, windows, px.columns, headers.columns, envelope)
+
+
+def area_windows(headers: DataFrame, aoi: DataFrame | Sequence) -> DataFrame:
+    """Headers with the area of their scene as ``rings`` in the scene's system and the window row0, row1, col0, col1 around it."""
     if isinstance(aoi, DataFrame):
         rings = F.col("rings") if "rings" in aoi.columns else F.array("ring")
         areas = headers.join(aoi.select("scene_id", rings.alias("rings")), "scene_id")
@@ -102,12 +114,11 @@ def crop(px: DataFrame, headers: DataFrame, aoi: DataFrame | Sequence, envelope:
             "col1": window(F.ceil(F.greatest(col_a, col_b)), "width"),
         }
     ).filter("row1 > row0 and col1 > col0")
-    x, y = geo.pixel_to_geo("row", "col")
-    inside = (
-        px.join(windows.select("scene_id", "a", "c", "e", "f", "rings", "row0", "row1", "col0", "col1"), "scene_id")
-        .filter("row >= row0 and row < row1 and col >= col0 and col < col1")
-        .filter(geo.point_in_rings(x, y, "rings"))
-    )
+    return windows
+
+
+def cropped(inside: DataFrame, windows: DataFrame, columns: Sequence[str], header_columns: Sequence[str], envelope: bool) -> Cropped:
+    """Pixels inside and headers, both counted from the window's corner if ``envelope``."""
     if envelope:
         moved = {"row": F.col("row") - F.col("row0"), "col": F.col("col") - F.col("col0")}
         new = windows.withColumns(
@@ -120,8 +131,8 @@ def crop(px: DataFrame, headers: DataFrame, aoi: DataFrame | Sequence, envelope:
         )
     else:
         moved, new = {}, windows
-    pixels = inside.withColumns(moved).select(*px.columns)
-    return Cropped(pixels, new.select(*headers.columns))
+    pixels = inside.withColumns(moved).select(*columns)
+    return Cropped(pixels, new.select(*header_columns))
 
 
 def _stride(size: int, overlap: int) -> int:
