@@ -35,7 +35,7 @@ from scenelake.session import cut_lineage
 WIDTH = 100
 #: Length of the strings from which a window's anchor is taken.
 SEED = 40
-BLOCK_BYTES = 4 << 20
+BLOCK_BYTES = 2 << 20
 #: Segments looked into at once.
 SLICE = 1 << 12
 #: Blocks that one task lays out, about.
