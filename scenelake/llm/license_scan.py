@@ -7,6 +7,8 @@ is calibrated on notices that the fit has not seen. A prediction counts once a t
 
 from __future__ import annotations
 
+import re
+
 from pyspark.ml.classification import LogisticRegression
 from pyspark.ml.feature import CountVectorizer
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -187,6 +189,22 @@ class LicenseModel:
         self.families, self.weights, self.intercepts, self.cutoff = families, weights, intercepts, cutoff
 
 
+def starts_with_any(words: list[str]) -> str:
+    """Pattern of a word start followed by any of the words, common beginnings written once; for lower-cased text.
+
+    Wherever a word of ``_words`` equals one of ``words`` it matches, so it only spares lines without them the cut.
+    """
+
+    def tree(rest: list[str]) -> str:
+        if "" in rest:
+            return ""
+        heads = sorted({w[0] for w in rest})
+        parts = [re.escape(h) + tree([w[1:] for w in rest if w[0] == h]) for h in heads]
+        return parts[0] if len(parts) == 1 else "(?:" + "|".join(parts) + ")"
+
+    return r"(?<![a-z0-9.\-])" + tree(sorted(set(words))) if words else "$^"
+
+
 def paragraphs(docs: DataFrame) -> DataFrame:
     """doc_id, h (hash of the text), par, p: the lines of every whole text that hold a word; null texts have none."""
     lines = docs.select("doc_id", F.xxhash64(F.coalesce("text", F.lit(""))).alias("h"), F.posexplode(F.split(F.coalesce("text", F.lit("")), "\n")).alias("par", "p"))
@@ -246,8 +264,10 @@ def scan(docs: DataFrame, sample: int = CORPUS_SAMPLE) -> DataFrame:
     templates = _template_table(spark)
     known = model.weights.select("g").unionByName(templates.select("g")).distinct()
     # paragraphs that hold no word of any known run have no feature at all; the notices fix the number of these words
-    anchors = F.array(*[F.lit(w) for w in anchor_words([r["g"] for r in known.collect()])])
-    lines = paragraphs(docs)
+    telling = anchor_words([r["g"] for r in known.collect()])
+    anchors = F.array(*[F.lit(w) for w in telling])
+    tag = F.lower("p").contains("spdx-license-identifier")
+    lines = paragraphs(docs).filter(F.lower("p").rlike(starts_with_any(telling)) | tag)
     tagged = lines.filter(F.lower("p").contains("spdx-license-identifier")).select("doc_id", "h", "par", _tagged(F.col("p")).alias("family"))
     worded = lines.filter(~F.lower("p").contains("spdx-license-identifier")).select("doc_id", "h", "par", _words(F.col("p")).alias("words"))
     grams = worded.filter(F.arrays_overlap("words", anchors)).select("doc_id", "h", "par", _named(F.col("words")).alias("named"), _grams(F.col("words")).alias("gs"))

@@ -245,6 +245,20 @@ def test_quality_scores(spark, none, odd):
     assert {r.score for r in quality_pu.score(odd, labels.limit(0)).collect()} == {0.5}
 
 
+def test_license_prefilter_spares_no_line_with_an_anchor(spark):
+    """Lines that hold an anchor among their words always match the pattern that is tried first."""
+    from pyspark.sql import functions as F
+
+    rng = random.Random(8)
+    anchors = ["license", "licensed", "mit", "gpl", "2.0", "by-nc", "apache"]
+    bits = [*anchors, "x", " ", " ", ".", "-", ",", "(", "é", "MIT", "License", "licens", "\t", "3", "/"]
+    df = spark.createDataFrame([("".join(rng.choice(bits) for _ in range(rng.randrange(1, 9))),) for _ in range(2000)], "p string")
+    kept = F.lower("p").rlike(license_scan.starts_with_any(anchors))
+    words = F.arrays_overlap(license_scan._words(F.col("p")), F.array(*[F.lit(a) for a in anchors]))
+    counts = df.select(F.count_if(words & ~kept), F.count_if(words), F.count_if(~kept)).first()
+    assert counts[0] == 0 and counts[1] > 100 and counts[2] > 100
+
+
 @pytest.mark.parametrize("text", ["a <|endoftext|> b", "<|endoftext|>", "x<|endoftext|><|endoftext|>  y\n<|endoftext|>", "<|endoftext| > <|endoftext|", "é<|endoftext|>\n\n z"])
 def test_special_literals_are_tokens(text):
     from tokenizers import Tokenizer
