@@ -175,6 +175,12 @@ def _reply(rows: list[tuple], flags: list[np.ndarray]) -> pa.Table:
     )
 
 
+def _tidy(result: pa.Table) -> pa.Table:
+    """Hand memory of a finished group back, so that a worker does not keep the most that any group took."""
+    pa.default_memory_pool().release_unused()
+    return result
+
+
 def _answer(table: pa.Table) -> pa.Table:
     """Kind 0: which keys lie in a block before. Kind 1: which anchors have several segments anywhere."""
     asked = sorted(zip(*(table.column(c).to_pylist() for c in ("kind", "block", "part", "keys", "extra"))), key=lambda r: r[:3])
@@ -190,7 +196,7 @@ def _answer(table: pa.Table) -> pa.Table:
         np.maximum.at(high, at, prints)
         several = (low != high) | (low == 0)
         flags = np.split(several[at], np.cumsum([len(k) for k in keys])[:-1])
-    return _reply([(r[2], r[1], r[0]) for r in asked], flags)
+    return _tidy(_reply([(r[2], r[1], r[0]) for r in asked], flags))
 
 
 def _flags(table: pa.Table, kind: int) -> np.ndarray:
@@ -315,12 +321,12 @@ def repeated_bytes(docs: DataFrame, width: int = WIDTH, seed: int = SEED, block_
         _, seg = load(table)
         judged, b = _Judged(seg, None), key[0].as_py()
         sent = [*_send(b, 0, judged.keys, None, parts), *_send(b, 1, judged.anchors, judged.own, parts)]
-        return pa.Table.from_batches(sent)
+        return _tidy(pa.Table.from_batches(sent))
 
     def ask_windows(key: tuple, left: pa.Table, right: pa.Table) -> pa.Table:
         _, seg = load(left)
         _, prints = seg.windows(_Judged(seg, right).ask)
-        return pa.Table.from_batches(list(_send(key[0].as_py(), 0, np.unique(prints), None, parts)))
+        return _tidy(pa.Table.from_batches(list(_send(key[0].as_py(), 0, np.unique(prints), None, parts))))
 
     def finish(left: pa.Table, right: pa.Table) -> pa.Table:
         table, seg = load(left)
