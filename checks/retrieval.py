@@ -6,7 +6,11 @@ from pyspark.sql import functions as F
 
 from checks import views as v
 from checks.history import R13_CTES, _retrieval
+from checks.pairs import DELTA
+from checks.texts import Q, has
 from checks.views import fixed, sfixed, sql
+from scenelake.operators import query_text as qt
+from scenelake.operators.change import index_change
 from scenelake.plans.retrieval_answers import answer_requests
 
 QUERIES: dict = {}
@@ -109,3 +113,28 @@ SQL["r13_trace"] = sql(
       case step when 3 then 'Chosen: ' || coalesce(first_product, 'none') || ', ' || coalesce(second_product, 'none') || '.' when 4 then coalesce(pixels, 0) || ' pixels in the box.' end as text
       from answered, generate_series(1, 5) t(step)""",
 )
+
+
+# --- Q4 sentences on change by topic
+def _described_change(spark, sf):
+    pairs = v.px_ms_pair(spark, sf)
+    many = pairs.agg(F.max("scene_id")).first()[0]
+    asked = v.queries(spark, sf).select(
+        "query_id", "text", (F.col("query_id") % many + 1).alias("scene_id"), F.lit("Somewhere, District").alias("location"), (F.col("query_id") % 9 + 0.5).alias("area_km2"),
+        F.lit("2020-01-15T05:00:00").alias("before_date"), F.lit("2024-01-15T05:00:00").alias("after_date"),
+    )
+    told = qt.describe_change(asked.join(index_change(pairs, "ndvi"), "scene_id"))
+    lead = F.concat(F.lit("Between 2020-01-15 and 2024-01-15 in Somewhere, "), "topic", F.lit(" gained on "))
+    return told.select("query_id", "topic", *[fixed(f"{n}_km2").alias(f"{n}_km2") for n in ("improved", "stable", "declined")], F.col("answer").startswith(lead).alias("well_said"))
+
+
+QUERIES["q4_describe_change"] = _described_change
+SQL["q4_describe_change"] = sql(
+    "queries px_ms_pair",
+    f"""with {Q}, {DELTA}, g as (select scene_id, avg(case when delta > 0.1e0 then 100e0 else 0e0 end) as up, avg(case when delta between -0.1e0 and 0.1e0 then 100e0 else 0e0 end) as same,
+      avg(case when delta < -0.1e0 then 100e0 else 0e0 end) as down from d group by 1),
+    t as (select query_id, query_id % 9 + 0.5e0 as size, query_id % (select max(scene_id) from px_ms_pair) + 1 as scene_id,
+      case when {has(qt.TOPIC_WORDS['built'])} then 'built' when {has(qt.TOPIC_WORDS['vegetation'])} then 'vegetation' when {has(qt.TOPIC_WORDS['water'])} then 'water' else 'general' end as topic from q)
+    select query_id, topic, {sfixed('up / 100e0 * size')} as improved_km2, {sfixed('same / 100e0 * size')} as stable_km2, {sfixed('down / 100e0 * size')} as declined_km2, true as well_said
+      from t join g using (scene_id)""",
+)
