@@ -29,7 +29,7 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from scenelake.llm.common import BUFFER_BYTES, RollingHash, hash_ranges, joined, shuffle_parts, sliding_min, text_blocks
+from scenelake.llm.common import BUFFER_BYTES, RollingHash, hash_ranges, joined, mix, shuffle_parts, sliding_min, text_blocks
 from scenelake.session import cut_lineage
 
 WIDTH = 100
@@ -210,7 +210,8 @@ class _Judged:
 
     def __init__(self, seg: Segments, answers: pa.Table | None):
         self.keys, first, at = _first_of(seg.print)
-        self.anchors, _, which = _first_of(seg.anchor)
+        # least hashes are all small: spread over the whole range of keys before they are dealt to hash ranges
+        self.anchors, _, which = _first_of(mix(seg.anchor))
         if answers is None:
             lead = first
             anchor_of = which[lead]

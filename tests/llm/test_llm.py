@@ -420,6 +420,15 @@ def test_hash_ranges_grow_with_the_text(docs, rows, monkeypatch):
     assert {r.doc_id: tuple(r)[1:] for r in suffix_levels.digest(cut).collect()} == suffix_levels.brute_force(rows)
 
 
+def test_suffix_anchors_are_dealt_evenly():
+    """Anchors are least hashes, all of them small; as keys they must not all meet in the first hash range."""
+    texts = [prose(i, 400, 10**6).encode() for i in range(80)]
+    judged = suffix_levels._Judged(suffix_levels.Segments(texts, suffix_levels.WIDTH, suffix_levels.SEED), None)
+    for keys in (judged.keys, judged.anchors):
+        sizes = np.diff(suffix_levels._cuts(keys, 32))
+        assert sizes.max() < 2 * sizes.mean()
+
+
 def test_level_family_grows_geometrically():
     family = suffix_levels.LevelFamily()
     rng = np.random.default_rng(1)
