@@ -241,10 +241,44 @@ def test_quality_scores(spark, none, odd):
     assert sum(right) / len(right) > 0.95
     kept = quality_pu.keep_good(table, labels)
     assert kept.columns == table.columns and {r.doc_id for r in kept.collect()} == {i for i, r in got.items() if r.predicted}
+    assert quality_pu.keep_good(none, labels).count() == 0 and quality_pu.keep_good(odd, labels.limit(0)).count() == 6
     assert quality_pu.score(none, labels).count() == 0
     assert {r.score for r in quality_pu.score(odd, labels.limit(0)).collect()} == {0.5}
 
 
+def _plain_risk(w, p, u, prior):
+    """Risk of the weights and its gradient, in plain numpy over all rows."""
+    loss = lambda z: np.logaddexp(0, z).mean()
+    negative = loss(u @ w) - prior * loss(p @ w)
+    share = 1 / (1 + np.exp(-negative / quality_pu.BEND))
+    pulled = u.T @ quality_pu._sigmoid(u @ w) / len(u) - prior * p.T @ quality_pu._sigmoid(p @ w) / len(p)
+    gradient = -prior * p.T @ quality_pu._sigmoid(-p @ w) / len(p) + share * pulled + quality_pu.RIDGE * w
+    return prior * loss(-p @ w) + quality_pu.BEND * np.logaddexp(0, negative / quality_pu.BEND) + quality_pu.RIDGE / 2 * w @ w, gradient
+
+
+def test_quality_risk_is_over_all_rows(spark):
+    """Knots, prior and weights against plain numpy on all rows: no other weights found by plain descent have less risk."""
+    rng = np.random.default_rng(4)
+    good = rng.random(3000) < 0.6
+    m = np.abs(rng.normal(np.where(good, 0.3, 0.7)[:, None], 0.15, (3000, len(quality_pu.MEASURES)))).astype(np.float32)
+    m[:, 5:] = rng.random((3000, m.shape[1] - 5))
+    table = spark.createDataFrame([(i, x) for i, x in enumerate(m.tolist())], "doc_id long, m array<float>").repartition(4)
+    labels = spark.createDataFrame([(i, 1) for i in range(3000) if good[i] and i % 3 == 0], "doc_id long, quality int")
+    model = quality_pu.learn(table, labels, quality_pu.held_out(1, 0))
+    for (values, counts), column in zip(quality_pu.Unlabelled(table).histograms(), m.T):
+        assert counts.sum() == 3000 and np.allclose(np.repeat(values, counts.astype(int)), np.sort(column), rtol=2**-8)
+    assert model.prior == pytest.approx(good.mean(), abs=0.12)
+    u = quality_pu.Model.basis(m.astype(float), model.knots, model.scale)
+    p = u[[i for i in range(3000) if good[i] and i % 3 == 0]]
+    w = np.zeros(u.shape[1])
+    for _ in range(1500):
+        w -= 0.1 * _plain_risk(w, p, u, model.prior)[1]
+    risk, gradient = _plain_risk(model.weights, p, u, model.prior)
+    assert risk <= _plain_risk(w, p, u, model.prior)[0] + 1e-5 and np.abs(gradient).max() < 0.01
+    few = quality_pu.learn(table, labels, quality_pu.held_out(1, 0), sample=40)
+    assert (few.knots == model.knots).all() and few.score(m)[good].mean() > few.score(m)[~good].mean() + 0.1
+
+
 def test_license_prefilter_spares_no_line_with_an_anchor(spark):
     """Lines that hold an anchor among their words always match the pattern that is tried first."""
     from pyspark.sql import functions as F
