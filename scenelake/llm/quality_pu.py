@@ -30,6 +30,8 @@ from scenelake.session import cut_lineage
 SAMPLE = 12_000
 #: Passes over all measures that one descent makes at most; some eight are made.
 STEPS = 40
+#: Tasks that add up what all tasks have summed.
+MERGERS = 32
 #: Weight of the squared weights in the risk.
 RIDGE = 3e-3
 #: Width over which the clamp of the risk's negative part is rounded off.
@@ -192,21 +194,30 @@ class Unlabelled:
         return [tuple(np.array(sorted(x), float).reshape(-1, 2).T) for x in each]
 
     def summed(self, fn: Callable[[np.ndarray, np.ndarray], np.ndarray], size: int) -> np.ndarray:
-        """Sum of ``fn(measures, halves)``, an array of ``size`` numbers, over all rows; tasks' sums are merged by tasks."""
+        """Sum of ``fn(measures, halves)``, an array of ``size`` numbers, over all rows.
+
+        Each task makes one array, ``MERGERS`` tasks at most add them up in the tasks' order: so many arrays reach the driver.
+        """
 
         def total(batches: Iterator[pa.RecordBatch], each: Callable[[pa.RecordBatch], np.ndarray]) -> Iterator[pa.RecordBatch]:
-            out = np.zeros(size)
+            out = None
             for batch in batches:
                 if batch.num_rows:
-                    out += each(batch)
-            columns = [pa.array([TaskContext.get().partitionId()], pa.int32()), pa.array([out], pa.list_(pa.float64()))]
-            yield pa.RecordBatch.from_arrays(columns, ["task", "sums"])
-
-        first = lambda batches: total(batches, lambda b: fn(_matrix(b), b.column("half").to_numpy()))
-        merge = lambda batches: total(batches, lambda b: b.column("sums").flatten().to_numpy().reshape(-1, size).sum(axis=0))
-        shape = "task int, sums array<double>"
-        merged = self.rows.mapInArrow(first, shape).repartition("task").sortWithinPartitions("task").mapInArrow(merge, shape)
-        return np.sum([r.sums for r in sorted(merged.collect())], axis=0)
+                    part = each(batch)
+                    out = part if out is None else out + part
+            if out is not None:
+                columns = [pa.array([TaskContext.get().partitionId()], pa.int32()), pa.array([out.astype("<f8").tobytes()], pa.binary())]
+                yield pa.RecordBatch.from_arrays(columns, ["task", "sums"])
+
+        def added(batch: pa.RecordBatch) -> np.ndarray:
+            return np.sum([np.frombuffer(x, "<f8") for x in batch.column("sums").to_pylist()], axis=0)
+
+        shape = "task int, sums binary"
+        made = self.rows.mapInArrow(lambda rows: total(rows, lambda b: fn(_matrix(b), b.column("half").to_numpy())), shape)
+        slot = F.pmod("task", F.lit(MERGERS))
+        dealt = made.repartition(slot).sortWithinPartitions("task")
+        merged = sorted((r.task, bytes(r.sums)) for r in dealt.mapInArrow(lambda rows: total(rows, added), shape).collect())
+        return np.sum([np.zeros(size), *(np.frombuffer(x, "<f8") for _, x in merged)], axis=0)
 
 
 def _matrix(batch: pa.RecordBatch) -> np.ndarray:
